@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markerflow.llm import encode, pack, split
+from markerflow.llm import canonical, encode, pack, split
 from markerflow.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,18 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_pieces(table(spark, sf_dir, "mesh_frames"), table(spark, sf_dir, "mesh_sequences"))
 
 
+def _label_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, t) for t in ("mocap_sessions", "stageii_samples", "marker_layout")]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.mistyped_labels(*_label_tables(spark, sf_dir))
+
+
+def p2_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.canonical_labels(*_label_tables(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -58,6 +70,8 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_labels": p2_labels,
     "p6_ids": p6_ids,
     "p6_tokens_by_source": p6_tokens_by_source,
     "p7_containers": p7_containers,
