@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from markerflow.plans import sequences
+from markerflow.plans import quality, sequences
 
-MODULES = [sequences]
+MODULES = [sequences, quality]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
