@@ -49,6 +49,13 @@ BODY_HEIGHTS = {
     "knuckle": 1.33, "rib": 1.21, "hip": 1.02, "thigh": 0.74, "knee": 0.51, "shin": 0.34, "calf": 0.36, "ankle": 0.10,
     "heel": 0.062, "toe": 0.043,
 }
+#: Parts below this height say little: the floor level and the sole weigh too much.
+CLEAR_HEIGHT = 0.3
+#: Letters with accents, of full width and of other alphabets, and the plain ones they stand for.
+LOOKALIKES = (
+    "äöüáéíóúàèòâêôаеорсукмнтвхі0134" + "".join(chr(0xFF41 + i) for i in range(26)) + "＿",
+    "aouaeiouaeoaeoaeopcykmhtbxioiea" + "".join(chr(0x61 + i) for i in range(26)) + "_",
+)
 PELVIS_HEIGHT = 0.94
 #: How far, as a factor, people and poses lie from these heights in most records.
 BODY_SPREAD = math.log(1.25)
@@ -105,7 +112,7 @@ def noted_unit(note: Column, about: str) -> Column:
     A note lists remarks between semicolons; only a remark that names the quantity counts, and in
     it the last word that spells a unit, so that lengths of other things don't.
     """
-    remarks = F.filter(F.split(F.lower(note), ";"), lambda r: r.rlike(about))
+    remarks = F.filter(F.split(F.lower(note), ";"), lambda r: r.rlike(about) & ~r.rlike(r"\d\s*(mm|cm|m|in|ft)\b"))
     words = F.flatten(F.transform(remarks, lambda r: F.regexp_extract_all(F.regexp_replace(r, "z up", ""), F.lit(r"([a-zß]+\.?|[\"'])"), F.lit(1))))
     units = F.filter(F.transform(words, spelled_unit), lambda u: u.isNotNull())
     # "points in metres": the word "in" is a unit only where no other follows.
@@ -115,7 +122,8 @@ def noted_unit(note: Column, about: str) -> Column:
 
 def body_height(label: Column) -> Column:
     """The expected height of the body part that a hand-typed label names, null if unclear."""
-    plain = F.regexp_replace(F.lower(F.element_at(F.split(label, ":"), -1)), "[^a-z]+", "_")
+    latin = F.translate(F.lower(F.element_at(F.split(label, ":"), -1)), *LOOKALIKES)
+    plain = F.regexp_replace(latin, "[^a-z]+", "_")
     pick = F.lit(None).cast("double")
     for part, height in reversed(BODY_HEIGHTS.items()):
         pick = F.when(F.contains(plain, F.lit(part)), F.lit(height)).otherwise(pick)
@@ -142,9 +150,11 @@ def marker_units(points: DataFrame, sessions: DataFrame) -> DataFrame:
     per_marker = seen.groupBy("seq_id", "marker_idx").agg(
         F.percentile_approx("z", 0.5, 200).alias("z"), F.max("label").alias("label")
     )
-    expected = body_height(F.col("label"))
-    per_take = per_marker.groupBy("seq_id").agg(
-        F.coalesce(F.median(F.log(F.col("z") / expected)), F.log(F.max("z") / 1.4)).alias("log_scale")
+    scaled = per_marker.withColumn("expected", body_height(F.col("label"))).withColumn("off", F.log(F.col("z") / F.col("expected")))
+    per_take = scaled.groupBy("seq_id").agg(
+        F.coalesce(
+            F.median(F.when(F.col("expected") >= CLEAR_HEIGHT, F.col("off"))), F.max_by("off", "expected"), F.log(F.max("z") / 1.4)
+        ).alias("log_scale")
     )
     said = sessions.groupBy("seq_id").agg(F.max("unit").alias("unit_text"), F.max("note").alias("note"))
     declared = F.coalesce(spelled_unit(F.col("unit_text")), noted_unit(F.col("note"), r"marker|point|coordinate"))
