@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markerflow.quality import units
+from markerflow.quality import spikes, units
 from markerflow.session import first_by, table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.faulty_readings(table(spark, sf_dir, "mocap_points"), table(spark, sf_dir, "mocap_sessions"))
+
+
+def p3_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.flag_readings(table(spark, sf_dir, "mocap_points"))
+
+
 def _unit_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [table(spark, sf_dir, t) for t in ("mocap_points", "mocap_sessions", "pose_frames", "stageii_samples")]
 
@@ -35,6 +43,8 @@ def p5_latent_in_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_states": p3_states,
     "p5_found": p5_found,
     "p5_points_in_metres": p5_points_in_metres,
     "p5_trans_in_metres": p5_trans_in_metres,
