@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markerflow.quality import spikes, units
+from markerflow.quality import drift, spikes, units
 from markerflow.session import first_by, table
 
 
@@ -17,6 +17,14 @@ def p3_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.flag_readings(table(spark, sf_dir, "mocap_points"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.schema_changes(table(spark, sf_dir, "raw_samples"))
+
+
+def p4_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.unified_table(table(spark, sf_dir, "raw_samples"))
+
+
 def _unit_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [table(spark, sf_dir, t) for t in ("mocap_points", "mocap_sessions", "pose_frames", "stageii_samples")]
 
@@ -45,6 +53,8 @@ def p5_latent_in_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_states": p3_states,
+    "p4_found": p4_found,
+    "p4_unified": p4_unified,
     "p5_found": p5_found,
     "p5_points_in_metres": p5_points_in_metres,
     "p5_trans_in_metres": p5_trans_in_metres,
