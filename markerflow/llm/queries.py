@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markerflow.llm import canonical, encode, pack, split
+from markerflow.llm import canonical, encode, pack, split, subjects
 from markerflow.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,21 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _subject_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, t) for t in ("documents", "doc_labels", "subject_areas")]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.found_subjects(*_subject_tables(spark, sf_dir))
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = subjects.document_subjects(*_subject_tables(spark, sf_dir))
+    return rows.groupBy("subject").agg(
+        F.count("*").alias("n_docs"), F.sum("n_about").alias("n_cues_about"), F.round(F.sum("share"), 3).alias("weight")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -76,6 +91,8 @@ QUERIES: dict[str, Query] = {
     "p6_tokens_by_source": p6_tokens_by_source,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_composition": p8_composition,
 }
 
 ORACLE_SQL: dict[str, str] = {
