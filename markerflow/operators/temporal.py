@@ -1,11 +1,26 @@
-"""Differences along a sequence. Every operator here shares one window, so Spark plans one sort."""
+"""Differences, windows and smoothing along a sequence.
+
+All operators of this module share one window, so Spark plans one exchange and one sort. Null and
+NaN differences count as no movement. The first frames of a sequence, which have no predecessor,
+give null.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SEQ = Window.partitionBy("seq_id").orderBy("frame")
+#: Parts of a pose vector by its size: (first, length), counted from 0.
+POSE_REGIONS = {
+    165: {"body": (3, 63), "left_hand": (75, 45), "right_hand": (120, 45)},
+    156: {"body": (3, 63), "left_hand": (66, 45), "right_hand": (111, 45)},
+    66: {"body": (3, 63)},
+}
+
+
+def seq() -> WindowSpec:
+    """The window of a sequence. Made when used: it needs a session."""
+    return Window.partitionBy("seq_id").orderBy("frame")
 
 
 def zero_if_missing(value: Column) -> Column:
@@ -15,5 +30,112 @@ def zero_if_missing(value: Column) -> Column:
 
 def scalar_deltas(df: DataFrame, value: str, name: str) -> DataFrame:
     """|x_t - x_(t-1)|; null on the first frame of a sequence."""
-    step = zero_if_missing(F.col(value) - F.lag(value).over(SEQ))
-    return df.withColumn(name, F.when(F.row_number().over(SEQ) > 1, F.abs(step)))
+    step = zero_if_missing(F.col(value) - F.lag(value).over(seq()))
+    return df.withColumn(name, F.when(F.row_number().over(seq()) > 1, F.abs(step)))
+
+
+def scalar_jitter(df: DataFrame, value: str, name: str) -> DataFrame:
+    """|x_t - 2 x_(t-1) + x_(t-2)|; null on the first two frames."""
+    bend = zero_if_missing(F.col(value) - 2 * F.lag(value).over(seq()) + F.lag(value, 2).over(seq()))
+    return df.withColumn(name, F.when(F.row_number().over(seq()) > 2, F.abs(bend)))
+
+
+def l2_step(now: Column, before: Column) -> Column:
+    """Length of the difference of two vectors."""
+    squares = F.zip_with(now, before, lambda a, b: F.pow(zero_if_missing(a.cast("double") - b.cast("double")), F.lit(2.0)))
+    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x))
+
+
+def l2_bend(now: Column, before: Column, before2: Column) -> Column:
+    """Length of the second difference of three vectors."""
+    ahead = F.zip_with(now, before, lambda a, b: a.cast("double") - 2 * b.cast("double"))
+    return F.sqrt(
+        F.aggregate(
+            F.zip_with(ahead, before2, lambda a, b: F.pow(zero_if_missing(a + b.cast("double")), F.lit(2.0))), F.lit(0.0), lambda acc, x: acc + x
+        )
+    )
+
+
+def vector_motion(df: DataFrame, vec: str) -> DataFrame:
+    """`delta` and `accel` of a vector column; null where frames before are missing."""
+    before, before2 = F.lag(vec).over(seq()), F.lag(vec, 2).over(seq())
+    n = F.row_number().over(seq())
+    return df.withColumns({"delta": F.when(n > 1, l2_step(F.col(vec), before)), "accel": F.when(n > 2, l2_bend(F.col(vec), before, before2))})
+
+
+def region(vec: str, name: str) -> Column:
+    """The part of a pose vector, null if a vector of its size has none."""
+    out = F.lit(None).cast("array<double>")
+    for size, parts in sorted(POSE_REGIONS.items()):
+        if name in parts:
+            first, length = parts[name]
+            out = F.when(F.size(vec) >= size, F.slice(vec, first + 1, length)).otherwise(out)
+    return out
+
+
+def smooth_once(df: DataFrame, value: str, name: str, alpha: float = 0.5) -> DataFrame:
+    """x + alpha (mean of both neighbours - x); before the first frame stands the first, after the last the one before it."""
+    before = F.coalesce(F.lag(value).over(seq()), F.col(value))
+    after = F.coalesce(F.lead(value).over(seq()), F.lag(value).over(seq()), F.col(value))
+    return df.withColumn(name, F.col(value) + alpha * ((before + after) / 2 - F.col(value)))
+
+
+def extrapolated(df: DataFrame, value: str, name: str, alpha: float) -> DataFrame:
+    """What the two frames before predict: x_(t-1) + alpha (x_(t-1) - x_(t-2)); null where there aren't two."""
+    one, two = F.lag(value).over(seq()), F.lag(value, 2).over(seq())
+    return df.withColumn(name, one + alpha * (one - two))
+
+
+def tumbling(frame: Column, size: int) -> Column:
+    """The number of the window of `size` frames that a frame lies in."""
+    return F.floor(frame / size)
+
+
+def window_hotspots(df: DataFrame, size: int, top_k: int) -> DataFrame:
+    """`seq_id, side, rank, window, candidate_mean, reference_mean, delta` from per-frame `candidate` and `reference`:
+    the windows whose mean grew most (side `up`) and fell most (side `down`); ties go to the earlier window."""
+    windows = df.groupBy("seq_id", tumbling(F.col("frame"), size).alias("window")).agg(
+        F.avg("candidate").alias("candidate_mean"), F.avg("reference").alias("reference_mean")
+    )
+    windows = windows.withColumn("delta", F.round(F.col("candidate_mean") - F.col("reference_mean"), 9)).where("delta is not null")
+    sides = []
+    for side, order, keep in (("up", F.desc("delta"), F.col("delta") > 0), ("down", F.asc("delta"), F.col("delta") < 0)):
+        rank = F.row_number().over(Window.partitionBy("seq_id").orderBy(order, "window"))
+        sides.append(windows.where(keep).withColumn("rank", rank).where(F.col("rank") <= top_k).withColumn("side", F.lit(side)))
+    return sides[0].unionByName(sides[1])
+
+
+def downsampled(df: DataFrame, rate: str, unified: float) -> DataFrame:
+    """Every n-th frame, n = the whole times that `unified` fits into the rate, 1 at least; a null or not positive rate keeps all."""
+    step = F.greatest(F.lit(1), F.floor(F.coalesce(F.col(rate), F.lit(0.0)) / unified))
+    return df.where(F.col("frame") % step == 0)
+
+
+def frame_range(df: DataFrame, start: int, end: int | None, step: int) -> DataFrame:
+    """Frames from start to before end, every step-th."""
+    kept = df.where((F.col("frame") >= start) & ((F.col("frame") - start) % step == 0))
+    return kept if end is None else kept.where(F.col("frame") < end)
+
+
+def ramp_prepended(df: DataFrame, value: str, steps: int) -> DataFrame:
+    """`steps` frames of a straight line from 0 to the first value before each sequence, whose frames move up by as many."""
+    first = df.groupBy("seq_id").agg(F.min_by(value, "frame").alias("_first"))
+    ramp = first.select("seq_id", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("frame"), "_first").select(
+        "seq_id", "frame", (F.col("_first") * F.col("frame") / (steps - 1)).alias(value)
+    )
+    return ramp.unionByName(df.select("seq_id", (F.col("frame") + steps).cast("int").alias("frame"), value))
+
+
+def velocity_terms(df: DataFrame, value: str) -> DataFrame:
+    """Per sequence the sums of squared first and second differences, and of squared departures from constant velocity over two frames."""
+    one, two = F.lag(value).over(seq()), F.lag(value, 2).over(seq())
+    rows = df.withColumns(
+        {
+            "_velo": F.pow(F.col(value) - one, F.lit(2.0)),
+            "_accel": F.pow(F.col(value) - 2 * one + two, F.lit(2.0)),
+            "_value": F.pow(F.col(value), F.lit(2.0)),
+        }
+    )
+    return rows.groupBy("seq_id").agg(
+        F.coalesce(F.sum("_value"), F.lit(0.0)).alias("data"), F.coalesce(F.sum("_velo"), F.lit(0.0)).alias("velocity"), F.coalesce(F.sum("_accel"), F.lit(0.0)).alias("acceleration")
+    )

@@ -1,11 +1,11 @@
-"""The sequence views over the general tables."""
+"""The sequence views over the given tables; every delivery of a row counts once."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from markerflow.session import table
+from markerflow.session import first_by, table
 
 
 def ts_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,15 +25,47 @@ def vec_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as point clouds: `seq_id, frame, x, y, z, label, subject`."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    rows = table(spark, sf_dir, "lineitem")
-    return rows.select(
-        F.col("l_orderkey").alias("seq_id"),
-        (F.row_number().over(order) - 1).alias("frame"),
-        F.col("l_quantity").alias("x"),
-        F.col("l_discount").alias("y"),
-        F.col("l_tax").alias("z"),
-        F.col("l_returnflag").alias("label"),
-        F.col("l_linestatus").alias("subject"),
-    )
+    """Marker readings: `seq_id, frame, marker_idx, label, x, y, z`."""
+    rows = table(spark, sf_dir, "mocap_points")
+    return first_by(rows, ["seq_id", "frame", "marker_idx"]).drop("ingested_at")
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_by(table(spark, sf_dir, "mocap_sessions"), ["seq_id"])
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_by(table(spark, sf_dir, "stageii_samples"), ["seq_id"])
+
+
+def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_by(table(spark, sf_dir, "pose_frames"), ["seq_id", "frame"]).drop("ingested_at")
+
+
+def mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mesh frames with `row`, the position in the sequence from 0: `seq_id, frame, vertices, row`."""
+    once = first_by(table(spark, sf_dir, "mesh_frames"), ["seq_id", "frame"]).drop("ingested_at")
+    return once.withColumn("row", F.row_number().over(Window.partitionBy("seq_id").orderBy("frame")) - 1)
+
+
+def mesh_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_by(table(spark, sf_dir, "mesh_sequences"), ["seq_id"])
+
+
+#: The same views as SQL, for the queries' own SQL.
+SQL = {
+    "ts": "ts AS (SELECT user_id AS seq_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value, event_type AS label FROM events)",
+    "vec": "vec AS (SELECT label AS seq_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding AS vec FROM embeddings)",
+    "pts": "pts AS (SELECT seq_id, frame, marker_idx, any_value(label) AS label, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z FROM mocap_points GROUP BY ALL)",
+    "ok": "ok AS (SELECT *, coalesce(x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z) AND NOT (x = 0 AND y = 0 AND z = 0), false) AS seen FROM pts)",
+    "ses": "ses AS (SELECT DISTINCT ON (seq_id) * FROM mocap_sessions ORDER BY seq_id, ingested_at)",
+    "smp": "smp AS (SELECT DISTINCT ON (seq_id) * FROM stageii_samples ORDER BY seq_id, ingested_at)",
+    "pose": "pose AS (SELECT seq_id, frame, any_value(fullpose) AS fullpose, any_value(trans) AS trans FROM pose_frames GROUP BY ALL)",
+    "mesh": "mesh AS (SELECT seq_id, frame, v AS vertices, row_number() OVER (PARTITION BY seq_id ORDER BY frame) - 1 AS row FROM (SELECT seq_id, frame, any_value(vertices) AS v FROM mesh_frames GROUP BY ALL))",
+    "cfg": "cfg AS (SELECT DISTINCT ON (seq_id) * FROM mesh_sequences ORDER BY seq_id, ingested_at)",
+}
+
+
+def with_views(*names: str) -> str:
+    """The start of a SQL statement with the named views."""
+    return "WITH " + ", ".join(SQL[n] for n in names)
