@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from markerflow.plans import chunking, labelling, quality, sequences
+from markerflow.plans import augmenting, catalogue, chunking, labelling, quality, sequences, solving, spatial
 
-MODULES = [sequences, chunking, labelling, quality]
+MODULES = [sequences, chunking, labelling, catalogue, spatial, augmenting, solving, quality]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
