@@ -8,7 +8,7 @@ anchors. The mixtures come straight from the anchored components; a cue is about
 explains most of its terms under its document's mixture if it explains one of them surely, and cue counts decide a document's subjects.
 
 Terms are words and pairs of neighbouring words of the dialogue, folded so that what optical recognition
-confuses is equal, and hashed. A component holds the terms found in at least `MIN_SHARE` of the
+confuses is equal, and hashed. A component holds the terms found in at least `MIN_SHARE` and at most `MOST_SHARE` of the
 documents, of which there can be no more than the mean number of terms of a document over that share.
 
 Defined cases: null, empty and blank texts give no subject; labels are trimmed and lower-cased, and `none`, null and
@@ -26,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markerflow.llm.cues import CueReader, fold, hashed, split_cues
+from markerflow.llm.cues import HASH_BITS, CueReader, fold, hashed, split_cues
 from markerflow.session import checkpointed
 
 MIN_SHARE = 5e-5
 MIN_DOCS = 4
 MAX_TERMS = 2_000_000
 MAX_BRANDS = 100_000
-ROUNDS = 4
-INNER_ROUNDS = 8
+#: Terms of more than this share of the documents tell nothing of a subject.
+MOST_SHARE = 0.2
+ROUNDS = 3
+INNER_ROUNDS = 6
 ANCHOR = 0.2
 LIFT = 3.0
 CLEAR = 3.0
@@ -66,28 +68,42 @@ def read_cues(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _READ_SCHEMA)
 
 
-def _lists(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and values of a list column."""
-    return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+def _slices(batch: pa.RecordBatch, rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    lo, lv = _lists(batch.column("lengths"))
-    to, tv = _lists(batch.column("terms"))
-    for k, doc in enumerate(batch.column("doc_id").to_pylist()):
-        yield doc, lv[lo[k] : lo[k + 1]], tv[to[k] : to[k + 1]]
+def _list(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and flat values of a list column, of this slice alone."""
+    offsets = column.offsets.to_numpy()
+    return np.diff(offsets), column.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False)
+
+
+class Flat:
+    """The cues and terms of some documents in a row: for each term its cue, for each cue its document."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        per_doc, lengths = _list(batch.column("lengths"))
+        _, self.terms = _list(batch.column("terms"))
+        self.n_docs = len(per_doc)
+        self.address = lengths < 0
+        self.doc_of_cue = np.repeat(np.arange(self.n_docs), per_doc)
+        self.cue_of_term = np.repeat(np.arange(len(lengths)), np.where(self.address, -1 - lengths, lengths))
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: how many documents hold a term, and how many addresses name it."""
-    size = 1 << 24
+    size = 1 << HASH_BITS
     docs, named, n = np.zeros(size, np.int32), np.zeros(size, np.int32), 0
-    for batch in batches:
-        for _, lengths, terms in _rows(batch):
-            n += 1
-            address = np.repeat(lengths < 0, np.where(lengths < 0, -1 - lengths, lengths))
-            docs[np.unique(terms[~address])] += 1
-            np.add.at(named, terms[address], 1)
+    for whole in batches:
+        for batch in _slices(whole):
+            flat = Flat(batch)
+            n += flat.n_docs
+            address = flat.address[flat.cue_of_term]
+            of_doc = flat.doc_of_cue[flat.cue_of_term]
+            pairs = np.unique(of_doc[~address].astype(np.int64) * size + flat.terms[~address])
+            np.add.at(docs, pairs % size, 1)
+            np.add.at(named, flat.terms[address], 1)
     held = np.flatnonzero(docs | named)
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.append(held, -1), pa.int64()), pa.array(np.append(docs[held], n), pa.int64()), pa.array(np.append(named[held], 0), pa.int64())],
@@ -102,29 +118,50 @@ class Space:
         self.terms, self.brands, self.names = terms, brands, names
         self.components = np.zeros((len(names) + 1, len(terms)))
 
-    def dialogue(self, lengths: np.ndarray, terms: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-        """How many cues are no adverts; the places of their kept terms, and the number of the cue of each."""
-        sizes = np.where(lengths < 0, -1 - lengths, lengths)
-        cue = np.repeat(np.arange(len(lengths)), sizes)
-        advert = lengths < 0
+    def dialogue(self, flat: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per document how many cues are no adverts; the places of their kept terms, and the cue of each."""
+        advert = flat.address.copy()
         if len(self.brands):
-            at = np.searchsorted(self.brands, terms)
-            brand = self.brands[np.minimum(at, len(self.brands) - 1)] == terms
-            advert = advert.copy()
-            advert[cue[brand]] = True
-        place = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
-        kept = (self.terms[place] == terms) & ~advert[cue] if len(self.terms) else np.zeros(len(terms), bool)
-        return int((~advert).sum()), place[kept], cue[kept]
-
-    def mixture(self, places: np.ndarray, counts: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
-        """The document's weights of the components: multiplicative updates with the components fixed."""
-        h = self.components[:, places]
-        w = np.full(len(h), 1.0 / len(h)) if allowed is None else allowed / allowed.sum()
-        total = counts.sum()
+            at = np.minimum(np.searchsorted(self.brands, flat.terms), len(self.brands) - 1)
+            advert[flat.cue_of_term[self.brands[at] == flat.terms]] = True
+        place = np.minimum(np.searchsorted(self.terms, flat.terms), max(len(self.terms) - 1, 0))
+        kept = (self.terms[place] == flat.terms) & ~advert[flat.cue_of_term] if len(self.terms) else np.zeros(len(flat.terms), bool)
+        n_cues = np.bincount(flat.doc_of_cue[~advert], minlength=flat.n_docs)
+        return n_cues, place[kept], flat.cue_of_term[kept]
+
+    def matrix(self, flat: Flat, places: np.ndarray, cues: np.ndarray) -> "Matrix":
+        """The document-term counts of kept terms."""
+        n = max(len(self.terms), 1)
+        keys, counts = np.unique(flat.doc_of_cue[cues].astype(np.int64) * n + places, return_counts=True)
+        return Matrix(keys // n, (keys % n).astype(np.int32), counts.astype(np.float32))
+
+
+class Matrix:
+    """Sparse rows of some documents, sorted by document; `rows` are the documents that have any term."""
+
+    def __init__(self, doc: np.ndarray, place: np.ndarray, count: np.ndarray):
+        self.place, self.count = place, count
+        self.first = np.flatnonzero(np.diff(doc, prepend=-1)) if len(doc) else np.zeros(0, np.int64)
+        self.rows = doc[self.first] if len(doc) else doc
+        self.row = np.repeat(np.arange(len(self.rows)), np.diff(np.append(self.first, len(doc))))
+
+    def mixtures(self, components: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
+        """Weights (components x rows) by multiplicative updates with the components fixed."""
+        h = components[:, self.place]
+        w = np.ones((len(h), len(self.rows)), np.float32) if allowed is None else allowed
+        w = w / w.sum(axis=0)
+        total = np.add.reduceat(self.count, self.first)
         for _ in range(INNER_ROUNDS):
-            w = w * (h @ (counts / np.maximum(w @ h, 1e-30))) / total
+            w = np.add.reduceat(self.shared(w, h), self.first, axis=1) / total
         return w
 
+    def shared(self, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Each entry's count, shared among the components."""
+        parts = np.take(w, self.row, axis=1)
+        parts *= h
+        parts *= self.count / np.maximum(parts.sum(axis=0), np.float32(1e-30))
+        return parts
+
 
 def _anchors(held: np.ndarray, labelled: np.ndarray, everywhere: np.ndarray, total: int) -> np.ndarray:
     """Weights of the terms that a subject's labelled documents hold clearly more often than documents do at large."""
@@ -162,7 +199,7 @@ def fit_subjects(cues: DataFrame, labels: DataFrame, areas: DataFrame, rounds: i
     counted = checkpointed(counted)
     total = sum(r.docs for r in counted.where("term = -1").select("docs").collect())
     least = max(MIN_DOCS, int(MIN_SHARE * total))
-    kept = counted.where((F.col("term") >= 0) & (F.col("docs") >= least)).select("term", "docs").limit(MAX_TERMS + 1).toPandas()
+    kept = counted.where((F.col("term") >= 0) & (F.col("docs") >= least) & (F.col("docs") <= max(MOST_SHARE * total, least))).select("term", "docs").limit(MAX_TERMS + 1).toPandas()
     brands = counted.where((F.col("term") >= 0) & (F.col("named") >= 2) & (F.col("named") * 20 >= F.col("docs"))).select("term").limit(MAX_BRANDS + 1).toPandas()
     if len(kept) > MAX_TERMS or len(brands) > MAX_BRANDS:
         raise ValueError("more terms than their share of documents allows")
@@ -170,43 +207,65 @@ def fit_subjects(cues: DataFrame, labels: DataFrame, areas: DataFrame, rounds: i
     space = Space(terms, np.sort(brands["term"].to_numpy(np.int64)), names)
     if not len(terms):
         return space
-    labelled = cues.join(clean_labels(labels), "doc_id", "left")
     k = len(names)
+    number = {name: i for i, name in enumerate(names)}
+
+    def to_matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _slices(whole):
+                flat = Flat(batch)
+                _, places, cues = space.dialogue(flat)
+                if not len(places):
+                    continue
+                m = space.matrix(flat, places, cues)
+                own = batch.column("subjects").to_pylist()
+                offsets = pa.array(np.append(m.first, len(m.place)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.ListArray.from_arrays(offsets, pa.array(m.place, pa.int32())),
+                        pa.ListArray.from_arrays(offsets, pa.array(m.count, pa.float32())),
+                        pa.array([None if own[d] is None else [number[s] for s in own[d] if s in number] for d in m.rows.tolist()], pa.list_(pa.int32())),
+                    ],
+                    ["places", "counts", "subjects"],
+                )
+
+    labelled = cues.join(clean_labels(labels), "doc_id", "left")
+    matrix = checkpointed(labelled.mapInArrow(to_matrix, "places array<int>, counts array<float>, subjects array<int>"))
 
     def passing(first: bool):
-        spread = space
+        components = space.components.astype(np.float32)
+        width = len(terms)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # The last column counts documents.
-            sums = np.zeros((k + 1, len(spread.terms) + 1))
-            for batch in batches:
-                subjects = batch.column("subjects").to_pylist()
-                for (_, lengths, found), own in zip(_rows(batch), subjects):
-                    _, places, _ = spread.dialogue(lengths, found)
-                    if not len(places):
-                        continue
-                    at, n = np.unique(places, return_counts=True)
-                    mine = [spread.names.index(s) for s in own or () if s in spread.names]
+            sums = np.zeros((k + 1, width + 1))
+            for whole in batches:
+                for batch in _slices(whole):
+                    sizes, places = _list(batch.column("places"))
+                    m = Matrix(np.repeat(np.arange(len(sizes)), sizes), places, _list(batch.column("counts"))[1])
+                    subjects = [(j, s) for j, s in enumerate(batch.column("subjects").to_pylist()) if s is not None]
                     if first:
-                        sums[k, at] += n
-                        for s in mine:
-                            sums[s, at] += 1
-                            sums[s, -1] += 1
-                    else:
-                        allowed = None
-                        if own:
-                            allowed = np.full(k + 1, 0.02)
-                            allowed[[*mine, k]] = 1.0
-                        w = spread.mixture(at, n, allowed)
-                        h = spread.components[:, at]
-                        sums[:, at] += w[:, None] * h * (n / np.maximum(w @ h, 1e-30))
+                        sums[k, :-1] += np.bincount(m.place, m.count, width)
+                        ends = np.append(m.first, len(m.place))
+                        for j, mine in subjects:
+                            for s in mine:
+                                sums[s, m.place[ends[j] : ends[j + 1]]] += 1
+                                sums[s, -1] += 1
+                        continue
+                    allowed = np.ones((k + 1, len(sizes)), np.float32)
+                    for j, mine in subjects:
+                        allowed[:k, j] = 0.02
+                        allowed[mine, j] = 1.0
+                    parts = m.shared(m.mixtures(components, allowed), components[:, m.place])
+                    for c in range(k + 1):
+                        sums[c, :-1] += np.bincount(m.place, parts[c], width)
             held = np.flatnonzero(sums.sum(axis=0))
             flat = pa.FixedSizeListArray.from_arrays(pa.array(sums[:, held].T.ravel()), k + 1)
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), flat.cast(pa.list_(pa.float64()))], ["place", "sums"])
 
-        parts = labelled.mapInArrow(run, "place bigint, sums array<double>")
+        parts = matrix.mapInArrow(run, "place bigint, sums array<double>")
         added = parts.groupBy("place").agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(k + 1)]).toPandas()
-        out = np.zeros((k + 1, len(terms) + 1))
+        out = np.zeros((k + 1, width + 1))
         out[:, added["place"].to_numpy(np.int64)] = added[[f"s{i}" for i in range(k + 1)]].to_numpy().T
         return out
 
@@ -234,30 +293,40 @@ def document_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame,
     that are no adverts are about it, how many there are, and the document's weight of the component."""
     cues = checkpointed(read_cues(documents))
     space = fit_subjects(cues, labels, areas, rounds)
+    components = space.components.astype(np.float32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = len(space.names)
-        for batch in batches:
-            out = []
-            for doc, lengths, found in _rows(batch):
-                n_cues, places, cue = space.dialogue(lengths, found)
+        names = pa.array(space.names, pa.string())
+        for whole in batches:
+            for batch in _slices(whole):
+                flat = Flat(batch)
+                n_cues, places, cues = space.dialogue(flat)
                 if not len(places):
                     continue
-                at, n = np.unique(places, return_counts=True)
-                w = space.mixture(at, n)
-                part = w[:, None] * space.components[:, places]
-                part = part[:-1] / np.maximum(part.sum(axis=0), 1e-30)
-                some, row = np.unique(cue, return_inverse=True)
-                weight, most = np.zeros((last, len(some))), np.zeros((last, len(some)))
-                for c in range(last):
-                    weight[c] = np.bincount(row, weights=part[c], minlength=len(some))
-                    np.maximum.at(most[c], row, part[c])
-                best = weight.argmax(axis=0)
-                sure = most[best, np.arange(len(some))] >= SURE
-                about = np.bincount(best[sure], minlength=last)
-                out += [(doc, space.names[c], int(about[c]), n_cues, float(w[c])) for c in np.flatnonzero(about)]
-            columns = list(zip(*out)) or [[]] * 5
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], [f.split()[0] for f in _RESULT.split(", ")])
+                m = space.matrix(flat, places, cues)
+                w = m.mixtures(components)
+                row_of_doc = np.zeros(flat.n_docs, np.int64)
+                row_of_doc[m.rows] = np.arange(len(m.rows))
+                # Each term of each cue, shared among the components by its document's mixture.
+                parts = w[:, row_of_doc[flat.doc_of_cue[cues]]] * components[:, places]
+                parts = parts[:-1] / np.maximum(parts.sum(axis=0), 1e-30)
+                starts = np.flatnonzero(np.diff(cues, prepend=-1))
+                best = np.add.reduceat(parts, starts, axis=1).argmax(axis=0)
+                sure = np.maximum.reduceat(parts, starts, axis=1)[best, np.arange(len(starts))] >= SURE
+                doc = flat.doc_of_cue[cues[starts[sure]]]
+                keys, about = np.unique(doc * last + best[sure], return_counts=True)
+                doc, subject = keys // last, keys % last
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(pa.array(doc)),
+                        names.take(pa.array(subject)),
+                        pa.array(about, pa.int32()),
+                        pa.array(n_cues[doc], pa.int32()),
+                        pa.array(w[subject, row_of_doc[doc]], pa.float64()),
+                    ],
+                    [f.split()[0] for f in _RESULT.split(", ")],
+                )
 
     return cues.mapInArrow(run, _RESULT)
 
