@@ -163,11 +163,15 @@ class Matrix:
         return parts
 
 
-def _anchors(held: np.ndarray, labelled: np.ndarray, everywhere: np.ndarray, total: int) -> np.ndarray:
-    """Weights of the terms that a subject's labelled documents hold clearly more often than documents do at large."""
-    expected = labelled[:, None] * (everywhere / max(total, 1))[None, :]
-    clear = (held >= 2) & (held >= LIFT * expected) & (held - expected >= CLEAR * np.sqrt(np.maximum(expected, 0.25)))
-    return np.where(clear, held - expected, 0.0)
+def _anchors(held: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Weights of the terms that a subject's labelled documents hold clearly more often than other labelled ones.
+
+    `held` counts the documents of each subject, and last of any label, that hold a term; `sizes` those documents themselves.
+    """
+    inside, outside = held[:-1], held[-1] - held[:-1]
+    expected = sizes[:-1, None] * outside / np.maximum(sizes[-1] - sizes[:-1], 1)[:, None]
+    clear = (inside >= 2) & (inside >= LIFT * expected) & (inside - expected >= CLEAR * np.sqrt(np.maximum(expected, 0.25)))
+    return np.where(clear, inside - expected, 0.0)
 
 
 def _normal(rows: np.ndarray) -> np.ndarray:
@@ -189,6 +193,52 @@ def clean_labels(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and subject is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.collect_set(plain).alias("subjects"))
 
 
+def _described(space: Space, described: list, docs: np.ndarray, total: int) -> np.ndarray:
+    """A weight for the rarer words of each subject's name and description."""
+    out = np.zeros((len(space.names), len(space.terms)))
+    for r in described:
+        words = {hashed(w) for w in re.findall(r"[^\W\d_]{4,}", fold(f"{r.subject} {r.description or ''}"))}
+        at = np.flatnonzero(np.isin(space.terms, list(words)) & (docs < MOST_SHARE * total))
+        out[space.names.index(r.subject), at] += 1.0
+    return out
+
+
+def _labelled_anchors(labelled: DataFrame, space: Space, number: dict[str, int]) -> np.ndarray:
+    k, width = len(number), len(space.terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Row k is any label; the last column counts documents.
+        held = np.zeros((k + 1, width + 1))
+        for whole in batches:
+            for batch in _slices(whole):
+                flat = Flat(batch)
+                _, places, cues = space.dialogue(flat)
+                doc = flat.doc_of_cue[cues]
+                pairs = np.unique(doc.astype(np.int64) * (width + 1) + places)
+                doc, place = np.append(pairs // (width + 1), np.arange(flat.n_docs)), np.append(pairs % (width + 1), np.full(flat.n_docs, width))
+                own = [[number[s] for s in subjects if s in number] + [k] for subjects in batch.column("subjects").to_pylist()]
+                order = np.argsort(doc, kind="stable")
+                ends = np.cumsum(np.bincount(doc, minlength=flat.n_docs))
+                for d, mine in enumerate(own):
+                    at = place[order[ends[d - 1] if d else 0 : ends[d]]]
+                    for s in mine:
+                        held[s, at] += 1
+        some = np.flatnonzero(held.sum(axis=0))
+        flat_sums = pa.FixedSizeListArray.from_arrays(pa.array(held[:, some].T.ravel()), k + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), flat_sums.cast(pa.list_(pa.float64()))], ["place", "sums"])
+
+    held = _summed(labelled.mapInArrow(run, "place bigint, sums array<double>"), k + 1, width + 1)
+    return _anchors(held[:, :-1], held[:, -1])
+
+
+def _summed(parts: DataFrame, rows: int, width: int) -> np.ndarray:
+    """The sums over tasks of their vectors: as large as the kept terms, however large the corpus."""
+    added = parts.groupBy("place").agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(rows)]).toPandas()
+    out = np.zeros((rows, width))
+    out[:, added["place"].to_numpy(np.int64)] = added[[f"s{i}" for i in range(rows)]].to_numpy(float).T
+    return out
+
+
 def fit_subjects(cues: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int = ROUNDS) -> Space:
     """The anchored components, fitted to every document; only sums over terms come to the driver."""
     described = areas.where("subject is not null").select(F.lower(F.trim("subject")).alias("subject"), "description").distinct().orderBy("subject").limit(1_001).collect()
@@ -199,16 +249,27 @@ def fit_subjects(cues: DataFrame, labels: DataFrame, areas: DataFrame, rounds: i
     counted = checkpointed(counted)
     total = sum(r.docs for r in counted.where("term = -1").select("docs").collect())
     least = max(MIN_DOCS, int(MIN_SHARE * total))
-    kept = counted.where((F.col("term") >= 0) & (F.col("docs") >= least) & (F.col("docs") <= max(MOST_SHARE * total, least))).select("term", "docs").limit(MAX_TERMS + 1).toPandas()
+    kept = counted.where((F.col("term") >= 0) & (F.col("docs") >= least)).select("term", "docs").limit(MAX_TERMS + 1).toPandas()
     brands = counted.where((F.col("term") >= 0) & (F.col("named") >= 2) & (F.col("named") * 20 >= F.col("docs"))).select("term").limit(MAX_BRANDS + 1).toPandas()
     if len(kept) > MAX_TERMS or len(brands) > MAX_BRANDS:
         raise ValueError("more terms than their share of documents allows")
-    terms = np.sort(kept["term"].to_numpy(np.int64))
+    kept = kept.sort_values("term")
+    terms, docs = kept["term"].to_numpy(np.int64), kept["docs"].to_numpy(float)
     space = Space(terms, np.sort(brands["term"].to_numpy(np.int64)), names)
     if not len(terms):
         return space
-    k = len(names)
     number = {name: i for i, name in enumerate(names)}
+    anchors = _described(space, described, docs, total) + _labelled_anchors(cues.join(clean_labels(labels), "doc_id"), space, number)
+    # What most documents hold tells nothing of a subject, unless labels say that it does.
+    telling = (docs <= MOST_SHARE * total) | (anchors.max(axis=0) > 0)
+    anchors, docs = _normal(anchors[:, telling]), docs[telling]
+    space.terms = terms = terms[telling]
+    if not len(terms):
+        return space
+    overall = docs / docs.sum()
+    rest = np.maximum(overall - anchors.max(axis=0), 0.05 * overall)
+    space.components = np.vstack([_normal(anchors + 1e-7 * overall), _normal(rest[None, :])])
+    k = len(names)
 
     def to_matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -232,56 +293,32 @@ def fit_subjects(cues: DataFrame, labels: DataFrame, areas: DataFrame, rounds: i
     labelled = cues.join(clean_labels(labels), "doc_id", "left")
     matrix = checkpointed(labelled.mapInArrow(to_matrix, "places array<int>, counts array<float>, subjects array<int>"))
 
-    def passing(first: bool):
+    def passing() -> np.ndarray:
         components = space.components.astype(np.float32)
         width = len(terms)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            # The last column counts documents.
-            sums = np.zeros((k + 1, width + 1))
+            sums = np.zeros((k + 1, width))
             for whole in batches:
                 for batch in _slices(whole):
                     sizes, places = _list(batch.column("places"))
                     m = Matrix(np.repeat(np.arange(len(sizes)), sizes), places, _list(batch.column("counts"))[1])
                     subjects = [(j, s) for j, s in enumerate(batch.column("subjects").to_pylist()) if s is not None]
-                    if first:
-                        sums[k, :-1] += np.bincount(m.place, m.count, width)
-                        ends = np.append(m.first, len(m.place))
-                        for j, mine in subjects:
-                            for s in mine:
-                                sums[s, m.place[ends[j] : ends[j + 1]]] += 1
-                                sums[s, -1] += 1
-                        continue
                     allowed = np.ones((k + 1, len(sizes)), np.float32)
                     for j, mine in subjects:
                         allowed[:k, j] = 0.02
                         allowed[mine, j] = 1.0
                     parts = m.shared(m.mixtures(components, allowed), components[:, m.place])
                     for c in range(k + 1):
-                        sums[c, :-1] += np.bincount(m.place, parts[c], width)
+                        sums[c] += np.bincount(m.place, parts[c], width)
             held = np.flatnonzero(sums.sum(axis=0))
             flat = pa.FixedSizeListArray.from_arrays(pa.array(sums[:, held].T.ravel()), k + 1)
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), flat.cast(pa.list_(pa.float64()))], ["place", "sums"])
 
-        parts = matrix.mapInArrow(run, "place bigint, sums array<double>")
-        added = parts.groupBy("place").agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(k + 1)]).toPandas()
-        out = np.zeros((k + 1, width + 1))
-        out[:, added["place"].to_numpy(np.int64)] = added[[f"s{i}" for i in range(k + 1)]].to_numpy().T
-        return out
+        return _summed(matrix.mapInArrow(run, "place bigint, sums array<double>"), k + 1, width)
 
-    sums = passing(True)
-    overall = sums[k, :-1] / max(sums[k].sum(), 1e-30)
-    docs = kept.set_index("term")["docs"].reindex(terms).to_numpy(float)
-    anchors = _anchors(sums[:k, :-1], sums[:k, -1], docs, total)
-    for r in described:
-        words = {hashed(w) for w in re.findall(r"[^\W\d_]{4,}", fold(f"{r.subject} {r.description or ''}"))}
-        at = np.flatnonzero(np.isin(terms, list(words)) & (docs < 0.05 * total))
-        anchors[names.index(r.subject), at] += 1.0
-    anchors = _normal(anchors)
-    rest = np.maximum(overall - anchors.max(axis=0), 0.05 * overall)
-    space.components = np.vstack([_normal(anchors + 1e-7 * overall), _normal(rest[None, :])])
     for _ in range(rounds):
-        space.components = _renewed(passing(False)[:, :-1], anchors, overall)
+        space.components = _renewed(passing(), anchors, overall)
     return space
 
 
