@@ -126,17 +126,20 @@ def seam_windows(frames: DataFrame, plan: DataFrame, vec: str, width: int) -> Da
     )
 
 
-def stitch_candidates(chunks: DataFrame, value: str) -> DataFrame:
-    """`seq_id, chunk_no, keep, jump`: for every way to enter a chunk, from keeping its second frame to the end of its
-    overlap, how far it lies from the frame that the chunk before would end with."""
-    prev = chunks.select("seq_id", (F.col("chunk_no") + 1).alias("chunk_no"), (F.col("row") + 1).alias("row"), F.col(value).alias("_before"))
+def stitch_candidates(chunks: DataFrame, value: str, guard: str | None = None) -> DataFrame:
+    """`seq_id, chunk_no, keep, jump, guard_jump`: for every way to enter a chunk, from keeping its second frame to the end of
+    its overlap, how far it lies from the frame that the chunk before would end with; the same for the `guard` column, else 0."""
+    held = {"_before": F.col(value), "_guard": F.col(guard) if guard else F.lit(0.0)}
+    prev = chunks.select("seq_id", (F.col("chunk_no") + 1).alias("chunk_no"), (F.col("row") + 1).alias("row"), *[c.alias(n) for n, c in held.items()])
     keep = F.col("row") - F.col("row_start")
     both = chunks.where("chunk_no > 0").join(prev, ["seq_id", "chunk_no", "row"]).where((keep >= 1) & (keep <= F.col("overlap")))
-    return both.select("seq_id", "chunk_no", keep.alias("keep"), F.abs(F.col(value) - F.col("_before")).alias("jump"))
+    guarded = F.abs((F.col(guard) if guard else F.lit(0.0)) - F.col("_guard"))
+    return both.select("seq_id", "chunk_no", keep.alias("keep"), F.abs(F.col(value) - F.col("_before")).alias("jump"), guarded.alias("guard_jump"))
 
 
 def select_keep_starts(candidates: DataFrame, near: float = 4.5e-4) -> DataFrame:
-    """`seq_id, chunk_no, keep_start`: the least jump; among jumps within `near` of it the longest overlap kept."""
+    """`seq_id, chunk_no, keep_start, jump`: of the jumps within `near` of the least one the smallest guard jump; of equals the longest overlap."""
     chunk = Window.partitionBy("seq_id", "chunk_no")
     close = candidates.withColumn("least", F.min("jump").over(chunk)).where(F.col("jump") <= F.col("least") + near)
-    return close.groupBy("seq_id", "chunk_no").agg(F.max("keep").cast("int").alias("keep_start"), F.min("least").alias("jump"))
+    best = F.min_by("keep", F.struct("guard_jump", -F.col("keep")))
+    return close.groupBy("seq_id", "chunk_no").agg(best.cast("int").alias("keep_start"), F.min("least").alias("jump"))
