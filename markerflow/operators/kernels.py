@@ -19,18 +19,20 @@ def log_sum_exp(a: np.ndarray, axis: int) -> np.ndarray:
 
 
 def transport(scores: np.ndarray, dustbin: float, rounds: int = 35) -> np.ndarray:
-    """Log assignment of rows to columns with a dustbin for each side, by entropic optimal transport in log space."""
-    m, n = scores.shape
-    wide = np.full((m + 1, n + 1), dustbin)
-    wide[:m, :n] = scores
+    """Log assignment of rows to columns with a dustbin for each side, by entropic optimal transport in log space.
+
+    `scores` is one matrix or a stack of equally large ones."""
+    m, n = scores.shape[-2:]
+    wide = np.full((*scores.shape[:-2], m + 1, n + 1), dustbin)
+    wide[..., :m, :n] = scores
     norm = -np.log(m + n)
     rows = np.append(np.full(m, norm), np.log(n) + norm)
     columns = np.append(np.full(n, norm), np.log(m) + norm)
-    u, v = np.zeros(m + 1), np.zeros(n + 1)
+    u, v = np.zeros(wide.shape[:-1]), np.zeros((*wide.shape[:-2], n + 1))
     for _ in range(rounds):
-        u = rows - log_sum_exp(wide + v[None, :], 1)
-        v = columns - log_sum_exp(wide + u[:, None], 0)
-    return wide + u[:, None] + v[None, :] - norm
+        u = rows - log_sum_exp(wide + v[..., None, :], -1)
+        v = columns - log_sum_exp(wide + u[..., :, None], -2)
+    return wide + u[..., :, None] + v[..., None, :] - norm
 
 
 def transported(points: DataFrame, dustbin: float = -1.0, rounds: int = 35) -> DataFrame:
@@ -44,14 +46,17 @@ def transported(points: DataFrame, dustbin: float = -1.0, rounds: int = 35) -> D
         here, there = rows[["x", "y", "z"]].to_numpy(float), rows[["nx", "ny", "nz"]].to_numpy(float)
         partner, weight = np.empty(len(rows), np.int64), np.empty(len(rows))
         starts = np.flatnonzero(np.diff(frame, prepend=frame[0] - 1))
-        for lo, hi in zip(starts, np.append(starts[1:], len(rows))):
-            a, b = here[lo:hi], there[lo:hi]
-            off = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
-            scale = np.median(np.sqrt(((a - a.mean(axis=0)) ** 2).sum(axis=1))) or 1.0
-            log_p = transport(-20.0 * off / scale, dustbin, rounds)[:-1]
-            best = log_p.argmax(axis=1)
-            partner[lo:hi] = np.append(idx[lo:hi], -1)[best]
-            weight[lo:hi] = log_p[np.arange(hi - lo), best]
+        sizes = np.diff(np.append(starts, len(rows)))
+        for size in np.unique(sizes):
+            at = starts[sizes == size][:, None] + np.arange(size)
+            a, b = here[at], there[at]
+            off = np.sqrt(((a[:, :, None] - b[:, None]) ** 2).sum(axis=3))
+            scale = np.median(np.sqrt(((a - a.mean(axis=1, keepdims=True)) ** 2).sum(axis=2)), axis=1)
+            log_p = transport(-20.0 * off / np.where(scale > 0, scale, 1.0)[:, None, None], dustbin, rounds)[:, :-1]
+            best = log_p.argmax(axis=2)
+            own = np.concatenate([idx[at], np.full((len(at), 1), -1)], axis=1)
+            partner[at] = np.take_along_axis(own, best, axis=1)
+            weight[at] = np.take_along_axis(log_p, best[..., None], axis=2)[..., 0]
         return pd.DataFrame({"seq_id": rows["seq_id"].to_numpy(), "frame": frame, "left_idx": idx, "right_idx": partner, "log_p": np.round(weight, 5)})
 
     blocks = points.select("seq_id", "frame", "idx", "x", "y", "z", "nx", "ny", "nz", F.floor(F.col("frame") / GROUP_FRAMES).alias("block"))
