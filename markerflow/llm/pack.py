@@ -30,6 +30,7 @@ BLOCK_ITEMS = 20_000
 #: Room that a container may keep, as a share of its capacity, before its first item is put aside
 #: for the largest containers, where closer sums exist.
 SLACK_SHARE = 0.002
+MOST_TASKS = 4_000
 CONTAINER_STRIDE = 10_000_000
 
 
@@ -162,7 +163,8 @@ def pack_items(
         F.lit(top).cast("bigint").alias("capacity"),
     )
     rest = pieces.where(F.col("n") < top).withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("bigint"))
-    packed = rest.groupBy("block").applyInPandas(
+    # A set number of partitions: the rows are few beside the work, so they must not be gathered into few tasks.
+    packed = rest.repartition(min(blocks, MOST_TASKS), "block").groupBy("block").applyInPandas(
         lambda rows: _pack_block(rows, capacities),
         "key bigint, piece_no bigint, n bigint, container_no bigint, capacity bigint",
     )
