@@ -143,3 +143,31 @@ def select_keep_starts(candidates: DataFrame, near: float = 4.5e-4) -> DataFrame
     close = candidates.withColumn("least", F.min("jump").over(chunk)).where(F.col("jump") <= F.col("least") + near)
     best = F.min_by("keep", F.struct("guard_jump", -F.col("keep")))
     return close.groupBy("seq_id", "chunk_no").agg(best.cast("int").alias("keep_start"), F.min("least").alias("jump"))
+
+
+def velocity_references(chunks: DataFrame, value: str) -> DataFrame:
+    """`seq_id, chunk_no, row, reference`: what a chunk would be if it went on from the end of the chunk before.
+
+    The anchor is the last frame of the chunk before; a frame's reference is the anchor plus how far the chunk's own
+    values have come since that frame. Frames before it have none; a chunk without a predecessor has none."""
+    last = chunks.groupBy("seq_id", (F.col("chunk_no") + 1).alias("chunk_no")).agg(F.max_by(value, "row").alias("anchor"), F.max("row").alias("seam"))
+    own = chunks.select("seq_id", "chunk_no", F.col("row").alias("seam"), F.col(value).alias("base"))
+    anchors = last.join(own, ["seq_id", "chunk_no", "seam"])
+    met = chunks.join(anchors, ["seq_id", "chunk_no"]).where("row >= seam")
+    return met.select("seq_id", "chunk_no", "row", (F.col("anchor") + F.col(value) - F.col("base")).alias("reference"))
+
+
+def spliced(chunks: DataFrame, value: str) -> DataFrame:
+    """`seq_id, chunk_no, row, value`: each chunk with its overlap overwritten by the end of the chunk before, and the
+    rest moved by as much as the seam frame was."""
+    prev = chunks.select("seq_id", (F.col("chunk_no") + 1).alias("chunk_no"), "row", F.col(value).alias("_prev"))
+    met = chunks.join(prev, ["seq_id", "chunk_no", "row"], "left")
+    chunk = Window.partitionBy("seq_id", "chunk_no")
+    moved = F.max_by(F.col("_prev") - F.col(value), F.when(F.col("_prev").isNotNull(), F.col("row"))).over(chunk)
+    return met.select("seq_id", "chunk_no", "row", F.coalesce("_prev", F.col(value) + F.coalesce(moved, F.lit(0.0))).alias("value"))
+
+
+def peak_metric(columns: list[str]) -> Column:
+    """Name and value of the largest of some metrics; null counts as 0, of equals the first named."""
+    rank = F.array(*[F.struct(F.coalesce(c, F.lit(0.0)).alias("value"), F.lit(-i).alias("order"), F.lit(c).alias("name")) for i, c in enumerate(columns)])
+    return F.array_max(rank)

@@ -97,6 +97,26 @@ def rate_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq_id", rounded(F.col("rate")).alias("rate"))
 
 
+def normalized_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples in one form: model type and gender in lower case with defaults, a usable rate or the take's, and the length
+    in frames also where it was recorded in seconds, which is where it times the rate meets the take's frames better."""
+    takes = views.sessions(spark, sf_dir).select("seq_id", "n_frames", F.when(F.col("frame_rate") > 0, F.col("frame_rate")).alias("take_rate"))
+    rows = views.samples(spark, sf_dir).join(takes, "seq_id", "left")
+    rate = F.coalesce(F.when(F.col("mocap_frame_rate") > 0, F.col("mocap_frame_rate")), F.col("take_rate"))
+    length = F.col("mocap_time_length")
+    seconds = F.abs(length * rate - F.col("n_frames")) < F.abs(length - F.col("n_frames"))
+    gender = F.lower(F.trim("gender"))
+    return rows.select(
+        "seq_id",
+        F.regexp_replace(F.lower(F.trim("surface_model_type")), "[^a-z]", "").alias("model"),
+        F.when(gender.isin("male", "female", "neutral"), gender).otherwise("neutral").alias("gender"),
+        rounded(rate).alias("rate"),
+        F.when(seconds, F.round(length * rate)).otherwise(length).cast("bigint").alias("n_frames"),
+        F.size(F.coalesce("latent_labels", F.array().cast("array<string>"))).alias("n_latent"),
+        F.slice("betas", 1, 10).alias("b"),
+    ).select("*", rounded(F.aggregate(F.coalesce("b", F.array().cast("array<double>")), F.lit(0.0), lambda s, x: s + F.abs(x))).alias("shape")).drop("b")
+
+
 def repeated_layout_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _layout(spark, sf_dir).select("layout_id", F.upper(labels.clean_label(F.col("label"))).alias("label"))
     return layouts.repeated_labels(rows)
@@ -106,7 +126,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         layout_merge, layout_roundtrip, unknown_labels, layout_vertex_remap, path_keys, alias_files, pending_jobs, dataset_stats, subject_split, split_overlap,
-        settings_grid, rate_overrides, repeated_layout_labels,
+        settings_grid, rate_overrides, repeated_layout_labels, normalized_samples,
     )
 }
 
@@ -137,5 +157,9 @@ ORACLE_SQL = {
     "rate_overrides": f"""{with_views('ses', 'smp')}, d AS (SELECT dataset, median(frame_rate) AS r FROM ses WHERE frame_rate > 0 GROUP BY dataset), g AS (SELECT rig, median(frame_rate) AS r FROM ses WHERE frame_rate > 0 GROUP BY rig)
         SELECT ses.seq_id, round(coalesce(CASE WHEN mocap_frame_rate > 0 THEN mocap_frame_rate END, CASE WHEN frame_rate > 0 THEN frame_rate END, g.r, d.r), 6) AS rate
         FROM ses LEFT JOIN smp ON ses.seq_id = smp.seq_id LEFT JOIN d ON d.dataset = ses.dataset LEFT JOIN g ON g.rig = ses.rig""",
+    "normalized_samples": f"""{with_views('ses', 'smp')}, j AS (SELECT smp.*, ses.n_frames AS nf, coalesce(CASE WHEN mocap_frame_rate > 0 THEN mocap_frame_rate END, CASE WHEN frame_rate > 0 THEN frame_rate END) AS r FROM smp LEFT JOIN ses USING (seq_id))
+        SELECT seq_id, regexp_replace(lower(trim(surface_model_type)), '[^a-z]', '', 'g') AS model, CASE WHEN lower(trim(gender)) IN ('male', 'female', 'neutral') THEN lower(trim(gender)) ELSE 'neutral' END AS gender, round(r, 6) AS rate,
+        (CASE WHEN abs(mocap_time_length * r - nf) < abs(mocap_time_length - nf) THEN round(mocap_time_length * r) ELSE mocap_time_length END)::BIGINT AS n_frames, coalesce(len(latent_labels), 0) AS n_latent,
+        round(coalesce(list_sum(list_transform(betas[1:10], lambda x: abs(x))), 0), 6) AS shape FROM j""",
     "repeated_layout_labels": f"SELECT layout_id, upper({CLEAN}) AS label, count(*) AS n FROM marker_layout GROUP BY ALL HAVING count(*) > 1",
 }

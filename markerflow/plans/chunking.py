@@ -88,7 +88,41 @@ def chunk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _drifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of x of the first vertex, odd ones shifted by a millimetre a row."""
+    frames, plan = _plan(spark, sf_dir)
+    rows = chunks.chunked_frames(frames.select("seq_id", "row", F.get("vertices", F.lit(0)).cast("double").alias("x")), plan)
+    return rows.withColumn("x", F.round(F.col("x") + F.when(F.col("chunk_no") % 2 == 1, 0.001 * (F.col("row") - F.col("row_start"))).otherwise(0.0), 6))
+
+
+def velocity_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.velocity_references(_drifted(spark, sf_dir), "x").select("seq_id", "chunk_no", "row", rounded(F.col("reference")).alias("reference"))
+
+
+def spliced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.spliced(_drifted(spark, sf_dir), "x").select("seq_id", "chunk_no", "row", rounded(F.col("value")).alias("value"))
+
+
+def seam_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest of three metrics of each seam, and the seams whose step reaches the threshold."""
+    rows = chunks.seam_diagnostics(*_plan(spark, sf_dir), "vertices").withColumns({c: F.round(c, 6) for c in ("seam_delta", "pre_accel", "post_accel")})
+    peak = chunks.peak_metric(["seam_delta", "pre_accel", "post_accel"])
+    return rows.select("seq_id", "chunk_no", peak.getField("name").alias("metric"), peak.getField("value").alias("value"), (F.col("seam_delta") >= 0.05).alias("hot"))
+
+
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON text per sequence: its settings and the summary of its seams."""
+    seams = summarize(chunks.seam_diagnostics(*_plan(spark, sf_dir), "vertices"), ["seq_id"], "seam_delta")
+    rows = views.mesh_settings(spark, sf_dir).join(seams, "seq_id", "left")
+    inner = F.when(F.col("n").isNotNull(), F.struct("n", "max"))
+    return rows.select("seq_id", F.to_json(F.struct("chunk_overlap", "chunk_size", inner.alias("seams")), {"ignoreNullFields": "false"}).alias("report"))
+
+
 QUERIES = {
+    "velocity_references": velocity_references,
+    "spliced_chunks": spliced_chunks,
+    "seam_peaks": seam_peaks,
+    "quality_report": quality_report,
     "chunk_plan": chunk_plan,
     "seam_plan": seam_plan,
     "settings_report": settings_report,
@@ -117,7 +151,15 @@ MOVES = f"""l AS (SELECT seq_id, row, frame, {{e}} AS v, lag({{e}}) OVER w AS v1
 ALL = MOVES.format(e="vertices")
 COLS = ", ".join(f"round({c}, 6) AS {c}" for c in ("prev_delta", "seam_delta", "next_delta", "pre_accel", "post_accel"))
 
+DRIFTED = """r AS (SELECT seq_id, chunk_no, row, round(vertices[1]::DOUBLE + CASE WHEN chunk_no % 2 = 1 THEN 0.001 * (row - row_start) ELSE 0 END, 6) AS x FROM plan JOIN mesh USING (seq_id) WHERE row >= row_start AND row < row_end)"""
+
 ORACLE_SQL = {
+    "velocity_references": f"""{PLAN}, {DRIFTED}, e AS (SELECT seq_id, chunk_no + 1 AS chunk_no, max(row) AS seam, arg_max(x, row) AS anchor FROM r GROUP BY ALL), b AS (SELECT e.*, r.x AS base FROM e JOIN r ON r.seq_id = e.seq_id AND r.chunk_no = e.chunk_no AND r.row = e.seam)
+        SELECT r.seq_id, r.chunk_no, r.row, round(anchor + x - base, 6) AS reference FROM r JOIN b ON r.seq_id = b.seq_id AND r.chunk_no = b.chunk_no AND r.row >= b.seam""",
+    "spliced_chunks": f"""{PLAN}, {DRIFTED}, m AS (SELECT a.seq_id, a.chunk_no, a.row, a.x, b.x AS p FROM r a LEFT JOIN r b ON a.seq_id = b.seq_id AND a.chunk_no = b.chunk_no + 1 AND a.row = b.row),
+        s AS (SELECT seq_id, chunk_no, arg_max(p - x, row) AS d FROM m WHERE p IS NOT NULL GROUP BY ALL) SELECT m.seq_id, m.chunk_no, m.row, round(coalesce(p, x + coalesce(d, 0)), 6) AS value FROM m LEFT JOIN s ON m.seq_id = s.seq_id AND m.chunk_no = s.chunk_no""",
+    "seam_peaks": f"""{PLAN}, {ALL}, d AS (SELECT seq_id, chunk_no, coalesce(round(seam_delta, 6), 0) AS a, coalesce(round(pre_accel, 6), 0) AS b, coalesce(round(post_accel, 6), 0) AS c, round(seam_delta, 6) >= 0.05 AS hot FROM seams JOIN m USING (seq_id) WHERE row = seam_row)
+        SELECT seq_id, chunk_no, CASE WHEN a >= b AND a >= c THEN 'seam_delta' WHEN b >= c THEN 'pre_accel' ELSE 'post_accel' END AS metric, greatest(a, b, c) AS value, hot FROM d""",
     "chunk_plan": f"{PLAN} SELECT * FROM plan",
     "seam_plan": f"{PLAN} SELECT * FROM seams",
     "settings_report": f"""{PLAN}, q AS (SELECT seq_id, count(*) AS n_chunks FROM plan GROUP BY seq_id), r AS (SELECT cfg.seq_id, CASE

@@ -94,6 +94,15 @@ def test_stitching_takes_the_least_jump(spark, before, after, keep):
     assert rows(chunks.select_keep_starts(chunks.stitch_candidates(df, "x", "pose")), "keep_start") == [(keep,)]
 
 
+def test_references_go_on_from_the_chunk_before(spark):
+    prev = [("s", 0, r, 202.0 + r) for r in range(2)]
+    cur = [("s", 1, r, 22.0 + r) for r in range(4)]
+    df = spark.createDataFrame(prev + cur, "seq_id string, chunk_no int, row int, x double")
+    assert rows(chunks.velocity_references(df, "x"), "row", "reference") == [(1, 203.0), (2, 204.0), (3, 205.0)]
+    spliced = chunks.spliced(df, "x").where("chunk_no = 1")
+    assert rows(spliced, "row", "value") == [(0, 202.0), (1, 203.0), (2, 204.0), (3, 205.0)]
+
+
 POINTS = "seq_id string, frame int, marker_idx int, label string, x double, y double, z double"
 
 
