@@ -30,17 +30,19 @@ from markerflow.llm.cues import HASH_BITS, CueReader, fold, hashed, split_cues
 from markerflow.session import checkpointed
 
 MIN_SHARE = 5e-5
-MIN_DOCS = 4
+MIN_DOCS = 3
 MAX_TERMS = 2_000_000
 MAX_BRANDS = 100_000
 #: Terms of more than this share of the documents tell nothing of a subject.
 MOST_SHARE = 0.2
-ROUNDS = 3
+ROUNDS = 4
 INNER_ROUNDS = 6
 ANCHOR = 0.2
 LIFT = 3.0
 CLEAR = 3.0
 SHARED = 1.5
+FORETOLD = 1.5
+CHANCE = 2.0
 SURE = 0.6
 LEAST_CUES = 3
 LEAST_SHARE = 0.1
@@ -163,15 +165,18 @@ class Matrix:
         return parts
 
 
-def _anchors(held: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _anchors(held: np.ndarray, sizes: np.ndarray, docs: np.ndarray, total: int) -> np.ndarray:
     """Weights of the terms that a subject's labelled documents hold clearly more often than other labelled ones.
 
-    `held` counts the documents of each subject, and last of any label, that hold a term; `sizes` those documents themselves.
+    `held` counts the documents of each subject, and last of any label, that hold a term; `sizes` those documents
+    themselves; `docs` all documents that hold it. A term of many more documents than the labels of its subject foretell,
+    such as a phrase of a language with few labels, is no anchor.
     """
     inside, outside = held[:-1], held[-1] - held[:-1]
     expected = sizes[:-1, None] * outside / np.maximum(sizes[-1] - sizes[:-1], 1)[:, None]
     clear = (inside >= 2) & (inside >= LIFT * expected) & (inside - expected >= CLEAR * np.sqrt(np.maximum(expected, 0.25)))
-    return np.where(clear, inside - expected, 0.0)
+    own = docs[None, :] <= (FORETOLD * inside + CHANCE * np.sqrt(inside)) * total / max(sizes[-1], 1)
+    return np.where(clear & own, inside - expected, 0.0)
 
 
 def _normal(rows: np.ndarray) -> np.ndarray:
@@ -203,7 +208,7 @@ def _described(space: Space, described: list, docs: np.ndarray, total: int) -> n
     return out
 
 
-def _labelled_anchors(labelled: DataFrame, space: Space, number: dict[str, int]) -> np.ndarray:
+def _labelled_anchors(labelled: DataFrame, space: Space, number: dict[str, int], docs: np.ndarray, total: int) -> np.ndarray:
     k, width = len(number), len(space.terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +233,7 @@ def _labelled_anchors(labelled: DataFrame, space: Space, number: dict[str, int])
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), flat_sums.cast(pa.list_(pa.float64()))], ["place", "sums"])
 
     held = _summed(labelled.mapInArrow(run, "place bigint, sums array<double>"), k + 1, width + 1)
-    return _anchors(held[:, :-1], held[:, -1])
+    return _anchors(held[:, :-1], held[:, -1], docs, total)
 
 
 def _summed(parts: DataFrame, rows: int, width: int) -> np.ndarray:
@@ -259,7 +264,7 @@ def fit_subjects(cues: DataFrame, labels: DataFrame, areas: DataFrame, rounds: i
     if not len(terms):
         return space
     number = {name: i for i, name in enumerate(names)}
-    anchors = _described(space, described, docs, total) + _labelled_anchors(cues.join(clean_labels(labels), "doc_id"), space, number)
+    anchors = _described(space, described, docs, total) + _labelled_anchors(cues.join(clean_labels(labels), "doc_id"), space, number, docs, total)
     # What most documents hold tells nothing of a subject, unless labels say that it does.
     telling = (docs <= MOST_SHARE * total) | (anchors.max(axis=0) > 0)
     anchors, docs = _normal(anchors[:, telling]), docs[telling]
