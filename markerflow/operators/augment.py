@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from markerflow.operators.ranges import top_k
+
 
 def draw(seed: int, *keys: str | Column) -> Column:
     """A text that orders rows at random, the same for the same seed and keys."""
@@ -17,8 +19,7 @@ def draw(seed: int, *keys: str | Column) -> Column:
 
 def picked_frames(frames: DataFrame, per_seq: int, seed: int) -> DataFrame:
     """Up to `per_seq` frames of each sequence without replacement."""
-    order = Window.partitionBy("seq_id").orderBy(draw(seed, "seq_id", "frame"), "frame")
-    return frames.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_seq).drop("_n")
+    return top_k(frames, ["seq_id"], [draw(seed, "seq_id", "frame"), "frame"], per_seq, ["frame"], "_n").drop("_n")
 
 
 def relaxed_threshold(frames: DataFrame, least: float, wanted: int, step: float = 0.01) -> DataFrame:
@@ -88,8 +89,9 @@ def exact_fraction(rows: DataFrame, key: str, fraction: float, seed: int, bucket
 
 def noise_model(residuals: DataFrame, size: int, seed: int) -> DataFrame:
     """`label, sample_id, dx, dy, dz`: `size` residuals for each label, each label's own repeated in drawn order until there are enough."""
-    order = Window.partitionBy("label").orderBy(draw(seed, "label", "dx", "dy", "dz"), "dx", "dy", "dz")
-    ranked = residuals.withColumn("_i", F.row_number().over(order) - 1).where(F.col("_i") < size)
+    order = [draw(seed, "label", "dx", "dy", "dz"), "dx", "dy", "dz"]
+    # Equal residuals are spread by a number of their own, or a frequent one would fill a part.
+    ranked = top_k(residuals.withColumn("_u", F.monotonically_increasing_id()), ["label"], order, size, ["_u"], "_i").withColumn("_i", F.col("_i") - 1)
     counts = ranked.groupBy("label").agg(F.count("*").alias("n"))
     slots = counts.select("label", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("sample_id"), "n").withColumn("_i", F.col("sample_id") % F.col("n"))
     return slots.join(ranked, ["label", "_i"]).select("label", "sample_id", "dx", "dy", "dz")

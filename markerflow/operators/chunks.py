@@ -7,10 +7,11 @@ an equi-join on the sequence and the chunk numbers that can cover them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from markerflow.operators.temporal import l2_bend, l2_step, seq
+from markerflow.operators.ranges import along
+from markerflow.operators.temporal import l2_bend, l2_step
 
 
 def usable_settings(settings: DataFrame) -> DataFrame:
@@ -79,18 +80,18 @@ def chunked_frames(frames: DataFrame, plan: DataFrame, bucket: int = 64) -> Data
 
 def motion_columns(frames: DataFrame, vec: str) -> DataFrame:
     """Per frame the step into it, the steps around it and the bends before and after it, all from one window."""
-    lag, lead = (lambda n: F.lag(vec, n).over(seq())), (lambda n: F.lead(vec, n).over(seq()))
-    here = F.col(vec)
-    known = lambda col, *need: F.when(_all_there(*need), col)
-    return frames.withColumns(
-        {
-            "prev_delta": known(l2_step(lag(1), lag(2)), lag(1), lag(2)),
-            "seam_delta": known(l2_step(here, lag(1)), lag(1)),
-            "next_delta": known(l2_step(lead(1), here), lead(1)),
-            "pre_accel": known(l2_bend(here, lag(1), lag(2)), lag(1), lag(2)),
-            "post_accel": known(l2_bend(lead(1), here, lag(1)), lead(1), lag(1)),
+
+    def motion(w: WindowSpec) -> dict[str, Column]:
+        one, two, ahead, here = F.lag(vec, 1).over(w), F.lag(vec, 2).over(w), F.lead(vec, 1).over(w), F.col(vec)
+        return {
+            "prev_delta": F.when(_all_there(one, two), l2_step(one, two)),
+            "seam_delta": F.when(_all_there(one), l2_step(here, one)),
+            "next_delta": F.when(_all_there(ahead), l2_step(ahead, here)),
+            "pre_accel": F.when(_all_there(one, two), l2_bend(here, one, two)),
+            "post_accel": F.when(_all_there(ahead, one), l2_bend(ahead, here, one)),
         }
-    )
+
+    return along(frames, motion)
 
 
 def _all_there(*columns: Column) -> Column:
@@ -109,7 +110,7 @@ def seam_diagnostics(frames: DataFrame, plan: DataFrame, vec: str) -> DataFrame:
 
 def seam_windows(frames: DataFrame, plan: DataFrame, vec: str, width: int) -> DataFrame:
     """`seq_id, chunk_no, seam_row, n, mean, max, first, last, peak_row`: steps in the `width` rows from each seam on."""
-    steps = frames.select("seq_id", "row", F.when(F.lag(vec).over(seq()).isNotNull(), l2_step(F.col(vec), F.lag(vec).over(seq()))).alias("delta"))
+    steps = along(frames, lambda w: {"delta": F.when(F.lag(vec).over(w).isNotNull(), l2_step(F.col(vec), F.lag(vec).over(w)))}).select("seq_id", "row", "delta")
     rows = seam_plan(plan).withColumn("row", F.explode(F.sequence(F.col("seam_row"), F.col("seam_row") + width - 1)))
     return (
         rows.join(steps, ["seq_id", "row"])

@@ -1,15 +1,18 @@
 """Differences, windows and smoothing along a sequence.
 
-All operators of this module share one window, so Spark plans one exchange and one sort. Null and
-NaN differences count as no movement. The first frames of a sequence, which have no predecessor,
+Sequences with a `row` column are worked on in blocks of positions with halos, so a sequence of any length is
+many bounded tasks; the columns of one call share one exchange and one sort. Null and NaN differences count as no movement. The first frames of a sequence, which have no predecessor,
 give null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from markerflow.operators.ranges import along, follows
+from markerflow.operators.ranges import top_k as first_k
+
 #: Parts of a pose vector by its size: (first, length), counted from 0.
 POSE_REGIONS = {
     165: {"body": (3, 63), "left_hand": (75, 45), "right_hand": (120, 45)},
@@ -18,11 +21,6 @@ POSE_REGIONS = {
 }
 
 
-def seq() -> WindowSpec:
-    """The window of a sequence. Made when used: it needs a session."""
-    return Window.partitionBy("seq_id").orderBy("frame")
-
-
 def zero_if_missing(value: Column) -> Column:
     """NaN and null differences count as no movement."""
     return F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
@@ -30,14 +28,16 @@ def zero_if_missing(value: Column) -> Column:
 
 def scalar_deltas(df: DataFrame, value: str, name: str) -> DataFrame:
     """|x_t - x_(t-1)|; null on the first frame of a sequence."""
-    step = zero_if_missing(F.col(value) - F.lag(value).over(seq()))
-    return df.withColumn(name, F.when(F.row_number().over(seq()) > 1, F.abs(step)))
+    return along(df, lambda w: {name: F.when(follows(w), F.abs(zero_if_missing(F.col(value) - F.lag(value).over(w))))})
 
 
 def scalar_jitter(df: DataFrame, value: str, name: str) -> DataFrame:
     """|x_t - 2 x_(t-1) + x_(t-2)|; null on the first two frames."""
-    bend = zero_if_missing(F.col(value) - 2 * F.lag(value).over(seq()) + F.lag(value, 2).over(seq()))
-    return df.withColumn(name, F.when(F.row_number().over(seq()) > 2, F.abs(bend)))
+
+    def bend(w: WindowSpec) -> dict[str, Column]:
+        return {name: F.when(follows(w, 2), F.abs(zero_if_missing(F.col(value) - 2 * F.lag(value).over(w) + F.lag(value, 2).over(w))))}
+
+    return along(df, bend)
 
 
 def l2_step(now: Column, before: Column) -> Column:
@@ -58,9 +58,23 @@ def l2_bend(now: Column, before: Column, before2: Column) -> Column:
 
 def vector_motion(df: DataFrame, vec: str) -> DataFrame:
     """`delta` and `accel` of a vector column; null where frames before are missing."""
-    before, before2 = F.lag(vec).over(seq()), F.lag(vec, 2).over(seq())
-    n = F.row_number().over(seq())
-    return df.withColumns({"delta": F.when(n > 1, l2_step(F.col(vec), before)), "accel": F.when(n > 2, l2_bend(F.col(vec), before, before2))})
+
+    def motion(w: WindowSpec) -> dict[str, Column]:
+        before, before2 = F.lag(vec).over(w), F.lag(vec, 2).over(w)
+        return {"delta": F.when(follows(w), l2_step(F.col(vec), before)), "accel": F.when(follows(w, 2), l2_bend(F.col(vec), before, before2))}
+
+    return along(df, motion)
+
+
+def part_deltas(df: DataFrame, parts: dict[str, Column]) -> DataFrame:
+    """`seq_id, frame, region, delta`: steps of parts of a vector; null where a part or its predecessor is missing."""
+    named = df.withColumns({f"_{k}": part for k, part in parts.items()})
+
+    def steps(w: WindowSpec) -> dict[str, Column]:
+        return {f"_d{k}": F.when(F.lag(f"_{k}").over(w).isNotNull() & F.col(f"_{k}").isNotNull(), l2_step(F.col(f"_{k}"), F.lag(f"_{k}").over(w))) for k in parts}
+
+    stacked = F.create_map(*[x for k in parts for x in (F.lit(k), F.col(f"_d{k}"))])
+    return along(named, steps).select("seq_id", "frame", F.explode(stacked).alias("region", "delta"))
 
 
 def region(vec: str, name: str) -> Column:
@@ -75,15 +89,23 @@ def region(vec: str, name: str) -> Column:
 
 def smooth_once(df: DataFrame, value: str, name: str, alpha: float = 0.5) -> DataFrame:
     """x + alpha (mean of both neighbours - x); before the first frame stands the first, after the last the one before it."""
-    before = F.coalesce(F.lag(value).over(seq()), F.col(value))
-    after = F.coalesce(F.lead(value).over(seq()), F.lag(value).over(seq()), F.col(value))
-    return df.withColumn(name, F.col(value) + alpha * ((before + after) / 2 - F.col(value)))
+
+    def smoothed(w: WindowSpec) -> dict[str, Column]:
+        before = F.coalesce(F.lag(value).over(w), F.col(value))
+        after = F.coalesce(F.lead(value).over(w), F.lag(value).over(w), F.col(value))
+        return {name: F.col(value) + alpha * ((before + after) / 2 - F.col(value))}
+
+    return along(df, smoothed)
 
 
 def extrapolated(df: DataFrame, value: str, name: str, alpha: float) -> DataFrame:
     """What the two frames before predict: x_(t-1) + alpha (x_(t-1) - x_(t-2)); null where there aren't two."""
-    one, two = F.lag(value).over(seq()), F.lag(value, 2).over(seq())
-    return df.withColumn(name, one + alpha * (one - two))
+
+    def predicted(w: WindowSpec) -> dict[str, Column]:
+        one, two = F.lag(value).over(w), F.lag(value, 2).over(w)
+        return {name: one + alpha * (one - two)}
+
+    return along(df, predicted)
 
 
 def tumbling(frame: Column, size: int) -> Column:
@@ -100,8 +122,7 @@ def window_hotspots(df: DataFrame, size: int, top_k: int) -> DataFrame:
     windows = windows.withColumn("delta", F.round(F.col("candidate_mean") - F.col("reference_mean"), 9)).where("delta is not null")
     sides = []
     for side, order, keep in (("up", F.desc("delta"), F.col("delta") > 0), ("down", F.asc("delta"), F.col("delta") < 0)):
-        rank = F.row_number().over(Window.partitionBy("seq_id").orderBy(order, "window"))
-        sides.append(windows.where(keep).withColumn("rank", rank).where(F.col("rank") <= top_k).withColumn("side", F.lit(side)))
+        sides.append(first_k(windows.where(keep), ["seq_id"], [order, "window"], top_k, ["window"], "rank").withColumn("side", F.lit(side)))
     return sides[0].unionByName(sides[1])
 
 
@@ -127,15 +148,16 @@ def ramp_prepended(df: DataFrame, value: str, steps: int) -> DataFrame:
 
 
 def velocity_terms(df: DataFrame, value: str) -> DataFrame:
-    """Per sequence the sums of squared first and second differences, and of squared departures from constant velocity over two frames."""
-    one, two = F.lag(value).over(seq()), F.lag(value, 2).over(seq())
-    rows = df.withColumns(
-        {
+    """Per sequence the sums of squared values, first and second differences."""
+
+    def squares(w: WindowSpec) -> dict[str, Column]:
+        one, two = F.lag(value).over(w), F.lag(value, 2).over(w)
+        return {
             "_velo": F.pow(F.col(value) - one, F.lit(2.0)),
             "_accel": F.pow(F.col(value) - 2 * one + two, F.lit(2.0)),
             "_value": F.pow(F.col(value), F.lit(2.0)),
         }
-    )
-    return rows.groupBy("seq_id").agg(
+
+    return along(df, squares).groupBy("seq_id").agg(
         F.coalesce(F.sum("_value"), F.lit(0.0)).alias("data"), F.coalesce(F.sum("_velo"), F.lit(0.0)).alias("velocity"), F.coalesce(F.sum("_accel"), F.lit(0.0)).alias("acceleration")
     )

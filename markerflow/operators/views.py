@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from markerflow.operators.ranges import RANGE, numbered
 from markerflow.session import first_by, table
 
 
 def ts_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as one-dimensional sequences: `seq_id, frame, value, label`."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    events = table(spark, sf_dir, "events")
-    return events.select(
-        F.col("user_id").alias("seq_id"), (F.row_number().over(order) - 1).alias("frame"), "value", F.col("event_type").alias("label")
-    )
+    """events as one-dimensional sequences: `seq_id, frame, row, value, label`."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("seq_id"), "ts", "event_id", "value", F.col("event_type").alias("label"))
+    placed = numbered(events, "seq_id", F.date_trunc("hour", "ts"), ["ts", "event_id"], "frame")
+    return placed.select("seq_id", "frame", F.col("frame").alias("row"), "value", "label")
 
 
 def vec_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as vector sequences: `seq_id, frame, vec`."""
-    order = Window.partitionBy("label").orderBy("vec_id")
-    rows = table(spark, sf_dir, "embeddings")
-    return rows.select(F.col("label").alias("seq_id"), (F.row_number().over(order) - 1).alias("frame"), F.col("embedding").alias("vec"))
+    """embeddings as vector sequences: `seq_id, frame, row, vec`."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("seq_id"), "vec_id", F.col("embedding").alias("vec"))
+    placed = numbered(rows, "seq_id", F.floor(F.col("vec_id") / RANGE), ["vec_id"], "frame")
+    return placed.select("seq_id", "frame", F.col("frame").alias("row"), "vec")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,13 +38,18 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pose frames: `seq_id, frame, fullpose, trans`."""
     return first_by(table(spark, sf_dir, "pose_frames"), ["seq_id", "frame"]).drop("ingested_at")
 
 
+def with_rows(df: DataFrame) -> DataFrame:
+    """Frames of sequences with `row`, their position from 0."""
+    return numbered(df, "seq_id", F.floor(F.col("frame") / RANGE), ["frame"], "row")
+
+
 def mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mesh frames with `row`, the position in the sequence from 0: `seq_id, frame, vertices, row`."""
-    once = first_by(table(spark, sf_dir, "mesh_frames"), ["seq_id", "frame"]).drop("ingested_at")
-    return once.withColumn("row", F.row_number().over(Window.partitionBy("seq_id").orderBy("frame")) - 1)
+    """Mesh frames: `seq_id, frame, vertices, row`."""
+    return with_rows(first_by(table(spark, sf_dir, "mesh_frames"), ["seq_id", "frame"]).drop("ingested_at"))
 
 
 def mesh_settings(spark: SparkSession, sf_dir: str) -> DataFrame:

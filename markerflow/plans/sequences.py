@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markerflow.functions.stats import rounded, summarize, summary_columns
+from markerflow.functions.stats import rounded, summarize
 from markerflow.operators import temporal, views
 from markerflow.operators.views import with_views
 
-G1 = """count(*) AS n, round(avg({v}), 6) AS mean, round(coalesce(stddev_samp({v}), 0), 6) AS std, round(min({v}), 6) AS min,
+G1 = """count(*) AS n, round(avg({v}) + 1e-9, 6) AS mean, round(coalesce(stddev_samp({v}), 0) + 1e-9, 6) AS std, round(min({v}), 6) AS min,
     round(max({v}), 6) AS max, round(quantile_cont({v}, 0.5), 6) AS p50, round(quantile_cont({v}, 0.9), 6) AS p90,
     round(quantile_cont({v}, 0.99), 6) AS p99"""
 L2 = "sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)))"
@@ -32,22 +32,14 @@ def mesh_motion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_frame_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.vec_frames(spark, sf_dir)
-    parts = F.create_map(*[x for k, (a, b) in {"a": (1, 21), "b": (22, 21), "c": (43, 22)}.items() for x in (F.lit(k), F.slice("vec", a, b))])
-    stacked = rows.select("seq_id", "frame", F.explode(parts).alias("region", "part"))
-    order = Window.partitionBy("seq_id", "region").orderBy("frame")
-    step = temporal.l2_step(F.col("part"), F.lag("part").over(order))
-    return summarize(stacked.withColumn("delta", F.when(F.row_number().over(order) > 1, step)), ["seq_id", "region"], "delta")
+    parts = {k: F.slice("vec", a, b) for k, (a, b) in {"a": (1, 21), "b": (22, 21), "c": (43, 22)}.items()}
+    return summarize(temporal.part_deltas(views.vec_frames(spark, sf_dir), parts), ["seq_id", "region"], "delta")
 
 
 def pose_region_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.poses(spark, sf_dir)
-    names = ["body", "left_hand", "right_hand"]
-    parts = F.create_map(*[x for n in names for x in (F.lit(n), temporal.region("fullpose", n))])
-    stacked = rows.select("seq_id", "frame", F.explode(parts).alias("region", "part")).where("part is not null")
-    order = Window.partitionBy("seq_id", "region").orderBy("frame")
-    step = temporal.l2_step(F.col("part"), F.lag("part").over(order))
-    return summarize(stacked.withColumn("delta", F.when(F.row_number().over(order) > 1, step)), ["seq_id", "region"], "delta")
+    rows = views.with_rows(views.poses(spark, sf_dir).where("fullpose is not null"))
+    parts = {n: temporal.region("fullpose", n) for n in ("body", "left_hand", "right_hand")}
+    return summarize(temporal.part_deltas(rows, parts), ["seq_id", "region"], "delta")
 
 
 def smoothed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +57,7 @@ def window_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predicted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = temporal.extrapolated(views.ts_frames(spark, sf_dir), "value", "predicted", 0.5)
     kept = rows.where("predicted is not null").withColumn("off", F.abs(F.col("value") - F.col("predicted")))
-    return kept.groupBy("seq_id").agg(*summary_columns("off"))
+    return summarize(kept, ["seq_id"], "off")
 
 
 def downsampled_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markerflow.functions.stats import rounded, summarize
 from markerflow.operators import geometry, labels, temporal, views
+from markerflow.operators.ranges import along
 from markerflow.operators.views import with_views
 from markerflow.plans.sequences import G1, L2
 from markerflow.session import table
@@ -94,9 +95,13 @@ def joint_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v2v_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances between the vertices of a frame and of the frame before."""
-    rows = _corners(spark, sf_dir)
-    order = Window.partitionBy("seq_id", "vid").orderBy("frame")
-    off = rows.withColumn("d", F.when(F.lag("xyz").over(order).isNotNull(), temporal.l2_step(F.col("xyz"), F.lag("xyz").over(order)))).where("d is not null")
+    rows = along(views.mesh(spark, sf_dir), lambda w: {"before": F.lag("vertices").over(w)}).where("before is not null")
+
+    def step(i: Column) -> Column:
+        squares = [F.pow(F.get("vertices", i * 3 + k).cast("double") - F.get("before", i * 3 + k).cast("double"), F.lit(2.0)) for k in range(3)]
+        return F.sqrt(squares[0] + squares[1] + squares[2])
+
+    off = rows.select("seq_id", F.explode(F.transform(F.sequence(F.lit(0), (F.size("vertices") / 3).cast("int") - 1), step)).alias("d"))
     return off.groupBy("seq_id").agg(rounded(F.avg("d")).alias("mean"), rounded(F.stddev_pop("d")).alias("std"), rounded(F.median("d")).alias("median"))
 
 
@@ -173,7 +178,7 @@ def robust_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, p90 and max of steps of poses beside those of smoothed ones: differences and ratios; null where either is."""
-    parts = views.poses(spark, sf_dir).where("trans is not null").select("seq_id", "frame", F.get("trans", F.lit(2)).alias("value"))
+    parts = views.with_rows(views.poses(spark, sf_dir).where("trans is not null").select("seq_id", "frame", F.get("trans", F.lit(2)).alias("value")))
     rows = temporal.scalar_deltas(temporal.smooth_once(parts, "value", "smoothed"), "value", "reference")
     rows = temporal.scalar_deltas(rows, "smoothed", "candidate")
     measures = {"mean": F.avg, "max": F.max}

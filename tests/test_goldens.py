@@ -219,3 +219,38 @@ def test_empty_tables(spark):
     assert labels.occlusion_rates(none).count() == 0
     assert geometry.frame_offsets(none).count() == 0
     assert augment.ghosts(none, 2, 1).count() == 0
+
+
+def test_blocks_give_what_whole_sequences_give(spark, monkeypatch):
+    from markerflow.operators import ranges
+
+    rng = np.random.default_rng(6)
+    data = [(s, f, f, float(rng.normal())) for s in "ab" for f in range(37)]
+    df = spark.createDataFrame(data, "seq_id string, frame int, row int, v double")
+    whole = df.drop("row")
+    for size in (1, 3, 8):
+        monkeypatch.setattr(ranges, "BLOCK_ROWS", size)
+        for f in (temporal.scalar_deltas, temporal.scalar_jitter, temporal.smooth_once, lambda d, v, n: temporal.extrapolated(d, v, n, 0.3)):
+            assert rows(f(df, "v", "w"), "seq_id", "frame", "w") == rows(f(whole, "v", "w"), "seq_id", "frame", "w")
+
+
+def test_positions_and_best_rows(spark):
+    from markerflow.operators import ranges
+
+    df = spark.createDataFrame([("a", f) for f in (5, 900, 7, 33, 901)] + [("b", 2), (None, 1)], "seq_id string, frame int")
+    got = ranges.numbered(df, "seq_id", F.floor(F.col("frame") / 10), ["frame"], "row")
+    assert rows(got, "seq_id", "frame", "row") == sorted([("a", 5, 0), ("a", 7, 1), ("a", 33, 2), ("a", 900, 3), ("a", 901, 4), ("b", 2, 0)], key=repr)
+    best = ranges.top_k(df.dropna(), ["seq_id"], [F.desc("frame")], 2, ["frame"], "n")
+    assert rows(best, "seq_id", "frame", "n") == [("a", 900, 2), ("a", 901, 1), ("b", 2, 1)]
+
+
+def test_spread_percentiles_are_exact(spark):
+    from markerflow.functions.stats import spread_percentiles
+
+    rng = np.random.default_rng(7)
+    groups = {"a": rng.normal(size=500), "b": np.repeat([1.0, 2.0], [400, 3]), "c": np.array([4.0]), "d": rng.integers(0, 5, size=200).astype(float)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double")
+    for n in (4, 64):
+        got = {r.k: (r.p50, r.p90, r.p99) for r in spread_percentiles(df, ["k"], "v", {"p50": 0.5, "p90": 0.9, "p99": 0.99}, n).collect()}
+        for k, vs in groups.items():
+            assert np.allclose(got[k], np.percentile(vs, [50, 90, 99]))
