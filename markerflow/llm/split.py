@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from markerflow.operators.ranges import RANGE, numbered
 from markerflow.session import first_by
 
 RANGE_FRAMES = 4_096
@@ -148,8 +149,11 @@ def natural_boundaries(
         _boundary_rows(hole_frames),
         "seq_id string, range_no int, pos bigint, frame int, kind string, n int, at_start boolean, at_end boolean",
     )
+    # Only runs at the edge of a range can go on in another: at most two of each range are ordered over a sequence.
+    still = found.where("kind = 'still'")
+    inside = still.where(f"not at_start and not at_end and n >= {int(hold_frames)}").select("seq_id", "range_no", "pos", "frame")
     order = Window.partitionBy("seq_id").orderBy("pos")
-    runs = found.where("kind = 'still'")
+    runs = still.where("at_start or at_end")
     # A run joins the one before if both touch the edge between their ranges: it then starts where that one ended.
     goes_on = F.col("at_start") & F.lag("at_end").over(order) & (F.lag(F.col("pos") + F.col("n")).over(order) == F.col("pos"))
     runs = runs.withColumn("run_no", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(order))
@@ -159,7 +163,7 @@ def natural_boundaries(
         .where(F.col("length") >= hold_frames)
         .select("seq_id", "first.range_no", "first.pos", "first.frame")
     )
-    return holds.unionByName(found.where("kind = 'cut'").select("seq_id", "range_no", "pos", "frame")).distinct()
+    return holds.unionByName(inside).unionByName(found.where("kind = 'cut'").select("seq_id", "range_no", "pos", "frame")).distinct()
 
 
 def sequence_lengths(ranges: DataFrame) -> DataFrame:
@@ -225,9 +229,7 @@ def split_pieces(frames: DataFrame, sequences: DataFrame, range_frames: int = RA
         lambda batches: (_cut_section(b) for b in batches),
         "seq_id string, start_pos bigint, end_pos bigint, keep_start bigint, natural_end boolean",
     )
-    pieces = pieces.withColumn(
-        "piece_no", F.row_number().over(Window.partitionBy("seq_id").orderBy("end_pos")) - 1
-    )
+    pieces = numbered(pieces, "seq_id", F.floor(F.col("end_pos") / RANGE), ["end_pos"], "piece_no")
     # Positions to frame numbers: a range covers at most two position buckets of its own size.
     bucket = lambda p: F.floor(p / range_frames)
     placed = ranges.select(
