@@ -29,21 +29,27 @@ def numbered(df: DataFrame, key: str, bucket: Column, order: list[str], name: st
     return met.select(*[placed[c] for c in df.columns], at)
 
 
-def along(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], halo: int = 2, block_rows: int | None = None) -> DataFrame:
+def along(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], halo: int = 2, key: str = "seq_id", block_rows: int | None = None) -> DataFrame:
     """`df` with columns that look up to `halo` rows back or ahead in their sequence.
 
     With a `row` column, the position in the sequence, the work is done in blocks of positions, each with a
     halo of its neighbours' rows; without one, a sequence is one window, which suits short sequences.
     """
     if "row" not in df.columns:
-        return df.withColumns(columns(Window.partitionBy("seq_id").orderBy("frame")))
+        return df.withColumns(columns(Window.partitionBy(key).orderBy("frame")))
     size = max(block_rows or BLOCK_ROWS, halo)
     block = lambda shift: F.floor(F.greatest(F.col("row") + shift, F.lit(0)) / size)
     spread = df.withColumn("_block", F.explode(F.array_distinct(F.array(block(-halo), block(0), block(halo)))))
-    done = spread.withColumns(columns(Window.partitionBy("seq_id", "_block").orderBy("row")))
+    done = spread.withColumns(columns(Window.partitionBy(key, "_block").orderBy("row")))
     return done.where(F.col("_block") == block(0)).drop("_block")
 
 
+def tracks(points: DataFrame) -> DataFrame:
+    """Marker readings with `track`, a name for the take and marker, and `row`, the position in it."""
+    named = points.withColumn("track", F.concat_ws("/", "seq_id", F.col("marker_idx").cast("string")))
+    return numbered(named, "track", F.floor(F.col("frame") / RANGE), ["frame"], "row")
+
+
 def follows(w: WindowSpec, n: int = 1) -> Column:
     """Whether a row has n rows before it."""
     return F.lag(F.lit(1), n).over(w).isNotNull()

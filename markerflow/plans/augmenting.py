@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markerflow.functions.stats import rounded
 from markerflow.operators import augment, labels, views
+from markerflow.operators.ranges import along, tracks
 from markerflow.operators.views import with_views
 from markerflow.session import table
 
@@ -52,8 +53,8 @@ def training_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residuals of seen markers: their step from the frame before."""
-    order = Window.partitionBy("seq_id", "marker_idx").orderBy("frame")
-    rows = _seen(spark, sf_dir).where("label is not null").withColumns({f"d{c}": F.round(F.col(c) - F.lag(c).over(order), 6) for c in "xyz"})
+    rows = tracks(_seen(spark, sf_dir).where("label is not null"))
+    rows = along(rows, lambda w: {f"d{c}": F.round(F.col(c) - F.lag(c).over(w), 6) for c in "xyz"}, halo=1, key="track")
     return rows.where("dx is not null and dy is not null and dz is not null").select("label", "dx", "dy", "dz")
 
 

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markerflow.operators import kernels, labels, views
+from markerflow.operators.ranges import along, tracks
 from markerflow.plans.spatial import FACES
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seen readings beside those of the same marker in its next seen frame."""
-    order = Window.partitionBy("seq_id", "marker_idx").orderBy("frame")
-    rows = labels.with_seen(views.points(spark, sf_dir)).where("seen")
-    return rows.withColumns({f"n{c}": F.lead(c).over(order) for c in "xyz"}).where("nx is not null")
+    rows = tracks(labels.with_seen(views.points(spark, sf_dir)).where("seen"))
+    return along(rows, lambda w: {f"n{c}": F.lead(c).over(w) for c in "xyz"}, halo=1, key="track").where("nx is not null")
 
 
 def sinkhorn_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markerflow.functions.stats import rounded, summarize
+from markerflow.functions.stats import rounded, spread_percentiles, summarize
 from markerflow.operators import geometry, labels, temporal, views
 from markerflow.operators.ranges import along
 from markerflow.operators.views import with_views
 from markerflow.plans.sequences import G1, L2
-from markerflow.session import table
+from markerflow.session import checkpointed, table
 
 
 def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +101,10 @@ def v2v_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         squares = [F.pow(F.get("vertices", i * 3 + k).cast("double") - F.get("before", i * 3 + k).cast("double"), F.lit(2.0)) for k in range(3)]
         return F.sqrt(squares[0] + squares[1] + squares[2])
 
-    off = rows.select("seq_id", F.explode(F.transform(F.sequence(F.lit(0), (F.size("vertices") / 3).cast("int") - 1), step)).alias("d"))
-    return off.groupBy("seq_id").agg(rounded(F.avg("d")).alias("mean"), rounded(F.stddev_pop("d")).alias("std"), rounded(F.median("d")).alias("median"))
+    off = checkpointed(rows.select("seq_id", F.explode(F.transform(F.sequence(F.lit(0), (F.size("vertices") / 3).cast("int") - 1), step)).alias("d")))
+    moments = off.groupBy("seq_id").agg(rounded(F.avg("d")).alias("mean"), rounded(F.stddev_pop("d")).alias("std"))
+    middle = spread_percentiles(off, ["seq_id"], "d", {"median": 0.5})
+    return moments.join(middle, "seq_id").select("seq_id", "mean", "std", rounded(F.col("median")).alias("median"))
 
 
 def _residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,11 +120,11 @@ def marker_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def residual_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames by the mean residual: up to the threshold the fast way is accepted, else the exact one is due."""
-    frames = _residuals(spark, sf_dir).groupBy("seq_id", "frame").agg(F.avg("off").alias("off"))
-    usual = frames.groupBy("seq_id").agg(F.median("off").alias("usual"))
+    frames = checkpointed(_residuals(spark, sf_dir).groupBy("seq_id", "frame").agg(F.avg("off").alias("off")))
+    usual = spread_percentiles(frames, ["seq_id"], "off", {"usual": 0.5, "p90": 0.9})
     route = F.when(F.round(F.col("off") - 1.2 * F.col("usual"), 9) <= 0, "fast").otherwise("exact")
     rows = frames.join(usual, "seq_id").withColumn("route", route)
-    return rows.groupBy("seq_id").agg(F.count_if(F.col("route") == "fast").alias("n_fast"), F.count_if(F.col("route") == "exact").alias("n_exact"), rounded(F.percentile("off", 0.9)).alias("p90"))
+    return rows.groupBy("seq_id").agg(F.count_if(F.col("route") == "fast").alias("n_fast"), F.count_if(F.col("route") == "exact").alias("n_exact"), rounded(F.max("p90")).alias("p90"))
 
 
 #: How many markers the pose weights were set for.
