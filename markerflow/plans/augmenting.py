@@ -92,7 +92,7 @@ ORACLE_SQL = {
     "picked_frames": f"""{with_views('pts', 'ok')}, {RATES}, r AS (SELECT seq_id, frame, row_number() OVER (PARTITION BY seq_id ORDER BY md5('7|' || seq_id || '|' || frame), frame) AS n FROM rates WHERE rate >= 0.9)
         SELECT seq_id, frame FROM r WHERE n <= 12""",
     "relaxed_thresholds": f"""{with_views('pts', 'ok')}, {RATES}, t AS (SELECT i FROM range(101) r(i)), c AS (SELECT seq_id, i, count_if(rate >= 1.0 - i * 0.01 - 1e-9) AS n FROM rates, t GROUP BY ALL)
-        SELECT seq_id, coalesce(round(1.0 - min(i) FILTER (n >= 60) * 0.01, 6), 0) AS threshold FROM c GROUP BY seq_id""",
+        SELECT seq_id, coalesce(round(1.0::DOUBLE - min(i) FILTER (n >= 60) * 0.01, 6), 0)::DOUBLE AS threshold FROM c GROUP BY seq_id""",
     "occluded_points": f"""{with_views('pts', 'ok')}, r AS (SELECT seq_id, marker_idx, row_number() OVER (PARTITION BY seq_id, frame ORDER BY md5('11|' || seq_id || '|' || frame || '|' || marker_idx), marker_idx) AS n FROM ok WHERE seen)
         SELECT seq_id, marker_idx, count_if(n <= 3) AS n_occluded, count_if(n > 3) AS n_left FROM r GROUP BY ALL""",
     "ghost_points": f"""{with_views('pts', 'ok')}, m AS (SELECT seq_id, frame, quantile_disc(x, 0.5) AS mx, quantile_disc(y, 0.5) AS my, quantile_disc(z, 0.5) AS mz, coalesce(stddev_samp(x), 0) AS sx, coalesce(stddev_samp(y), 0) AS sy, coalesce(stddev_samp(z), 0) AS sz FROM ok WHERE seen GROUP BY ALL),
