@@ -217,6 +217,8 @@ def map_values(
     values: DataFrame, canonical: DataFrame, value_col: str, out_col: str, name_col: str = "label", description_col: str = "description"
 ) -> DataFrame:
     """`values` with `out_col`: the canonical entry meant by `value_col`, or `UNMATCHED`."""
+    if out_col in values.columns:
+        raise ValueError(f"the values already have a column {out_col}")
     entries = canonical_entries(canonical, name_col, description_col)
     schema = T.StructType([*values.schema.fields, T.StructField(out_col, T.StringType())])
 
