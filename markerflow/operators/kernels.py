@@ -60,7 +60,9 @@ def transported(points: DataFrame, dustbin: float = -1.0, rounds: int = 35) -> D
         return pd.DataFrame({"seq_id": rows["seq_id"].to_numpy(), "frame": frame, "left_idx": idx, "right_idx": partner, "log_p": np.round(weight, 5)})
 
     blocks = points.select("seq_id", "frame", "idx", "x", "y", "z", "nx", "ny", "nz", F.floor(F.col("frame") / GROUP_FRAMES).alias("block"))
-    return blocks.groupBy("seq_id", "block").applyInPandas(run, "seq_id string, frame int, left_idx int, right_idx int, log_p double")
+    # Few bytes but much arithmetic a group: a set number of partitions is not gathered into fewer.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(tasks, "seq_id", "block").groupBy("seq_id", "block").applyInPandas(run, "seq_id string, frame int, left_idx int, right_idx int, log_p double")
 
 
 def rigid_fit(covariance: np.ndarray, mean_a: np.ndarray, mean_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
