@@ -13,7 +13,7 @@ repeated lines and time stamps come from a bounded cache.
 
 Defined cases: a null or empty text gives an empty list; a row with a null id keeps it; special
 tokens in a text are ordinary text; repeated rows give repeated results for short texts and
-one row per id for texts above `chunk_chars`.
+one row per id and text for texts above `chunk_chars`.
 """
 
 from __future__ import annotations
@@ -128,18 +128,19 @@ def _encode_batches(path: str, keys: list[str], counts_only: bool):
 def _chunk_batches(step: int, halo: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+            for key, doc, text in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "text"))):
                 starts = range(0, len(text), step)
                 for k in range(0, len(starts), 64):
                     some = starts[k : k + 64]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([key] * len(some), pa.int64()),
+                            pa.array([doc] * len(some), pa.string()),
                             pa.array(range(k, k + len(some)), pa.int64()),
                             pa.array(list(some), pa.int64()),
                             pa.array([text[s : s + step + halo] for s in some], pa.string()),
                         ],
-                        ["key", "chunk_no", "start", "text"],
+                        ["key", "doc", "chunk_no", "start", "text"],
                     )
 
     return run
@@ -156,7 +157,7 @@ def _boundary_batches(path: str, step: int, halo: int):
                 tails.append([start + b for b in found if b >= step])
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (heads, tails)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("key", "chunk_no", "start")] + lists, ["key", "chunk_no", "start", "head", "tail"]
+                [batch.column(c) for c in ("doc", "chunk_no", "start")] + lists, ["doc", "chunk_no", "start", "head", "tail"]
             )
 
     return run
@@ -186,22 +187,24 @@ def encode_corpus(
 
     short = docs.where(~is_long).mapInArrow(_encode_batches(path, ["key"], counts_only), f"key bigint, {kind}")
 
-    chunks = docs.where(is_long).mapInArrow(
-        _chunk_batches(chunk_chars, halo_chars), "key bigint, chunk_no bigint, start bigint, text string"
+    # A long text is known by its id and its hash, so that null and repeated ids do no harm.
+    named = docs.where(is_long).withColumn("doc", F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("~")), F.xxhash64("text").cast("string")))
+    chunks = named.mapInArrow(
+        _chunk_batches(chunk_chars, halo_chars), "key bigint, doc string, chunk_no bigint, start bigint, text string"
     )
-    spread = chunks.repartition(F.col("key"), F.col("chunk_no"))
+    spread = chunks.repartition(F.col("doc"), F.col("chunk_no")).dropDuplicates(["doc", "chunk_no"])
     bounds = spread.mapInArrow(
         _boundary_batches(path, chunk_chars, halo_chars),
-        "key bigint, chunk_no bigint, start bigint, head array<bigint>, tail array<bigint>",
+        "doc string, chunk_no bigint, start bigint, head array<bigint>, tail array<bigint>",
     )
     # One row per chunk, no text: the boundary table of a document.
-    per_doc = Window.partitionBy("key").orderBy("chunk_no")
+    per_doc = Window.partitionBy("doc").orderBy("chunk_no")
     stitched = bounds.withColumn(
         "cut",
         F.when(F.col("chunk_no") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(per_doc)))),
     )
     stitched = stitched.select(
-        "key",
+        "doc",
         "chunk_no",
         "cut",
         F.lead("cut").over(per_doc).alias("next_cut"),
@@ -212,21 +215,21 @@ def encode_corpus(
     high = F.when(F.col("is_last"), F.length("text")).otherwise(
         F.coalesce(F.col("next_cut"), F.col("start") + chunk_chars) - F.col("start")
     )
-    parts = spread.join(stitched, ["key", "chunk_no"]).select(
-        "key", "piece_no", "chunk_no", F.substring("text", (low + 1).cast("int"), (high - low).cast("int")).alias("part")
+    parts = spread.join(stitched, ["doc", "chunk_no"]).select(
+        "key", "doc", "piece_no", "chunk_no", F.substring("text", (low + 1).cast("int"), (high - low).cast("int")).alias("part")
     )
-    pieces = parts.groupBy("key", "piece_no").agg(
+    pieces = parts.groupBy("key", "doc", "piece_no").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("chunk_no", "part"))).getField("part"), "").alias("text")
     )
     encoded = pieces.mapInArrow(
-        _encode_batches(path, ["key", "piece_no"], counts_only), f"key bigint, piece_no bigint, {kind}"
+        _encode_batches(path, ["key", "doc", "piece_no"], counts_only), f"key bigint, doc string, piece_no bigint, {kind}"
     )
     if counts_only:
-        whole = encoded.groupBy("key").agg(F.sum("made").alias("made"))
+        whole = encoded.groupBy("key", "doc").agg(F.sum("made").alias("made")).drop("doc")
     else:
-        whole = encoded.groupBy("key").agg(
+        whole = encoded.groupBy("key", "doc").agg(
             F.flatten(F.array_sort(F.collect_list(F.struct("piece_no", "made"))).getField("made")).alias("made")
-        )
+        ).drop("doc")
     return short.unionByName(whole).select(F.col("key").alias(id_col), F.col("made").alias(made))
 
 

@@ -38,6 +38,14 @@ def test_encoding_equals_whole_texts(spark, bpe, chunk, halo):
     assert back == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_encoding_of_null_and_repeated_ids(spark, bpe):
+    a, b = "one two " * 30, "three 4 " * 40
+    df = spark.createDataFrame([(None, a), (5, a), (5, a), (5, b), (6, "x"), (6, "x"), (None, None)], DOCS)
+    got = sorted((str(r.doc_id), r.ids) for r in encode.encode_corpus(df, chunk_chars=60, halo_chars=20).collect())
+    one, three, x = (bpe.bpe.encode_ordinary(t) for t in (a, b, "x"))
+    assert got == sorted([("None", one), ("5", one), ("5", three), ("6", x), ("6", x), ("None", [])])
+
+
 def test_encoding_of_nothing(spark):
     assert encode.encode_corpus(spark.createDataFrame([], DOCS)).count() == 0
 
