@@ -22,7 +22,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.unified_table(table(spark, sf_dir, "raw_samples"))
+    return drift.unified_records(table(spark, sf_dir, "raw_samples"))
 
 
 def _unit_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:

@@ -4,7 +4,8 @@ Method: similarity flooding. The fields of a batch and of the batch before are n
 graphs whose edges lead to their types, their parents and the words of their names; pairs of fields start from the
 likeness of their names and of their values, scores flow between pairs that neighbour each other in
 both graphs until they settle, and the best pairs that agree from both sides and are
-likely enough are the same quantity renamed. Then values are cast and put into one table.
+likely enough are the same quantity renamed. Then values are cast and put into one table; what a cast can't hold
+is kept beside it as JSON text.
 
 The likeness of values comes from histograms of features (kind, magnitude, sign, length, shape and
 common values) over every file of the corpus; they are counted where the files are read and only
@@ -103,10 +104,11 @@ def _parts(value: object, depth: int) -> list[str]:
     if isinstance(value, bool):
         return [f"val:{value}"]
     if isinstance(value, (int, float)):
-        known = value and math.isfinite(value)
+        known = value and (isinstance(value, int) or math.isfinite(value))
         size = math.floor(2 * math.log10(abs(value))) if known else -99
         return [f"mag:{size}", f"sign:{(value > 0) - (value < 0)}", f"frac:{bool(known and value != math.floor(value))}"]
     if isinstance(value, str):
+        value = value.encode("utf-8", "replace").decode()
         shape = re.sub(r"9+", "9", re.sub(r"a+", "a", re.sub(r"\d", "9", re.sub(r"[^\W\d_]", "a", value))))[:12]
         return [f"shape:{shape}", f"val:{zlib.crc32(value.lower().encode()) % 512}"]
     if isinstance(value, list):
@@ -295,20 +297,29 @@ def _changes(counts: DataFrame) -> DataFrame:
 
 
 def canonical_fields(raw: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
-    """Path -> canonical path, and canonical path -> type.
+    """Path -> canonical path, and canonical path -> type, of every path that any file holds.
 
-    Names of fields, not rows: their number is bounded by the width of the schemas and checked.
+    Whether a batch has a field only decides changes, renames and usual types; a path below that share in every batch is a
+    field of its own. Names of fields, not rows: the number of those of batches is bounded by the width of the schemas and
+    checked, and of the others at most the MAX_FIELDS most frequent are taken.
     Paths joined by renames in either direction are one field, named after its most frequent path.
     """
     counts = checkpointed(field_counts(raw))
-    held = batch_fields(counts).groupBy("path", "type").count().limit(MAX_FIELDS + 1).collect()
+    had = checkpointed(batch_fields(counts))
+    held = had.groupBy("path", "type").count().limit(MAX_FIELDS + 1).collect()
     renames = _changes(counts).where("change_kind = 'renamed'").select("field_name", "new_name").distinct().limit(MAX_FIELDS + 1).collect()
     if max(len(held), len(renames)) > MAX_FIELDS:
         raise ValueError(f"more than {MAX_FIELDS} fields or renames")
+    seen = counts.where("path is not null and feature is null").groupBy("path", "type").agg(F.sum("n").alias("n"))
+    usual = seen.groupBy("path").agg(F.sum("n").alias("n"), F.min_by("type", F.struct(-F.col("n"), F.col("type"))).alias("type"))
+    odd = usual.join(had.select("path").distinct(), "path", "left_anti").orderBy(F.desc("n"), "path").limit(MAX_FIELDS).collect()
     weight, kinds = Counter(), {}
     for r in held:
         weight[r["path"]] += r["count"]
         kinds.setdefault(r["path"], Counter())[r["type"]] += r["count"]
+    for r in odd:
+        weight[r["path"]] = 0
+        kinds[r["path"]] = Counter({r["type"]: 0})
     root = {p: p for p in weight}
 
     def find(p: str) -> str:
@@ -336,7 +347,10 @@ def _cast(value: object, kind: str) -> object:
         return json.dumps(value if isinstance(value, list) else [value], ensure_ascii=False)
     if kind == "number":
         value = _plain(value)
-        return float(value) if isinstance(value, (bool, int, float)) else None
+        try:
+            return float(value) if isinstance(value, (bool, int, float)) else None
+        except OverflowError:
+            return None
     if kind == "boolean":
         return {"true": True, "false": False, "1": True, "0": False, "yes": True, "no": False}.get(str(value).lower())
     if isinstance(value, list):
@@ -344,28 +358,91 @@ def _cast(value: object, kind: str) -> object:
     return str(value) if isinstance(value, str) else json.dumps(value)
 
 
-def unified_table(raw: DataFrame) -> DataFrame:
-    """Every readable file once: its keys and one column per canonical field, cast to its usual type; arrays as JSON text."""
+def _bare_number(text: str) -> bool:
+    """Whether a text that is read as a number says no more, such as a unit or digits beyond a double."""
+    try:
+        return math.isfinite(float(text)) and len(re.sub(r"[eE].*|\D", "", text).lstrip("0")) <= 15
+    except ValueError:
+        return False
+
+
+def _placed(value: object, kind: str) -> tuple[object, bool]:
+    """The value as its column's type, and whether that says all that the value says."""
+    cast = _cast(value, kind)
+    if cast is None:
+        return None, False
+    if isinstance(cast, str):
+        try:
+            cast.encode()
+        except UnicodeEncodeError:  # half a character pair, which no column can hold
+            return None, False
+    if isinstance(value, str) and isinstance(_plain(value), float) and kind in ("number", "array"):
+        return cast, _bare_number(value)
+    if kind == "number":
+        # An integer may have more digits than a double.
+        return cast, not isinstance(value, bool) and (cast == value or cast != cast)
+    if kind == "string" and isinstance(value, list):
+        return cast, bool(value) and all(isinstance(v, (str, int, float)) and not isinstance(v, bool) and ";" not in str(v) for v in value)
+    return cast, True
+
+
+def _column_names(paths: list[str], taken: list[str]) -> list[str]:
+    """A name for the column of each path, unlike all others whatever their case."""
+    used, names = {t.lower() for t in taken}, []
+    for path in paths:
+        name = base = path.replace(".", "_") or "_"
+        n = 1
+        while name.lower() in used:
+            n += 1
+            name = f"{base}_{n}"
+        used.add(name.lower())
+        names.append(name)
+    return names
+
+
+REST = "rest"
+
+
+def unified_records(raw: DataFrame) -> DataFrame:
+    """Every readable file once: its keys, one column per canonical field, cast to its usual type, arrays as JSON text, and `rest`.
+
+    `rest` is a JSON object of path -> list of values, as they were read, for what its column can't say: values of another
+    type, units or digits that a cast drops, and further values of the same field in one record. It is null where there are none.
+    """
     canonical, kinds = canonical_fields(raw)
     order = sorted(kinds)
     spark_types = {"number": T.DoubleType(), "boolean": T.BooleanType()}
     arrow_types = {"number": pa.float64(), "boolean": pa.bool_()}
     keys = ["stream", "batch_no", "file_path", "raw_id"]
     files = one_delivery(raw).select(*keys, "payload")
-    schema = T.StructType([*[files.schema[k] for k in keys], *[T.StructField(c.replace(".", "_"), spark_types.get(kinds[c], T.StringType())) for c in order]])
+    fields = [T.StructField(name, spark_types.get(kinds[c], T.StringType())) for name, c in zip(_column_names(order, [*keys, REST]), order)]
+    schema = T.StructType([*[files.schema[k] for k in keys], *fields, T.StructField(REST, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             records = [read_record(p) for p in batch.column("payload").to_pylist()]
             kept = [i for i, r in enumerate(records) if r is not None]
             columns: dict[str, list] = {c: [None] * len(kept) for c in order}
+            rests: list[str | None] = []
             for row, i in enumerate(kept):
+                rest: dict[str, list] = {}
                 for path, value in leaves(records[i]):
+                    if value is None:
+                        continue
                     name = canonical.get(path)
-                    if name and value is not None and columns[name][row] is None:
-                        columns[name][row] = _cast(value, kinds[name])
+                    whole = False
+                    if name is not None and columns[name][row] is None:
+                        columns[name][row], whole = _placed(value, kinds[name])
+                    if not whole:
+                        rest.setdefault(path, []).append(value)
+                rests.append(json.dumps(rest) if rest else None)
             few = batch.take(pa.array(kept, pa.int32()))
             arrays = [few.column(k) for k in keys] + [pa.array(columns[c], arrow_types.get(kinds[c], pa.string())) for c in order]
-            yield pa.RecordBatch.from_arrays(arrays, schema.names)
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(rests, pa.string())], schema.names)
 
     return files.mapInArrow(run, schema)
+
+
+def unified_table(raw: DataFrame) -> DataFrame:
+    """`unified_records` without `rest`: the keys and the typed columns alone."""
+    return unified_records(raw).drop(REST)

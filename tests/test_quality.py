@@ -163,3 +163,26 @@ def test_unified_table(spark):
     got = drift.unified_table(raw(spark, [one, two, ["{"]]))
     assert got.count() == 12 and len(got.columns) == 6
     assert got.where("n is null or betas is null").count() == 0
+
+
+def test_unified_records_keep_every_value(spark):
+    """Rare and odd fields have columns; what a column can't hold is in `rest`."""
+    rng = np.random.default_rng(6)
+    betas = lambda: [round(float(v), 3) for v in rng.normal(size=4)]
+    one = [{"betas": betas(), "n": int(rng.integers(100, 900)), "flag": True} for _ in range(8)]
+    two = [{"shape_betas": betas(), "n": 5, "flag": True} for _ in range(8)]
+    one[0] |= {"tmp": {"trace": "x"}, "n": "many"}
+    one[1] |= {"tmp_trace": 4, "n": "120 mm", "rest": "mine", "File_Path": "a/b"}
+    two[0] |= {"betas": [9.0], "n": 2**60 + 1, "flag": "perhaps"}
+    two[1] |= {"": "no name", "tmp": {"trace": "\ud800"}, "n": 10**400}
+    got = drift.unified_records(raw(spark, [one, two]))
+    assert len({c.lower() for c in got.columns}) == len(got.columns)
+    rows = {r.raw_id: r.asDict() for r in got.collect()}
+    assert len(rows) == 16
+    rest = {i: json.loads(r["rest"]) for i, r in rows.items() if r["rest"]}
+    assert (rows[1]["tmp_trace"], rows[1]["n"], rest[1]) == ("x", None, {"n": ["many"]})
+    assert (rows[2]["tmp_trace_2"], rows[2]["n"], rest[2]) == (4.0, 120.0, {"n": ["120 mm"]})
+    assert (rows[2]["rest_2"], rows[2]["File_Path_2"], rows[2]["file_path"]) == ("mine", "a/b", "b1/1")
+    assert json.loads(rows[9]["betas"]) == two[0]["shape_betas"] and rest[9] == {"betas": [[9.0]], "n": [2**60 + 1], "flag": ["perhaps"]}
+    assert (rows[10]["_"], rest[10]) == ("no name", {"tmp.trace": ["\ud800"], "n": [10**400]})
+    assert set(rest) == {1, 2, 9, 10}
