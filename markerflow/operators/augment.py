@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markerflow.operators.ranges import top_k
+from markerflow.operators.ranges import numbered, top_k
 
 
 def draw(seed: int, *keys: str | Column) -> Column:
@@ -87,18 +87,30 @@ def exact_fraction(rows: DataFrame, key: str, fraction: float, seed: int, bucket
     return whole.unionByName(part.where(F.col("_n") <= F.col("take")).drop("_n")).drop("_d", "_b", "take", "count")
 
 
-def noise_model(residuals: DataFrame, size: int, seed: int) -> DataFrame:
-    """`label, sample_id, dx, dy, dz`: `size` residuals for each label, each label's own repeated in drawn order until there are enough."""
-    order = [draw(seed, "label", "dx", "dy", "dz"), "dx", "dy", "dz"]
-    # Equal residuals are spread by a number of their own, or a frequent one would fill a part.
-    ranked = top_k(residuals.withColumn("_u", F.monotonically_increasing_id()), ["label"], order, size, ["_u"], "_i").withColumn("_i", F.col("_i") - 1)
-    counts = ranked.groupBy("label").agg(F.count("*").alias("n"))
-    slots = counts.select("label", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("sample_id"), "n").withColumn("_i", F.col("sample_id") % F.col("n"))
-    return slots.join(ranked, ["label", "_i"]).select("label", "sample_id", "dx", "dy", "dz")
+def noise_model(residuals: DataFrame, key: list[str], seed: int) -> DataFrame:
+    """`label, slot, dx, dy, dz`: every residual of each label, numbered from 0 in drawn order; `key` names a residual.
 
+    A label has as many samples as the largest label has residuals; its sample k is the residual at slot k modulo its own
+    count. The repeats are not written out: their number is that of labels times the largest pool."""
+    drawn = residuals.withColumn("_d", draw(seed, "label", *key))
+    # The first digits of a draw are buckets that grow with it.
+    placed = numbered(drawn, "label", F.substring("_d", 1, 3), ["_d", *key], "slot")
+    return placed.select("label", "slot", "dx", "dy", "dz")
 
-def with_noise(points: DataFrame, model: DataFrame, size: int, seed: int) -> DataFrame:
-    """`points` moved by a drawn row of their label's model; labels without one stay."""
-    number = F.conv(F.substring(draw(seed, "seq_id", "frame", "marker_idx"), 1, 6), 16, 10).cast("bigint") % size
-    met = points.withColumn("sample_id", number.cast("int")).join(model, ["label", "sample_id"], "left")
-    return met.withColumns({c: F.col(c) + F.coalesce(f"d{c}", F.lit(0.0)) for c in "xyz"}).drop("dx", "dy", "dz")
+
+def noise_sizes(model: DataFrame) -> DataFrame:
+    """`label, n, size`: the residuals of each label, and the samples that all labels have: the count of the largest."""
+    return with_size(model.groupBy("label").agg(F.count("*").alias("n")))
+
+
+def with_size(counts: DataFrame) -> DataFrame:
+    """`counts`, a row for each label, with `size`, the largest `n`; only this row of each label is gathered."""
+    return counts.withColumn("size", F.max("n").over(Window.partitionBy(F.lit(1))))
+
+
+def with_noise(points: DataFrame, model: DataFrame, seed: int) -> DataFrame:
+    """`points` moved by a drawn sample of their label's model; labels without one stay."""
+    number = F.conv(F.substring(draw(seed, "seq_id", "frame", "marker_idx"), 1, 15), 16, 10).cast("bigint")
+    sized = points.join(noise_sizes(model), "label", "left").withColumn("slot", (number % F.col("size") % F.col("n")).cast("int"))
+    met = sized.join(model, ["label", "slot"], "left")
+    return met.withColumns({c: F.col(c) + F.coalesce(f"d{c}", F.lit(0.0)) for c in "xyz"}).drop("dx", "dy", "dz", "n", "size")

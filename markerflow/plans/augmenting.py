@@ -55,17 +55,23 @@ def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residuals of seen markers: their step from the frame before."""
     rows = tracks(_seen(spark, sf_dir).where("label is not null"))
     rows = along(rows, lambda w: {f"d{c}": F.round(F.col(c) - F.lag(c).over(w), 6) for c in "xyz"}, halo=1, key="track")
-    return rows.where("dx is not null and dy is not null and dz is not null").select("label", "dx", "dy", "dz")
+    return rows.where("dx is not null and dy is not null and dz is not null").select("seq_id", "frame", "marker_idx", "label", "dx", "dy", "dz")
+
+
+READING = ["seq_id", "frame", "marker_idx"]
 
 
 def noise_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = augment.noise_model(_steps(spark, sf_dir), 50, 29)
-    return rows.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("dx", "dy", "dz").alias("n_distinct"), *[rounded(F.max(f"d{c}")).alias(f"d{c}") for c in "xyz"])
+    """The samples of each label, as many as the largest label has residuals, and how many of them differ.
+
+    The model holds every residual, so what it says of a label needs no numbering of them."""
+    pools = _steps(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("dx", "dy", "dz").alias("n_distinct"), *[rounded(F.max(f"d{c}")).alias(f"d{c}") for c in "xyz"])
+    return augment.with_size(pools).select("label", F.col("size").alias("n"), "n_distinct", "dx", "dy", "dz")
 
 
 def noisy_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = augment.noise_model(_steps(spark, sf_dir), 50, 29)
-    rows = augment.with_noise(_seen(spark, sf_dir), model, 50, 31)
+    model = augment.noise_model(_steps(spark, sf_dir), READING, 29)
+    rows = augment.with_noise(_seen(spark, sf_dir), model, 31)
     return rows.groupBy("seq_id").agg(F.count("*").alias("n"), *[F.round(F.max(c), 4).alias(c) for c in "xyz"])
 
 

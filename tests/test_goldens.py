@@ -208,6 +208,23 @@ def test_exact_fraction_is_exact(spark):
     assert a.exceptAll(b).count() == 0
 
 
+def test_noise_model_keeps_every_residual(spark):
+    key = ["seq_id", "frame", "marker_idx"]
+    steps = [("s", f, m, label, float(f % 100 if m else f), 0.0, 1.0) for m, label, n in ((0, "A", 300), (1, "B", 130), (2, "C", 1)) for f in range(n)]
+    residuals = spark.createDataFrame(steps, "seq_id string, frame int, marker_idx int, label string, dx double, dy double, dz double")
+    model = augment.noise_model(residuals, key, 3)
+    assert rows(model, "label", "dx", "dz") == sorted(((r[3], r[4], r[6]) for r in steps), key=repr)
+    assert rows(model, "label", "slot") == sorted(((label, i) for label, n in (("A", 300), ("B", 130), ("C", 1)) for i in range(n)), key=repr)
+    assert rows(augment.noise_sizes(model), "label", "n", "size") == [("A", 300, 300), ("B", 130, 300), ("C", 1, 300)]
+    assert rows(augment.noise_model(residuals.repartition(5), key, 3), "label", "slot", "dx") == rows(model, "label", "slot", "dx")
+    points = spark.createDataFrame([("t", f, m, label, 0.0, 0.0, 0.0) for m, label in enumerate(("A", "B", "C", "D", None)) for f in range(3_000)], "seq_id string, frame int, marker_idx int, label string, x double, y double, z double")
+    moved = augment.with_noise(points, model, 5)
+    drawn = {r.label: (r.n, r.d, r.z) for r in moved.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("x").alias("d"), F.sum("z").alias("z")).collect()}
+    # 3,000 draws of 300 leave out none or very few.
+    assert drawn["A"][0] == 3_000 and drawn["A"][1] > 290 and drawn["B"] == (3_000, 100, 3_000.0)
+    assert drawn["C"] == (3_000, 1, 3_000.0) and drawn["D"] == drawn[None] == (3_000, 1, 0.0)
+
+
 def test_smoothing_edges(spark):
     df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate((0, 4, 0))], "seq_id string, frame int, v double")
     assert rows(temporal.smooth_once(df, "v", "w", 0.5), "frame", "w") == [(0, 1.0), (1, 2.0), (2, 2.0)]
