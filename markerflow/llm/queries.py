@@ -76,10 +76,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = subjects.document_subjects(*_subject_tables(spark, sf_dir))
-    return rows.groupBy("subject").agg(
-        F.count("*").alias("n_docs"), F.sum("n_about").alias("n_cues_about"), F.round(F.sum("share"), 3).alias("weight")
-    )
+    return subjects.composition(*_subject_tables(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {

@@ -327,6 +327,31 @@ def fit_subjects(cues: DataFrame, labels: DataFrame, areas: DataFrame, rounds: i
     return space
 
 
+def _scored(space: Space, flat: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per document how many of its cues are no adverts, and, by subject and last of none, how many are about it and the weight."""
+    n_cues, places, cues = space.dialogue(flat)
+    last = len(space.names)
+    about, weight = np.zeros((flat.n_docs, last + 1), np.int64), np.zeros((flat.n_docs, last + 1))
+    weight[:, last] = 1.0  # as long as no kept term tells more
+    if len(places) and last:
+        components = space.components.astype(np.float32)
+        m = space.matrix(flat, places, cues)
+        w = m.mixtures(components)
+        row_of_doc = np.zeros(flat.n_docs, np.int64)
+        row_of_doc[m.rows] = np.arange(len(m.rows))
+        # Each term of each cue, shared among the components by its document's mixture.
+        parts = w[:, row_of_doc[flat.doc_of_cue[cues]]] * components[:, places]
+        parts = parts[:-1] / np.maximum(parts.sum(axis=0), 1e-30)
+        starts = np.flatnonzero(np.diff(cues, prepend=-1))
+        best = np.add.reduceat(parts, starts, axis=1).argmax(axis=0)
+        sure = np.maximum.reduceat(parts, starts, axis=1)[best, np.arange(len(starts))] >= SURE
+        doc = flat.doc_of_cue[cues[starts[sure]]]
+        about[:, :last] = np.bincount(doc * last + best[sure], minlength=flat.n_docs * last).reshape(flat.n_docs, last)
+        weight[m.rows] = w.T
+    about[:, last] = n_cues - about.sum(axis=1)
+    return n_cues, about, weight
+
+
 _RESULT = "doc_id bigint, subject string, n_about int, n_cues int, share double"
 
 
@@ -335,37 +360,20 @@ def document_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame,
     that are no adverts are about it, how many there are, and the document's weight of the component."""
     cues = checkpointed(read_cues(documents))
     space = fit_subjects(cues, labels, areas, rounds)
-    components = space.components.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = len(space.names)
         names = pa.array(space.names, pa.string())
         for whole in batches:
             for batch in _slices(whole):
-                flat = Flat(batch)
-                n_cues, places, cues = space.dialogue(flat)
-                if not len(places):
-                    continue
-                m = space.matrix(flat, places, cues)
-                w = m.mixtures(components)
-                row_of_doc = np.zeros(flat.n_docs, np.int64)
-                row_of_doc[m.rows] = np.arange(len(m.rows))
-                # Each term of each cue, shared among the components by its document's mixture.
-                parts = w[:, row_of_doc[flat.doc_of_cue[cues]]] * components[:, places]
-                parts = parts[:-1] / np.maximum(parts.sum(axis=0), 1e-30)
-                starts = np.flatnonzero(np.diff(cues, prepend=-1))
-                best = np.add.reduceat(parts, starts, axis=1).argmax(axis=0)
-                sure = np.maximum.reduceat(parts, starts, axis=1)[best, np.arange(len(starts))] >= SURE
-                doc = flat.doc_of_cue[cues[starts[sure]]]
-                keys, about = np.unique(doc * last + best[sure], return_counts=True)
-                doc, subject = keys // last, keys % last
+                n_cues, about, weight = _scored(space, Flat(batch))
+                doc, subject = np.nonzero(about[:, :-1])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(pa.array(doc)),
                         names.take(pa.array(subject)),
-                        pa.array(about, pa.int32()),
+                        pa.array(about[doc, subject], pa.int32()),
                         pa.array(n_cues[doc], pa.int32()),
-                        pa.array(w[subject, row_of_doc[doc]], pa.float64()),
+                        pa.array(weight[doc, subject], pa.float64()),
                     ],
                     [f.split()[0] for f in _RESULT.split(", ")],
                 )
@@ -373,6 +381,33 @@ def document_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame,
     return cues.mapInArrow(run, _RESULT)
 
 
+NO_SUBJECT = "none"
+
+
+def composition(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """`subject, n_docs, n_cues_about, weight` of the corpus, with a row `none`.
+
+    `n_docs` counts the documents that have a subject as in found_subjects, at `none` those that have no subject at all. Cues and
+    weights are those of all documents: at `none` the cues about no subject and the weight of no subject, 1 for a document without
+    a known term. So the cues of all rows are all cues that are no adverts, and the weights add up to the number of documents."""
+    cues = checkpointed(read_cues(documents))
+    space = fit_subjects(cues, labels, areas, rounds)
+    result = "subject string, n_docs bigint, n_cues_about bigint, weight double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array([*space.names, NO_SUBJECT], pa.string())
+        for whole in batches:
+            for batch in _slices(whole):
+                n_cues, about, weight = _scored(space, Flat(batch))
+                found = (about >= LEAST_CUES) & (about >= LEAST_SHARE * n_cues[:, None])
+                found[:, -1] = ~found[:, :-1].any(axis=1)
+                sums = [pa.array(found.sum(axis=0), pa.int64()), pa.array(about.sum(axis=0), pa.int64()), pa.array(weight.sum(axis=0), pa.float64())]
+                yield pa.RecordBatch.from_arrays([names, *sums], [f.split()[0] for f in result.split(", ")])
+
+    parts = cues.mapInArrow(run, result)
+    return parts.groupBy("subject").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_cues_about").alias("n_cues_about"), F.round(F.sum("weight"), 3).alias("weight"))
+
+
 def found_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     """`doc_id, subject`: the subjects of at least LEAST_CUES and LEAST_SHARE of a document's cues."""
     rows = document_subjects(documents, labels, areas)

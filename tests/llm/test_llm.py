@@ -228,3 +228,19 @@ def test_subjects_of_held_out_documents(spark):
     assert not {900, 901, 902} & got.keys()
     none = spark.createDataFrame([], DOCS)
     assert subjects.found_subjects(none, spark.createDataFrame([], "doc_id bigint, subject string, annotator string"), areas).count() == 0
+
+
+def test_composition_counts_what_is_found(spark):
+    texts, truth = corpus()
+    stray = "".join(f"{k}\n00:00:{k:02d},0 --> 00:00:{k:02d},9\n{x}\n\n" for k, x in enumerate(["It was the violin, not the choir!", *["Wait here."] * 8], 1))
+    labels = spark.createDataFrame([(i, s, "a") for i in range(0, 400, 4) for s in (truth[i] or {"none"})], "doc_id bigint, subject string, annotator string")
+    areas = spark.createDataFrame([(s, f"{s} and more") for s in SUBJECTS], "subject string, description string")
+    docs = spark.createDataFrame([*texts, *[(k, stray) for k in range(500, 540)], (900, None), (901, "")], DOCS)
+    found = subjects.found_subjects(docs, labels, areas).collect()
+    want = {s: sum(r.subject == s for r in found) for s in SUBJECTS} | {"none": 442 - len({r.doc_id for r in found})}
+    got = {r.subject: r for r in subjects.composition(docs, labels, areas).collect()}
+    assert {s: r.n_docs for s, r in got.items()} == want
+    assert want["none"] >= 42 and abs(sum(r.weight for r in got.values()) - 442) < 0.01
+    cues = sum(8 + 3 + t.count("!") for _, t in texts) + 40 * 9
+    adverts = 3 * len(texts)
+    assert sum(r.n_cues_about for r in got.values()) == cues - adverts
