@@ -143,6 +143,17 @@ def test_split_against_brute_force(spark, range_frames):
     assert len(pieces["s1"]) == len(pieces["s4"]) == 1
 
 
+def test_pieces_do_not_depend_on_the_size_of_tasks(spark):
+    rows = [(f"s{k}", f, [float(x) for x in p.ravel()], None) for k, n in enumerate((700, 431, 64)) for f, p in sequence(n, k + 9)]
+    frames = spark.createDataFrame(rows, FRAMES)
+    settings = spark.createDataFrame([("s0", 11, 4, None), ("s1", 30, 29, None), ("s2", 7, 0, None)], SETTINGS)
+    found = [
+        sorted(map(tuple, split.split_pieces(frames, settings, range_frames=ranges, block_rows=blocks).collect()))
+        for ranges, blocks in ((16, 1), (64, 40), (4_096, 100), (1_000_000, 1_000_000))
+    ]
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) > 100
+
+
 def test_split_odd_rows(spark):
     rows = [("a", 0, None, None), ("a", 1, [1.0, 2.0], None), ("a", 2, [0.0] * 6, None), ("a", 3, [0.0] * 6, None), (None, 1, [0.0] * 3, None), ("b", None, [0.0] * 3, None)]
     frames = spark.createDataFrame(rows, FRAMES)
