@@ -5,15 +5,15 @@ chunks that are pre-tokenised in parallel; where the pre-token boundaries of two
 inside their overlap the chunks are stitched, and the pieces between stitches are encoded by
 themselves. Pre-tokenisation has no memory to its left, so from a boundary that both neighbours
 share onwards they agree for good, and the concatenated ids are exactly those of the whole text.
-Where a stretch has no common boundary its chunks are encoded together.
+Where a stretch has no common boundary its chunks are encoded together, in one task: a byte-pair encoding
+can't be cut within a pre-token, so such a stretch, a single run of letters beyond the halo, is the least unit there is.
 
 Inside a task the same idea saves work: a line break before a printable character and the place
 between a colon, comma or full stop and a digit are always pre-token boundaries, so lines are encoded one by one and
 repeated lines and time stamps come from a bounded cache.
 
 Defined cases: a null or empty text gives an empty list; a row with a null id keeps it; special
-tokens in a text are ordinary text; repeated rows give repeated results for short texts and
-one row per id and text for texts above `chunk_chars`.
+tokens in a text are ordinary text; repeated rows give repeated results, whatever their length.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from markerflow.session import checkpointed
+
 CHUNK_CHARS = 65_536
 HALO_CHARS = 1_024
 CACHE_ENTRIES = 150_000
@@ -125,22 +127,38 @@ def _encode_batches(path: str, keys: list[str], counts_only: bool):
     return run
 
 
+def _count_short(path: str, keys: list[str], chunk_chars: int):
+    """Token counts of short texts; long texts are passed on uncounted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = ByteBpe.load(path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                texts = batch.column("text").to_pylist()
+                long = [t is not None and len(t) > chunk_chars for t in texts]
+                counts = pa.array([None if far else len(bpe.encode(t)) // 4 for t, far in zip(texts, long)], pa.int64())
+                left = pa.array([t if far else None for t, far in zip(texts, long)], pa.string())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), counts, left], [*keys, "made", "text"])
+
+    return run
+
+
 def _chunk_batches(step: int, halo: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, doc, text in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "text"))):
+            for doc, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "text"))):
                 starts = range(0, len(text), step)
                 for k in range(0, len(starts), 64):
                     some = starts[k : k + 64]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([key] * len(some), pa.int64()),
-                            pa.array([doc] * len(some), pa.string()),
+                            pa.array([doc] * len(some), pa.int64()),
                             pa.array(range(k, k + len(some)), pa.int64()),
                             pa.array(list(some), pa.int64()),
                             pa.array([text[s : s + step + halo] for s in some], pa.string()),
                         ],
-                        ["key", "doc", "chunk_no", "start", "text"],
+                        ["doc", "chunk_no", "start", "text"],
                     )
 
     return run
@@ -163,39 +181,14 @@ def _boundary_batches(path: str, step: int, halo: int):
     return run
 
 
-def encode_corpus(
-    documents: DataFrame,
-    tokenizer: str | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    chunk_chars: int = CHUNK_CHARS,
-    halo_chars: int = HALO_CHARS,
-    counts_only: bool = False,
-) -> DataFrame:
-    """`id_col, ids` (or `id_col, n_tokens` with `counts_only`) for every row of `documents`.
-
-    Texts up to `chunk_chars` are encoded where they are read, without a shuffle. Longer ones are
-    spread over the cluster by (document, chunk), so no document however long is one task's work.
-    """
-    if chunk_chars <= 2 * halo_chars:
-        raise ValueError("chunk_chars must exceed twice halo_chars")
-    path = tokenizer or tokenizer_path()
-    made = "n_tokens" if counts_only else "ids"
-    docs = documents.select(F.col(id_col).cast("bigint").alias("key"), F.col(text_col).cast("string").alias("text"))
+def _encode_long(long: DataFrame, path: str, chunk_chars: int, halo_chars: int, counts_only: bool) -> DataFrame:
+    """`doc, made` of the texts `doc, text`, spread over the cluster by (document, chunk)."""
     kind = "made bigint" if counts_only else "made array<int>"
-    is_long = F.coalesce(F.length("text") > chunk_chars, F.lit(False))
-
-    short = docs.where(~is_long).mapInArrow(_encode_batches(path, ["key"], counts_only), f"key bigint, {kind}")
-
-    # A long text is known by its id and its hash, so that null and repeated ids do no harm.
-    named = docs.where(is_long).withColumn("doc", F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("~")), F.xxhash64("text").cast("string")))
-    chunks = named.mapInArrow(
-        _chunk_batches(chunk_chars, halo_chars), "key bigint, doc string, chunk_no bigint, start bigint, text string"
-    )
-    spread = chunks.repartition(F.col("doc"), F.col("chunk_no")).dropDuplicates(["doc", "chunk_no"])
+    chunks = long.select("doc", "text").mapInArrow(_chunk_batches(chunk_chars, halo_chars), "doc bigint, chunk_no bigint, start bigint, text string")
+    spread = chunks.repartition(F.col("doc"), F.col("chunk_no"))
     bounds = spread.mapInArrow(
         _boundary_batches(path, chunk_chars, halo_chars),
-        "doc string, chunk_no bigint, start bigint, head array<bigint>, tail array<bigint>",
+        "doc bigint, chunk_no bigint, start bigint, head array<bigint>, tail array<bigint>",
     )
     # One row per chunk, no text: the boundary table of a document.
     per_doc = Window.partitionBy("doc").orderBy("chunk_no")
@@ -216,21 +209,55 @@ def encode_corpus(
         F.coalesce(F.col("next_cut"), F.col("start") + chunk_chars) - F.col("start")
     )
     parts = spread.join(stitched, ["doc", "chunk_no"]).select(
-        "key", "doc", "piece_no", "chunk_no", F.substring("text", (low + 1).cast("int"), (high - low).cast("int")).alias("part")
+        "doc", "piece_no", "chunk_no", F.substring("text", (low + 1).cast("int"), (high - low).cast("int")).alias("part")
     )
-    pieces = parts.groupBy("key", "doc", "piece_no").agg(
+    pieces = parts.groupBy("doc", "piece_no").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("chunk_no", "part"))).getField("part"), "").alias("text")
     )
-    encoded = pieces.mapInArrow(
-        _encode_batches(path, ["key", "doc", "piece_no"], counts_only), f"key bigint, doc string, piece_no bigint, {kind}"
+    encoded = pieces.mapInArrow(_encode_batches(path, ["doc", "piece_no"], counts_only), f"doc bigint, piece_no bigint, {kind}")
+    if counts_only:
+        return encoded.groupBy("doc").agg(F.sum("made").alias("made"))
+    return encoded.groupBy("doc").agg(F.flatten(F.array_sort(F.collect_list(F.struct("piece_no", "made"))).getField("made")).alias("made"))
+
+
+def encode_corpus(
+    documents: DataFrame,
+    tokenizer: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    chunk_chars: int = CHUNK_CHARS,
+    halo_chars: int = HALO_CHARS,
+    counts_only: bool = False,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """`id_col, *keep, ids` (or `n_tokens` for `ids` with `counts_only`) for every row of `documents`.
+
+    Texts up to `chunk_chars` are encoded where they are read, without a shuffle. Longer ones are
+    spread over the cluster by (document, chunk), so no document however long is one task's work.
+
+    The long rows are written once, with a number of their own each. Counts take one scan of `documents`; ids take two, the
+    first to pick the long rows, since writing all ids beside them would cost more than reading the texts again.
+    """
+    if chunk_chars <= 2 * halo_chars:
+        raise ValueError("chunk_chars must exceed twice halo_chars")
+    path = tokenizer or tokenizer_path()
+    made = "n_tokens" if counts_only else "ids"
+    if {made, id_col} & set(keep):
+        raise ValueError(f"{made} and {id_col} can't be among the kept columns")
+    keys = ["key", *(f"kept_{i}" for i in range(len(keep)))]
+    docs = documents.select(
+        F.col(id_col).cast("bigint").alias("key"), *[F.col(c).alias(k) for c, k in zip(keep, keys[1:])], F.col(text_col).cast("string").alias("text")
     )
+    shape = ", ".join(f"{k} {t}" for k, t in docs.select(*keys).dtypes)
     if counts_only:
-        whole = encoded.groupBy("key", "doc").agg(F.sum("made").alias("made")).drop("doc")
+        told = checkpointed(docs.mapInArrow(_count_short(path, keys, chunk_chars), f"{shape}, made bigint, text string").withColumn("doc", F.monotonically_increasing_id()))
+        short, long = told.where("made is not null").select(*keys, "made"), told.where("made is null")
     else:
-        whole = encoded.groupBy("key", "doc").agg(
-            F.flatten(F.array_sort(F.collect_list(F.struct("piece_no", "made"))).getField("made")).alias("made")
-        ).drop("doc")
-    return short.unionByName(whole).select(F.col("key").alias(id_col), F.col("made").alias(made))
+        is_long = F.coalesce(F.length("text") > chunk_chars, F.lit(False))
+        long = checkpointed(docs.where(is_long).withColumn("doc", F.monotonically_increasing_id()))
+        short = docs.where(~is_long).mapInArrow(_encode_batches(path, keys, counts_only), f"{shape}, made array<int>")
+    whole = long.select("doc", *keys).join(_encode_long(long, path, chunk_chars, halo_chars, counts_only), "doc")
+    return short.unionByName(whole.select(*keys, "made")).select(F.col("key").alias(id_col), *[F.col(k).alias(c) for c, k in zip(keep, keys[1:])], F.col("made").alias(made))
 
 
 def decode_corpus(encoded: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id") -> DataFrame:

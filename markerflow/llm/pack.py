@@ -31,7 +31,8 @@ BLOCK_ITEMS = 20_000
 #: for the largest containers, where closer sums exist.
 SLACK_SHARE = 0.002
 MOST_TASKS = 4_000
-CONTAINER_STRIDE = 10_000_000
+MAX_KINDS = 1_000
+LOT = 10_000
 
 
 def closest_subset(counts: np.ndarray, room: int) -> list[tuple[int, int]]:
@@ -116,58 +117,72 @@ def fill_windows(lengths: np.ndarray, capacities: Iterable[int]) -> tuple[np.nda
 
 
 def _pack_block(rows: pd.DataFrame, capacities: list[int]) -> pd.DataFrame:
-    rows = rows.sort_values(["key", "piece_no", "uid"], kind="stable")
+    rows = rows.sort_values("uid", kind="stable")
     place, kinds = fill_windows(rows["n"].to_numpy(), capacities)
     return pd.DataFrame(
         {
             "key": rows["key"].to_numpy(),
             "piece_no": rows["piece_no"].to_numpy(),
             "n": rows["n"].to_numpy(),
-            "container_no": rows["block"].to_numpy() * CONTAINER_STRIDE + place,
+            "container": [f"b{b}.{n}" for b, n in zip(rows["block"].tolist(), place.tolist())],
             "capacity": np.asarray(kinds, np.int64)[place],
         }
     )
 
 
+def container_kinds(containers: DataFrame, id_col: str = "container_id", capacity_col: str = "capacity_tokens") -> dict[int, int]:
+    """Capacity -> id of the kinds of container, after a check of their number; of equal capacities the lowest id."""
+    rows = containers.where(F.col(capacity_col).isNotNull()).groupBy(capacity_col).agg(F.min(id_col).alias("id")).limit(MAX_KINDS + 1).collect()
+    if len(rows) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of container")
+    return {int(r[capacity_col]): r["id"] for r in rows}
+
+
 def pack_items(
-    items: DataFrame, capacities: list[int], id_col: str = "doc_id", size_col: str = "n_tokens", block_items: int = BLOCK_ITEMS
+    items: DataFrame, kinds: dict[int, int], id_col: str = "doc_id", size_col: str = "n_tokens", block_items: int = BLOCK_ITEMS
 ) -> DataFrame:
-    """`id_col, piece_no, size_col, container_no, capacity`: the container of every item or piece."""
-    if not capacities or min(capacities) < 1:
+    """`id_col, piece_no, size_col, container, container_id, capacity`: the container of every item or piece.
+
+    `container` names one container; `kinds` maps the capacities to the ids of their kinds.
+    """
+    capacities = sorted(kinds)
+    if not capacities or capacities[0] < 1:
         raise ValueError("capacities must be positive")
-    top = max(capacities)
+    top = capacities[-1]
     sized = checkpointed(
         items.select(
             F.col(id_col).alias("key"), F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("bigint").alias("n")
         ).withColumn("uid", F.monotonically_increasing_id())
     )
     blocks = max(1, -(-sized.count() // block_items))
-    whole = F.floor(F.col("n") / top).cast("int")
-    pieces = sized.select(
-        "key",
-        "uid",
-        F.posexplode(
-            F.when(F.col("n") <= top, F.array("n")).otherwise(
-                F.filter(
-                    F.concat(F.array_repeat(F.lit(top).cast("bigint"), whole), F.array(F.col("n") % top)), lambda x: x > 0
-                )
-            )
-        ).alias("piece_no", "n"),
+    whole = F.floor(F.col("n") / top)
+    # Full pieces are numbered from 0, the rest after them; an item of any size gives its pieces as rows, not as one array.
+    lots = F.sequence(F.lit(0).cast("bigint"), F.floor((whole - 1) / LOT))
+    full = (
+        sized.where(F.col("n") >= top)
+        .withColumn("lot", F.explode(lots))
+        .withColumn("piece_no", F.explode(F.sequence(F.col("lot") * LOT, F.least((F.col("lot") + 1) * LOT, whole) - 1)))
+        .select(
+            "key",
+            "piece_no",
+            F.lit(top).cast("bigint").alias("n"),
+            # A full piece fills a container alone, which is named after its item and number.
+            F.concat_ws(".", F.concat(F.lit("f"), F.col("uid").cast("string")), F.col("piece_no").cast("string")).alias("container"),
+            F.lit(top).cast("bigint").alias("capacity"),
+        )
     )
-    full = pieces.where(F.col("n") == top).select(
-        "key",
-        F.col("piece_no").cast("bigint").alias("piece_no"),
-        "n",
-        # Negative numbers: containers that one full piece fills; uid and piece give each its own.
-        (-(F.col("uid") * 100_000 + F.col("piece_no") + 1)).alias("container_no"),
-        F.lit(top).cast("bigint").alias("capacity"),
+    rest = (
+        sized.where((F.col("n") == 0) | (F.col("n") % top > 0))
+        .select("key", "uid", whole.cast("bigint").alias("piece_no"), (F.col("n") % top).alias("n"))
+        .withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("bigint"))
     )
-    rest = pieces.where(F.col("n") < top).withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("bigint"))
+    key_type = dict(sized.dtypes)["key"]
     # A set number of partitions: the rows are few beside the work, so they must not be gathered into few tasks.
     packed = rest.repartition(min(blocks, MOST_TASKS), "block").groupBy("block").applyInPandas(
         lambda rows: _pack_block(rows, capacities),
-        "key bigint, piece_no bigint, n bigint, container_no bigint, capacity bigint",
+        f"key {key_type}, piece_no bigint, n bigint, container string, capacity bigint",
     )
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("capacity").cast("int"))
     return packed.unionByName(full).select(
-        F.col("key").alias(id_col), "piece_no", F.col("n").alias(size_col), "container_no", "capacity"
+        F.col("key").alias(id_col), "piece_no", F.col("n").alias(size_col), "container", kind.alias("container_id"), "capacity"
     )

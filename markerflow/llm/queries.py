@@ -38,20 +38,13 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_tokens_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    counts = encode.encode_corpus(docs, counts_only=True)
-    return (
-        counts.join(docs.select("doc_id", "source"), "doc_id")
-        .groupBy("source")
-        .agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    )
+    counts = encode.encode_corpus(table(spark, sf_dir, "documents"), counts_only=True, keep=("source",))
+    return counts.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = encode.encode_corpus(table(spark, sf_dir, "documents"), counts_only=True)
-    # A handful of container kinds, fixed in number.
-    capacities = [r.capacity_tokens for r in table(spark, sf_dir, "containers").select("capacity_tokens").distinct().collect()]
-    return pack.pack_items(sizes, capacities)
+    return pack.pack_items(sizes, pack.container_kinds(table(spark, sf_dir, "containers")))
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +52,8 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_container = _packed(spark, sf_dir).groupBy("container_no", "capacity").agg(F.sum("n_tokens").alias("used"))
-    return by_container.groupBy("capacity").agg(
+    by_container = _packed(spark, sf_dir).groupBy("container", "container_id", "capacity").agg(F.sum("n_tokens").alias("used"))
+    return by_container.groupBy("container_id", "capacity").agg(
         F.count("*").alias("n_containers"),
         F.sum("used").alias("n_tokens"),
         F.sum(F.col("capacity") - F.col("used")).alias("room_left"),

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from markerflow.llm import canonical, cues, encode, pack, split, subjects
 
@@ -40,10 +41,14 @@ def test_encoding_equals_whole_texts(spark, bpe, chunk, halo):
 
 def test_encoding_of_null_and_repeated_ids(spark, bpe):
     a, b = "one two " * 30, "three 4 " * 40
-    df = spark.createDataFrame([(None, a), (5, a), (5, a), (5, b), (6, "x"), (6, "x"), (None, None)], DOCS)
-    got = sorted((str(r.doc_id), r.ids) for r in encode.encode_corpus(df, chunk_chars=60, halo_chars=20).collect())
-    one, three, x = (bpe.bpe.encode_ordinary(t) for t in (a, b, "x"))
-    assert got == sorted([("None", one), ("5", one), ("5", three), ("6", x), ("6", x), ("None", [])])
+    rows = [(None, a), (5, a), (5, a), (5, b), (6, "x"), (6, "x"), (None, None), (None, a)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], DOCS + ", n int")
+    want = sorted((str(i), k, bpe.bpe.encode_ordinary(t or "")) for k, (i, t) in enumerate(rows))
+    for chunk in (60, 65_536):
+        got = encode.encode_corpus(df, chunk_chars=chunk, halo_chars=20, keep=("n",)).collect()
+        assert sorted((str(r.doc_id), r.n, r.ids) for r in got) == want
+        counts = encode.encode_corpus(df, chunk_chars=chunk, halo_chars=20, keep=("n",), counts_only=True).collect()
+        assert sorted((str(r.doc_id), r.n, r.n_tokens) for r in counts) == [(i, k, len(x)) for i, k, x in want]
 
 
 def test_encoding_of_nothing(spark):
@@ -67,11 +72,12 @@ def test_packing(spark):
     rng = np.random.default_rng(2)
     sizes = [int(x) for x in rng.integers(0, 60, size=400)] + [250, 100, 300]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)] + [(1000, None)], "doc_id bigint, n_tokens bigint")
-    rows = pack.pack_items(df, [20, 50, 100], block_items=150).collect()
+    rows = pack.pack_items(df, {20: 7, 50: 8, 100: 9}, block_items=150).collect()
+    assert {(r.capacity, r.container_id) for r in rows} == {(20, 7), (50, 8), (100, 9)}
     used, kind, total = {}, {}, {}
     for r in rows:
-        used[r.container_no] = used.get(r.container_no, 0) + r.n_tokens
-        assert kind.setdefault(r.container_no, r.capacity) == r.capacity
+        used[r.container] = used.get(r.container, 0) + r.n_tokens
+        assert kind.setdefault(r.container, r.capacity) == r.capacity
         total[r.doc_id] = total.get(r.doc_id, 0) + r.n_tokens
     assert all(used[c] <= kind[c] for c in used)
     assert total == {**dict(enumerate(sizes)), 1000: 0}
@@ -81,8 +87,20 @@ def test_packing(spark):
 
 def test_packing_of_nothing_and_of_empty_items(spark):
     schema = "doc_id bigint, n_tokens bigint"
-    assert pack.pack_items(spark.createDataFrame([], schema), [10]).count() == 0
-    assert pack.pack_items(spark.createDataFrame([(1, 0), (1, 0), (2, None)], schema), [10]).count() == 3
+    assert pack.pack_items(spark.createDataFrame([], schema), {10: 1}).count() == 0
+    assert pack.pack_items(spark.createDataFrame([(1, 0), (1, 0), (2, None)], schema), {10: 1}).count() == 3
+    kinds = spark.createDataFrame([(4, 10), (2, 10), (1, None), (3, 5)], "container_id int, capacity_tokens int")
+    assert pack.container_kinds(kinds) == {10: 2, 5: 3}
+
+
+def test_containers_of_many_partitions_and_of_many_pieces(spark):
+    """Each container has a name of its own; names are texts, which no partition number and no number of pieces can exceed."""
+    df = spark.range(0, 12_000, 1, 16).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1_000 == 999, 25).otherwise(0).alias("n_tokens"))
+    df = df.unionByName(spark.createDataFrame([(99_999, 250_007)], df.schema))
+    rows = pack.pack_items(df, {10: 1}).where("n_tokens > 0")
+    by_container = rows.groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    assert rows.where("doc_id = 99999").count() == 25_001 and by_container.where("n > 10").count() == 0
+    assert by_container.agg(F.sum("n")).first()[0] == 250_007 + 12 * 25
 
 
 FRAMES = "seq_id string, frame int, vertices array<float>, ingested_at timestamp_ntz"
