@@ -21,8 +21,24 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_pieces(table(spark, sf_dir, "mesh_frames"), table(spark, sf_dir, "mesh_sequences"))
 
 
+#: Words of marker names, beside the names and descriptions of the list itself: other words for them, words for the sides, and fillers.
+LABEL_WORDS = {
+    "upper": "up", "lower": "low", "middle": "mid", "outer": "out", "outside": "out", "inner": "in", "inside": "in", "sternum": "stern", "breastbone": "stern",
+    "back": "rear", "second": "two", "2": "two", "fifth": "five", "5": "five", "pinkie": "pinky", "forehead": "brow", "tailbone": "sacrum", "upperarm": "uparm",
+    "large": "big", "little": "small",
+}
+LABEL_SIDES = {"l": "l left lft lef lt", "r": "r right rgt rig rt"}
+LABEL_FILLERS = "side new mk marker the of copy old"
+
+
+def label_words(spark: SparkSession) -> DataFrame:
+    """`alias, meaning, kind` for marker names."""
+    rows = [(a, m, "word") for a, m in LABEL_WORDS.items()] + [(a, s, "side") for s, names in LABEL_SIDES.items() for a in names.split()]
+    return spark.createDataFrame(rows + [(a, None, "filler") for a in LABEL_FILLERS.split()], "alias string, meaning string, kind string")
+
+
 def _label_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    return [table(spark, sf_dir, t) for t in ("mocap_sessions", "stageii_samples", "marker_layout")]
+    return [*(table(spark, sf_dir, t) for t in ("mocap_sessions", "stageii_samples", "marker_layout")), label_words(spark)]
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

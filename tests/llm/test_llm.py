@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from markerflow.llm import canonical, cues, encode, pack, split, subjects
+from markerflow.llm import canonical, cues, encode, pack, queries, split, subjects
 
 DOCS = "doc_id bigint, text string"
 
@@ -197,13 +197,61 @@ ENTRIES = [
     ],
 )
 def test_labels_meant(typed, meant):
-    assert canonical.CanonicalList(ENTRIES).match(typed) == meant
+    assert canonical.CanonicalList(ENTRIES, label_rows()).match(typed) == meant
+
+
+def label_rows():
+    sides = [(a, s, "side") for s, names in queries.LABEL_SIDES.items() for a in names.split()]
+    return [(a, m, "word") for a, m in queries.LABEL_WORDS.items()] + sides + [(a, None, "filler") for a in queries.LABEL_FILLERS.split()]
+
+
+def plain_edits(a, b):
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_edits_and_index_against_brute_force():
+    rng = np.random.default_rng(8)
+    words = sorted({"".join(rng.choice(list("abcd"), size=rng.integers(1, 11))) for _ in range(400)})
+    index = canonical.NearIndex(words)
+    for word in ["".join(rng.choice(list("abcd"), size=rng.integers(1, 11))) for _ in range(60)]:
+        far = {w: plain_edits(word, w) for w in words}
+        assert {w: canonical.edits(word, w, 20) for w in words} == far
+        assert {w for w, d in far.items() if d <= 2} <= set(index.near(word))
+
+
+class EveryName(canonical.CanonicalList):
+    """The same list without its indexes: every name and every spelling is tried."""
+
+    def _candidates(self, words):
+        return set(range(len(self.variants)))
+
+
+def test_matches_are_those_of_trying_every_name():
+    rng = np.random.default_rng(9)
+    parts = ["left", "right", "l", "r", "knee", "kneel", "hip", "hips", "toe", "out", "in", "big", "bag", "ankle", "shoulder"]
+    names = sorted({" ".join(rng.choice(parts, size=rng.integers(1, 4))) for _ in range(150)})
+    indexed, every = (kind([(n, None) for n in names], label_rows()) for kind in (canonical.CanonicalList, EveryName))
+    every.near_spellings.near = lambda word: every.near_spellings.words
+    letters = list("abcdefghijklmnopqrstuvwxyz _")
+    for _ in range(600):
+        typed = list(str(rng.choice(names)))
+        for _ in range(int(rng.integers(0, 4))):
+            at = int(rng.integers(0, len(typed) + 1))
+            typed[at : at + int(rng.integers(0, 2))] = [str(rng.choice(letters))] * int(rng.integers(0, 2))
+        assert indexed.match("".join(typed)) == every.match("".join(typed)), typed
 
 
 def test_mapping_keeps_rows_and_clashing_columns(spark):
     names = spark.createDataFrame(ENTRIES, "label string, description string")
+    words = queries.label_words(spark)
     values = spark.createDataFrame([(1, "l heel"), (1, "l heel"), (2, None), (3, "zzz")], "label int, typed string")
-    got = canonical.map_values(values, names, "typed", "meant").collect()
+    got = canonical.map_values(values, names, "typed", "meant", words=words).collect()
     assert sorted((r.label, str(r.meant)) for r in got) == [(1, "L_HEEL"), (1, "L_HEEL"), (2, "None"), (3, "nan")]
     assert canonical.map_values(values.limit(0), names, "typed", "meant").count() == 0
 
