@@ -1,20 +1,21 @@
 """Reading records whose schema drifts from batch to batch into one table, with a report of every change.
 
-Method: similarity flooding. The fields of a batch and of the batch before are nodes of two schema
-graphs whose edges lead to their types, their parents and the words of their names; pairs of fields start from the
-likeness of their names and of their values, scores flow between pairs that neighbour each other in
-both graphs until they settle, and the best pairs that agree from both sides and are
-likely enough are the same quantity renamed. Then values are cast and put into one table; what a cast can't hold
-is kept beside it as JSON text.
-
-The likeness of values comes from histograms of features (kind, magnitude, sign, length, shape and
-common values) over every file of the corpus; they are counted where the files are read and only
-counts are shuffled. A group of the flooding holds the fields of two batches, bounded by the width of a schema.
+Method: similarity flooding. The schemas of a batch and of the batch before are graphs: fields lead to the object that holds them, to
+their type and to the words of their names, objects to the objects that hold them. Pairs of nodes, one of each graph, begin with a likeness of their own (of
+fields: of their values) and then take up the scores of the pairs they lead to and come from, round after round until no score changes; so
+a word that two renamed fields changed alike, or an object that moved, speaks for the other fields with it. The best pairs
+of fields that agree from both sides and are likely enough are the same quantity renamed. Then values are cast and put into
+one table; what a cast can't hold is kept beside it as JSON text.
+
+The likeness of values comes from histograms of features (kind, magnitude, sign, length, pairs of letters and
+values) of each path and type of a stream over all its files; they are counted where the files are read and only
+counts are shuffled. Only pairs of fields whose values share a feature are ever formed, by an equi-join on features. The graphs of two batches are one row, bounded
+by the width of a schema, which is checked; rows are spread over a set number of tasks.
 
 Defined cases: a payload that is null or not a JSON object is unreadable and counts nowhere; a file
 delivered more than once counts once, a readable delivery before an unreadable one; null values
 and empty objects are absent; where two types are equally frequent the first in order of the alphabet counts; the first
-batch of a stream has no changes; empty tables give empty results.
+batch of a stream has no changes; a repeated file is dropped by its raw_id, so files with a null raw_id all count; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,15 +35,20 @@ from pyspark.sql import types as T
 from markerflow.session import checkpointed
 
 SHARE = 3  # a batch has a field if at least one in SHARE of its readable files holds it
-ACCEPT = 0.53
-VALUE_WEIGHT, NAME_WEIGHT = 0.75, 0.25
+ACCEPT = 0.58
 LEAST_OVERLAP = 0.03
-FLOOD_SHARE = 0.25
-FLOOD_ROUNDS = 30
+#: How much of a score is taken up from around, and what of that from objects, types and words.
+FLOOD_SHARE = 0.5
+PARENT_SHARE, TYPE_SHARE, WORD_SHARE = 0.25, 0.25, 0.5
+OTHER_TYPE = 0.4
+SETTLED = 1e-6
 MAX_FIELDS = 10_000
+MAX_DROPPED = 1_000_000
+VALUE_BUCKETS = 64
 _NUMBER = re.compile(r"\s*([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)\s*[a-zA-Z%\"']{0,3}\s*")
+_DIGITS = re.compile(r"\d+")
 #: Weights of the feature families in the likeness of values.
-FAMILIES = {"kind": 2.0, "mag": 1.5, "frac": 1.0, "sign": 0.5, "len": 1.0, "inner": 1.0, "val": 1.5, "shape": 0.5}
+FAMILIES = {"kind": 1.0, "mag": 2.0, "frac": 1.5, "sign": 0.5, "len": 1.5, "inner": 1.0, "val": 0.6, "pair": 2.0}
 
 
 def leaves(record: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
@@ -109,48 +114,72 @@ def _parts(value: object, depth: int) -> list[str]:
         return [f"mag:{size}", f"sign:{(value > 0) - (value < 0)}", f"frac:{bool(known and value != math.floor(value))}"]
     if isinstance(value, str):
         value = value.encode("utf-8", "replace").decode()
-        shape = re.sub(r"9+", "9", re.sub(r"a+", "a", re.sub(r"\d", "9", re.sub(r"[^\W\d_]", "a", value))))[:12]
-        return [f"shape:{shape}", f"val:{zlib.crc32(value.lower().encode()) % 512}"]
+        text = "^" + _DIGITS.sub("9", value.lower()) + "$"
+        return [*{f"pair:{x}" for x in map("".join, zip(text, text[1:]))}, f"val:{zlib.crc32(value.lower().encode()) % VALUE_BUCKETS}"]
     if isinstance(value, list):
-        # Long lists tell enough by their first items: this is a histogram of kinds of values, not of rows.
-        inner = [f for item in value[:16] for f in _parts(item, depth + 1)]
-        return [f"{'inner' if depth else 'len'}:{min(len(value), 64)}", *inner]
+        inner = [f for item in value for f in _parts(item, depth + 1)]
+        return [f"{'inner' if depth else 'len'}:{len(value)}", *inner]
     return []
 
 
 def one_delivery(raw: DataFrame) -> DataFrame:
-    """`stream, batch_no, file_path, raw_id, payload`: each file once."""
+    """`stream, batch_no, file_path, raw_id, payload`: each file once.
+
+    Deliveries are compared by their ids; payloads stay where they are read. The ids of further deliveries, which are few, are
+    broadcast if they are at most MAX_DROPPED, else joined."""
     path = F.coalesce("file_path", F.concat(F.lit("raw:"), F.col("raw_id").cast("string")))
+    rows = raw.select("stream", "batch_no", path.alias("file_path"), "raw_id", "payload")
     torn = F.try_parse_json("payload").isNull().cast("int")
-    picked = F.min_by(F.struct("raw_id", "payload"), F.struct(torn.alias("torn"), F.col("raw_id")))
-    once = raw.groupBy("stream", "batch_no", path.alias("file_path")).agg(picked.alias("r"))
-    return once.select("stream", "batch_no", "file_path", "r.raw_id", "r.payload")
+    again = rows.where("raw_id is not null").groupBy("stream", "batch_no", "file_path").agg(
+        F.count("*").alias("n"), F.min_by("raw_id", F.struct(torn, "raw_id")).alias("kept"), F.collect_set("raw_id").alias("ids")
+    ).where("n > 1")
+    dropped = checkpointed(again.select(F.explode("ids").alias("raw_id"), "kept").where("raw_id != kept").select("raw_id"))
+    return rows.join(F.broadcast(dropped) if dropped.count() <= MAX_DROPPED else dropped, "raw_id", "left_anti")
 
 
 _COUNT_SCHEMA = "stream string, batch_no int, path string, type string, feature string, n bigint"
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of files, of fields by type per batch, and of features per path and type of a stream, over some files each."""
+    known: dict[tuple, list[str]] = {}
+
+    def seen(value: object) -> list[str]:
+        # Types tell true from 1; most values of a field are repeated.
+        key = (type(value), value)
+        if (found := known.get(key)) is None:
+            if len(known) >= 100_000:
+                known.clear()
+            found = known[key] = features(value)
+        return found
+
     for batch in batches:
-        counts: Counter = Counter()
+        files, fields = Counter(), Counter()
+        values: dict[tuple, Counter] = {}
         for stream, number, payload in zip(*(batch.column(c).to_pylist() for c in ("stream", "batch_no", "payload"))):
             record = read_record(payload)
             if record is None:
                 continue
-            counts[stream, number, None, None, None] += 1
+            files[stream, number] += 1
             for path, value in leaves(record):
                 if value is not None:
-                    counts[stream, number, path, simple_type(value), None] += 1
-                    for feature in features(value):
-                        counts[None, None, path, None, feature] += 1
-        columns = list(zip(*(key + (n,) for key, n in counts.items()))) or [[]] * 6
+                    kind = simple_type(value)
+                    fields[stream, number, path, kind] += 1
+                    counter = values.get((stream, path, kind))
+                    if counter is None:
+                        counter = values[stream, path, kind] = Counter()
+                    counter.update(features(value) if isinstance(value, list) else seen(value))
+        rows = [(s, b, None, None, None, n) for (s, b), n in files.items()] + [(*key, None, n) for key, n in fields.items()]
+        rows += [(s, None, p, k, f, n) for (s, p, k), counter in values.items() for f, n in counter.items()]
         kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64()]
+        columns = list(zip(*rows)) or [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in _COUNT_SCHEMA.split(", ")])
 
 
 def field_counts(raw: DataFrame) -> DataFrame:
-    """Counts of files, of fields by type per batch, and of features per path; combined before they are shuffled."""
+    """Counts of files, of fields by type per batch, and of features per path and type of a stream; combined before they are shuffled."""
     files = one_delivery(raw).select("stream", F.col("batch_no").cast("int").alias("batch_no"), "payload")
+    # Files of a stream lie together in most tables, so a task's counts are few.
     counted = files.mapInArrow(_count_batches, _COUNT_SCHEMA)
     return counted.groupBy("stream", "batch_no", "path", "type", "feature").agg(F.sum("n").alias("n"))
 
@@ -175,90 +204,141 @@ def _sides(counts: DataFrame) -> DataFrame:
     return now.join(then, ["stream", "batch_no", "path"], "full")
 
 
-def value_likeness(counts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """`old, new, likeness` of each pair of paths: the overlap of their feature histograms, by family."""
-    seen = counts.where("feature is not null").select(
-        "path", F.substring_index("feature", ":", 1).alias("family"), "feature", "n"
-    )
-    shares = seen.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("path", "family")))
-    left = shares.select(F.col("path").alias("old"), "family", "feature", F.col("p").alias("p_old"))
-    right = shares.select(F.col("path").alias("new"), "family", "feature", F.col("p").alias("p_new"))
-    met = pairs.join(left, "old").join(right, ["new", "family", "feature"])
-    overlap = met.groupBy("old", "new", "family").agg(F.sum(F.sqrt(F.col("p_old") * F.col("p_new"))).alias("overlap"))
-    families = shares.select("path", "family").distinct()
-    either = (
-        pairs.join(families.withColumnRenamed("path", "old"), "old")
-        .unionByName(pairs.join(families.withColumnRenamed("path", "new"), "new"))
-        .distinct()
+def value_likeness(counts: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
+    """`stream, batch_no, old, new, likeness`: how the feature histograms of a vanished and a new field of a batch overlap, by
+    family; of each field the values of the type that it has in its batch. Pairs whose values have no telling feature in common have none."""
+    seen = counts.where("feature is not null").select("stream", "path", "type", F.substring_index("feature", ":", 1).alias("family"), "feature", "n")
+    shares = seen.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("stream", "path", "type", "family")))
+    left = gone.join(shares.withColumnsRenamed({"path": "old", "type": "old_type", "p": "p_old"}).drop("n"), ["stream", "old", "old_type"])
+    right = come.join(shares.withColumnsRenamed({"path": "new", "type": "new_type", "p": "p_new"}).drop("n"), ["stream", "new", "new_type"])
+    met = left.join(right, ["stream", "batch_no", "family", "feature"])
+    pair = ["stream", "batch_no", "old", "old_type", "new", "new_type"]
+    by_family = met.groupBy(*pair, "family").agg(F.sum(F.sqrt(F.col("p_old") * F.col("p_new"))).alias("overlap"))
+    # A geometric mean over the families that either field has, by how many of its values have them: two quantities of one kind but of
+    # other sizes or signs are not alike.
+    weights = F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv])
+    fit = F.log(F.greatest("overlap", F.lit(LEAST_OVERLAP))) - F.log(F.lit(LEAST_OVERLAP))
+    telling = F.col("family").isin("mag", "len", "inner", "val", "pair")
+    found = by_family.groupBy(*pair).agg(
+        F.map_from_entries(F.collect_list(F.struct("family", fit))).alias("fits"), F.bool_or(telling).alias("told")
     )
-    # A geometric mean: two quantities of one kind but of other sizes or signs are not alike.
-    weights = F.element_at(F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv]), F.col("family"))
-    fit = F.log(F.greatest(F.coalesce("overlap", F.lit(0.0)), F.lit(LEAST_OVERLAP)))
-    return (
-        either.join(overlap, ["old", "new", "family"], "left")
-        .groupBy("old", "new")
-        .agg(F.exp(F.sum(fit * weights) / F.sum(weights)).alias("likeness"))
-    )
-
-
-def _words(path: str) -> list[str]:
+    held = seen.groupBy("stream", "path", "type", "family").agg(F.sum("n").alias("n"))
+    held = held.groupBy("stream", "path", "type").agg(F.map_from_entries(F.collect_list(F.struct("family", "n"))).alias("held"))
+    pairs = found.where("told")
+    for side in ("old", "new"):
+        pairs = pairs.join(held.withColumnsRenamed({"path": side, "type": f"{side}_type", "held": f"_{side}"}), ["stream", side, f"{side}_type"])
+    share = lambda side, f: F.least(F.coalesce(F.col(side)[f], F.lit(0)) / F.col(side)["kind"], F.lit(1.0))
+    weight = lambda f: weights[f] * (share("_old", f) + share("_new", f))
+    families = F.map_keys(weights)
+    whole = F.aggregate(families, F.lit(0.0), lambda s, f: s + weight(f))
+    fitting = F.aggregate(families, F.lit(0.0), lambda s, f: s + weight(f) * F.coalesce(F.col("fits")[f], F.lit(0.0)))
+    return pairs.select("stream", "batch_no", "old", "new", F.exp(fitting / whole + F.log(F.lit(LEAST_OVERLAP))).alias("likeness"))
+
+
+def name_words(path: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "_", path).lower()) if w]
 
 
-def name_likeness(a: str, b: str) -> float:
-    """Shared words of two paths; a word also counts for one that begins with it."""
-    x, y = _words(a), _words(b)
-    if not x or not y:
-        return 0.0
+def word_likeness(a: str, b: str) -> float:
+    """1 for equal words, else the share of the longer one that both begin with."""
+    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return same / max(len(a), len(b))
 
-    def best(w: str, others: list[str]) -> float:
-        return max(1.0 if w == o else 0.7 if min(len(w), len(o)) >= 3 and (w.startswith(o) or o.startswith(w) or w.startswith(o[:4]) and len(o) > 3) else 0.0 for o in others)
 
-    return (sum(best(w, y) for w in x) + sum(best(w, x) for w in y)) / (len(x) + len(y))
+def parent_of(path: str) -> str:
+    return path.rpartition(".")[0]
 
 
 def flood(old: dict[str, str], new: dict[str, str], likeness: dict[tuple[str, str], float]) -> dict[tuple[str, str], float]:
-    """Settled scores of the pairs in `likeness`; old and new give each side's fields with their types."""
-
-    def parent(path: str) -> str:
-        return path.rpartition(".")[0]
-
-    start = {p: VALUE_WEIGHT * v + NAME_WEIGHT * name_likeness(*p) for p, v in likeness.items()}
-    start |= {(p, p): 1.0 for p in old.keys() & new.keys()}
-    near: dict[tuple[str, str], list[tuple[str, str]]] = {p: [] for p in start}
-    by_parents: dict[tuple[str, str], list[tuple[str, str]]] = {}
-    for p in start:
-        by_parents.setdefault((parent(p[0]), parent(p[1])), []).append(p)
-    for siblings in by_parents.values():
-        for p in siblings:
-            near[p] = [q for q in siblings if q[0] != p[0] and q[1] != p[1]]
-    same_type = {p: float(old.get(p[0]) == new.get(p[1])) for p in start}
-    score = dict(start)
-    for _ in range(FLOOD_ROUNDS):
-        flowed = {}
-        for p, s0 in start.items():
-            around = sum(score[q] for q in near[p]) / len(near[p]) if near[p] else 0.5
-            # Neighbours and types only carry what the pair itself supports.
-            flowed[p] = (1 - FLOOD_SHARE) * s0 + FLOOD_SHARE * score[p] * (0.5 * around + 0.5 * same_type[p])
-        change = max((abs(flowed[p] - score[p]) for p in score), default=0.0)
+    """Settled scores of the pairs in `likeness`; old and new give each side's fields with their types.
+
+    A pair's score is partly its own likeness and partly what flows in: to a field from its object, its type and its words,
+    to an object, a type or a word from the best pairs of what it holds. As at most FLOOD_SHARE of a change is passed on, scores settle.
+    """
+    own: dict[tuple, float] = {("field", *p): v for p, v in likeness.items()}
+    own |= {("field", p, p): 1.0 for p in old.keys() & new.keys()}
+    holders: dict[tuple, list[tuple[float, list[tuple]]]] = {}
+    held: dict[tuple, dict[str, list[tuple]]] = {}
+
+    def joins(node: tuple, other: tuple, start: float) -> tuple:
+        own.setdefault(other, start)
+        held.setdefault(other, {}).setdefault(node[1], []).append(node)
+        return other
+
+    waiting = list(own)
+    while waiting:
+        node = waiting.pop()
+        kind, a, b = node
+        groups = []
+        if a and b:
+            above = ("object", parent_of(a), parent_of(b))
+            if above not in own:
+                waiting.append(above)
+            groups.append((PARENT_SHARE if kind == "field" else 1.0, [joins(node, above, 1.0 if above[1] == above[2] else 0.0)]))
+        if kind == "field":
+            s, t = old.get(a), new.get(b)
+            groups.append((TYPE_SHARE, [joins(node, ("type", s or "", t or ""), 1.0 if s == t else OTHER_TYPE)]))
+            pairs = []
+            x, y = name_words(a), name_words(b)
+            for u in x:
+                v = max(y, key=lambda w: (word_likeness(u, w), w), default=None)
+                if v is not None:
+                    pairs.append(joins(node, ("word", u, v), word_likeness(u, v)))
+            for v in y:
+                u = max(x, key=lambda w: (word_likeness(w, v), w), default=None)
+                if u is not None:
+                    pairs.append(joins(node, ("word", u, v), word_likeness(u, v)))
+            groups.append((WORD_SHARE, pairs))
+        holders[node] = groups
+
+    score, change = dict(own), 1.0
+    while change > SETTLED:
+        flowed, change = {}, 0.0
+        for node, start in own.items():
+            flow, weight = 0.0, 0.0
+            for share, others in holders.get(node, ()):
+                if others:
+                    flow, weight = flow + share * sum(score[q] for q in others) / len(others), weight + share
+            if inner := held.get(node):
+                best = sum(max(score[q] for q in some) for some in inner.values()) / len(inner)
+                flow, weight = flow + best, weight + 1.0
+            flowed[node] = (1 - FLOOD_SHARE) * start + FLOOD_SHARE * (flow / weight if weight else start)
+            change = max(change, abs(flowed[node] - score[node]))
         score = flowed
-        if change < 1e-4:
-            break
-    return {p: score[p] for p in likeness}
+    return {p: score["field", *p] for p in likeness}
 
 
-def _match_group(rows: pd.DataFrame) -> pd.DataFrame:
-    fields = rows[rows["new"].isna()]
-    pairs = rows[rows["new"].notna()]
-    old = dict(zip(*fields.loc[fields["old_type"].notna(), ["old", "old_type"]].T.values.tolist())) if fields["old_type"].notna().any() else {}
-    new = dict(zip(*fields.loc[fields["new_type"].notna(), ["old", "new_type"]].T.values.tolist())) if fields["new_type"].notna().any() else {}
-    score = flood(old, new, {(r.old, r.new): float(r.likeness) for r in pairs.itertuples()})
-    out, taken = [], set()
-    for (a, b), s in sorted(score.items(), key=lambda kv: (-kv[1], kv[0])):
-        if s >= ACCEPT and (0, a) not in taken and (1, b) not in taken:
-            taken |= {(0, a), (1, b)}
-            out.append((rows["stream"].iloc[0], int(rows["batch_no"].iloc[0]), a, b))
-    return pd.DataFrame(out, columns=["stream", "batch_no", "old", "new"])
+def _match_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            old = {f["path"]: f["old_type"] for f in r["fields"] if f["old_type"] is not None}
+            new = {f["path"]: f["new_type"] for f in r["fields"] if f["new_type"] is not None}
+            score = flood(old, new, {(p["old"], p["new"]): p["likeness"] for p in r["pairs"]})
+            taken = set()
+            for (a, b), s in sorted(score.items(), key=lambda kv: (-kv[1], kv[0])):
+                if (0, a) not in taken and (1, b) not in taken:
+                    taken |= {(0, a), (1, b)}
+                    out.append((r["stream"], r["batch_no"], a, b, s))
+        columns = list(zip(*out)) or [[]] * 5
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["stream", "batch_no", "old", "new", "score"])
+
+
+def matched_fields(counts: DataFrame, sides: DataFrame) -> DataFrame:
+    """`stream, batch_no, old, new, score`: the best partner of each vanished field among the new ones of its batch, by flooding."""
+    widest = sides.groupBy("stream", "batch_no").count().agg(F.max("count")).first()[0]
+    if (widest or 0) > MAX_FIELDS:
+        raise ValueError(f"a batch has more than {MAX_FIELDS} fields")
+    gone = sides.where("new_type is null").select("stream", "batch_no", F.col("path").alias("old"), "old_type")
+    come = sides.where("old_type is null").select("stream", "batch_no", F.col("path").alias("new"), "new_type")
+    batch = ["stream", "batch_no"]
+    pairs = value_likeness(counts, gone, come).groupBy(*batch).agg(F.collect_list(F.struct("old", "new", "likeness")).alias("pairs"))
+    fields = sides.groupBy(*batch).agg(F.collect_list(F.struct("path", "old_type", "new_type")).alias("fields"))
+    # Few bytes but much work a batch: a set number of partitions, which are not gathered into fewer.
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pairs.join(fields, batch).repartition(tasks, *batch)
+    return rows.mapInArrow(_match_batches, "stream string, batch_no int, old string, new string, score double")
 
 
 def schema_changes(raw: DataFrame) -> DataFrame:
@@ -269,20 +349,7 @@ def schema_changes(raw: DataFrame) -> DataFrame:
 def _changes(counts: DataFrame) -> DataFrame:
     # Counts and fields are small beside the records; written once, they aren't counted anew for each use.
     sides = checkpointed(_sides(counts))
-    gone = sides.where("new_type is null").select("stream", "batch_no", F.col("path").alias("old"))
-    come = sides.where("old_type is null").select("stream", "batch_no", F.col("path").alias("new"))
-    # Both lists of a batch are bounded by the width of a schema.
-    both = gone.join(come, ["stream", "batch_no"])
-    likeness = value_likeness(counts, both.select("old", "new").distinct())
-    pairs = both.join(likeness, ["old", "new"]).select(
-        "stream", "batch_no", "old", "new", "likeness", F.lit(None).cast("string").alias("old_type"), F.lit(None).cast("string").alias("new_type")
-    )
-    context = sides.join(both.select("stream", "batch_no").distinct(), ["stream", "batch_no"], "left_semi").select(
-        "stream", "batch_no", F.col("path").alias("old"), F.lit(None).cast("string").alias("new"), F.lit(None).cast("double").alias("likeness"), "old_type", "new_type"
-    )
-    renamed = checkpointed(
-        pairs.unionByName(context).groupBy("stream", "batch_no").applyInPandas(_match_group, "stream string, batch_no int, old string, new string")
-    )
+    renamed = checkpointed(matched_fields(counts, sides).where(F.col("score") >= ACCEPT))
     ends = renamed.select("stream", "batch_no", F.explode(F.array("old", "new")).alias("path"), "old", "new")
     told = sides.where("not old_type <=> new_type").join(ends, ["stream", "batch_no", "path"], "left")
     kind = (

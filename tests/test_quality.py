@@ -186,3 +186,37 @@ def test_unified_records_keep_every_value(spark):
     assert json.loads(rows[9]["betas"]) == two[0]["shape_betas"] and rest[9] == {"betas": [[9.0]], "n": [2**60 + 1], "flag": ["perhaps"]}
     assert (rows[10]["_"], rest[10]) == ("no name", {"tmp.trace": ["\ud800"], "n": [10**400]})
     assert set(rest) == {1, 2, 9, 10}
+
+
+def test_flooding_settles_and_words_speak_for_each_other():
+    old = {"cap.rate": "number", "cap.note": "string", "kept": "string"}
+    new = {"rec.rate": "number", "rec.note": "string", "kept": "string"}
+    alike = {(a, b): 0.6 for a in ("cap.rate", "cap.note") for b in ("rec.rate", "rec.note")}
+    score = drift.flood(old, new, alike)
+    assert score["cap.rate", "rec.rate"] > score["cap.rate", "rec.note"] + 0.05
+    alone = drift.flood({"cap.rate": "number"}, {"rec.rate": "number"}, {("cap.rate", "rec.rate"): 0.6})
+    stronger = drift.flood(old, new, {**alike, ("cap.note", "rec.note"): 1.0})
+    assert stronger["cap.rate", "rec.rate"] > score["cap.rate", "rec.rate"] and 0 < alone["cap.rate", "rec.rate"] < 1
+    assert drift.flood({}, {}, {}) == {}
+
+
+def test_one_path_of_two_streams_is_not_mixed(spark):
+    rows, n = [], 0
+    for stream, unit in (("a", 1.0), ("b", 1e6)):
+        for number, name in ((1, "size"), (2, "extent")):
+            for k in range(8):
+                n += 1
+                other = {"extra": 3.5 * (k + 1)} if stream == "b" and number == 2 else {}
+                rows.append((n, stream, number, f"{stream}{number}/{k}", json.dumps({name: unit * (10.5 + k), "id": "x", **other}), None))
+    got = {(r.stream, r.change_kind, r.field_name, r.new_name) for r in drift.schema_changes(spark.createDataFrame(rows, RAW)).collect()}
+    assert got == {("a", "renamed", "size", "extent"), ("b", "renamed", "size", "extent"), ("b", "added", "extra", "")}
+
+
+def test_repeated_files_count_once(spark):
+    good = [json.dumps({"a": 1.5, "b": "x"}) for _ in range(3)]
+    rows = [(k, "s", 1, f"1/{k}", p, None) for k, p in enumerate(good)] + [(10 + k, "s", 2, f"2/{k}", p, None) for k, p in enumerate(good)]
+    again = [(20, "s", 2, "2/0", '{"a": 1.5, "b": "x", "c": 1}', None), (21, "s", 2, "2/0", "{", None), (22, "s", 2, "2/0", '{"c": 2}', None)]
+    df = spark.createDataFrame(rows + again, RAW)
+    assert sorted(r.raw_id for r in drift.one_delivery(df).collect()) == [0, 1, 2, 10, 11, 12]
+    torn = spark.createDataFrame([(1, "s", 1, "f", "{", None), (2, "s", 1, "f", '{"a": 1}', None), (3, "s", 1, "f", '{"a": 1}', None)], RAW)
+    assert [r.raw_id for r in drift.one_delivery(torn).collect()] == [2]
