@@ -14,7 +14,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spikes.flag_readings(table(spark, sf_dir, "mocap_points"))
+    return spikes.flag_readings(table(spark, sf_dir, "mocap_points"), table(spark, sf_dir, "mocap_sessions"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

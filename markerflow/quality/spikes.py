@@ -2,8 +2,9 @@
 
 Method: a hidden Markov model per source with the states normal, spike, stuck and out of range.
 A take is read in blocks of frames, each with a halo of its neighbours' frames; a block learns the
-take's noise and motion from its own readings, scores every reading for each state, and
-forward-backward probabilities along each marker, with hard bounds of the capture room, give the
+take's noise and motion from its own readings, scores every reading for each state, learns how often
+states follow each other by a round of expectation and maximisation from a prior, and
+forward-backward probabilities along each marker, with hard bounds of the capture room in the take's own unit, give the
 flags. A flag of the stuck state must then hold a run of the full length, exactly counted.
 
 The score of a spike is how far readings lie from the cubic through their neighbours on both sides
@@ -17,15 +18,13 @@ the rule for stuck values; rows with null keys are left out; a null rate is no c
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markerflow.functions.points import available
-from markerflow.quality.units import BODY_HEIGHTS, CLEAR_HEIGHT, LENGTH_EDGES, compositions
+from markerflow.quality.units import marker_units
 
 BLOCK_FRAMES = 1_024
 HALO_FRAMES = 48
@@ -42,6 +41,8 @@ RATE_TOLERANCE = 0.1
 NORMAL, SPIKE, STUCK, OUT = range(4)
 START = np.log([0.985, 0.005, 0.005, 0.005])
 STEP = np.array([[0.990, 0.004, 0.003, 0.003], [0.45, 0.54, 0.005, 0.005], [0.095, 0.003, 0.90, 0.002], [0.20, 0.005, 0.005, 0.79]])
+#: How many steps the transitions above count for beside those of a block.
+PRIOR_STEPS = 2_000.0
 _KEYS = ["seq_id", "frame", "marker_idx"]
 
 
@@ -125,7 +126,7 @@ def _spike_scores(t: np.ndarray, p: np.ndarray, marker: np.ndarray) -> np.ndarra
 
 def _last_digit(p: np.ndarray) -> float:
     """The value of the last recorded digit of a take."""
-    flat = np.abs(p[: 4_000].ravel())
+    flat = np.abs(p.ravel())
     flat = flat[flat < 1e5]
     for digits in range(0, 8):
         scaled = flat * 10.0**digits
@@ -134,40 +135,33 @@ def _last_digit(p: np.ndarray) -> float:
     return 10.0**-8
 
 
-def _metres_per_unit(z: np.ndarray, labels: list[str | None]) -> float:
-    """A rough length unit of a block from its markers' median heights, enough for the room's bounds."""
-    offs = []
-    for height, label in zip(z, labels):
-        name = (label or "").rsplit(":", 1)[-1].lower().replace(" ", "_")
-        part = next((h for part, h in BODY_HEIGHTS.items() if part in name), None)
-        if part and part >= CLEAR_HEIGHT and height > 0:
-            offs.append(math.log(height / part))
-    if not offs:
-        top = float(np.max(z)) if len(z) else 0.0
-        if top <= 0:
-            return 1.0
-        offs = [math.log(top / 1.4)]
-    scale = float(np.median(offs))
-    return min((f for f, _ in compositions(LENGTH_EDGES).values()), key=lambda f: abs(scale + math.log(f)))
-
-
-def posterior(log_emission: np.ndarray) -> np.ndarray:
-    """Forward-backward state probabilities of shape (steps, series, states); flat emissions stand for no reading."""
+def posterior(log_emission: np.ndarray, step: np.ndarray = STEP) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward state probabilities of shape (steps, series, states), and the expected number of each step from state to state;
+    flat emissions stand for no reading."""
     steps = len(log_emission)
     emission = np.exp(log_emission - log_emission.max(axis=2, keepdims=True))
     forward = np.empty_like(emission)
     row = np.exp(START) * emission[0]
     forward[0] = row / row.sum(axis=1, keepdims=True)
     for k in range(1, steps):
-        row = (forward[k - 1] @ STEP) * emission[k]
+        row = (forward[k - 1] @ step) * emission[k]
         forward[k] = row / row.sum(axis=1, keepdims=True)
-    back = np.ones_like(emission[0])
+    back, moved = np.ones_like(emission[0]), np.zeros_like(step)
     for k in range(steps - 1, -1, -1):
+        ahead = emission[k] * back
         forward[k] *= back
         forward[k] /= forward[k].sum(axis=1, keepdims=True)
-        back = (emission[k] * back) @ STEP.T
+        back = ahead @ step.T
+        if k:
+            moved += (forward[k - 1] / (forward[k - 1] * back).sum(axis=1, keepdims=True)).T @ ahead
         back /= back.sum(axis=1, keepdims=True)
-    return forward
+    return forward, moved * step
+
+
+def learnt_steps(moved: np.ndarray) -> np.ndarray:
+    """Transitions from expected steps and the prior."""
+    total = STEP * PRIOR_STEPS + moved
+    return total / total.sum(axis=1, keepdims=True)
 
 
 def _run_lengths(flags: np.ndarray) -> np.ndarray:
@@ -179,12 +173,11 @@ def _run_lengths(flags: np.ndarray) -> np.ndarray:
     return out
 
 
-def flag_block(marker: np.ndarray, frame: np.ndarray, xyz: np.ndarray, labels: list) -> np.ndarray:
-    """The state of each reading of one block; rows sorted by (marker, frame), none missing, none repeated."""
+def flag_block(marker: np.ndarray, frame: np.ndarray, xyz: np.ndarray, unit: float) -> np.ndarray:
+    """The state of each reading of one block; rows sorted by (marker, frame), none missing, none repeated; `unit` is in metres."""
     state = np.zeros(len(frame), np.int8)
     starts = np.flatnonzero(np.diff(marker, prepend=marker[0] - 1))
     spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(frame)]))
-    unit = _metres_per_unit(np.array([np.median(xyz[a:b, 2]) for a, b in spans]), [labels[a] for a, _ in spans])
     middle = np.median(xyz[:, :2], axis=0)
     metres = xyz * unit
     out = (metres[:, 2] < LOWEST_M) | (metres[:, 2] > HIGHEST_M) | (np.abs(metres[:, :2] - middle * unit).max(axis=1) > FARTHEST_M)
@@ -211,11 +204,12 @@ def flag_block(marker: np.ndarray, frame: np.ndarray, xyz: np.ndarray, labels: l
         e[:, SPIKE] = odds[a:b]
         e[:, STUCK] = np.where(same[a:b], 5.0, -8.0)
         e[:, OUT] = np.where(out[a:b], 30.0, -30.0)
-    likely = posterior(emission).argmax(axis=2)
+    # Series that end before the longest have no readings to learn from there; their steps stay those of the prior.
+    _, moved = posterior(emission)
+    likely = posterior(emission, learnt_steps(moved))[0].argmax(axis=2)
     for j, (a, b) in enumerate(spans):
         state[a:b] = likely[: b - a, j]
     state[(state == STUCK) & ~held] = NORMAL
-    state[held & (state == NORMAL)] = STUCK
     state[out] = OUT
     return state
 
@@ -223,7 +217,9 @@ def flag_block(marker: np.ndarray, frame: np.ndarray, xyz: np.ndarray, labels: l
 def _flag_rows(block_frames: int):
     schema = pa.schema([("seq_id", pa.string()), ("frame", pa.int32()), ("marker_idx", pa.int32()), ("state", pa.int32())])
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
+    def run(key: tuple, rows: pa.Table, take: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return schema.empty_table()
         block = key[1].as_py()
         frame = rows.column("frame").to_numpy()
         marker = rows.column("marker_idx").to_numpy()
@@ -231,8 +227,7 @@ def _flag_rows(block_frames: int):
         order = order[np.concatenate([[True], (np.diff(frame[order]) != 0) | (np.diff(marker[order]) != 0)])]
         xyz = np.column_stack([rows.column(c).to_numpy() for c in "xyz"])[order]
         frame, marker = frame[order].astype(np.int64), marker[order].astype(np.int64)
-        names = rows.column("label").to_pylist()
-        state = flag_block(marker, frame, xyz, [names[i] for i in order])
+        state = flag_block(marker, frame, xyz, take.column("factor")[0].as_py() if take.num_rows else 1.0)
         mine = np.flatnonzero((state != NORMAL) & (frame // block_frames == block))
         return pa.table(
             [pa.array([key[0].as_py()] * len(mine), pa.string()), pa.array(frame[mine], pa.int32()), pa.array(marker[mine], pa.int32()), pa.array(state[mine], pa.int32())],
@@ -242,16 +237,19 @@ def _flag_rows(block_frames: int):
     return run
 
 
-def flag_readings(points: DataFrame, block_frames: int = BLOCK_FRAMES, halo_frames: int = HALO_FRAMES) -> DataFrame:
+def flag_readings(points: DataFrame, sessions: DataFrame, block_frames: int = BLOCK_FRAMES, halo_frames: int = HALO_FRAMES) -> DataFrame:
     """`seq_id, frame, marker_idx, state` of every faulty reading; state is 1 spike, 2 stuck, 3 out of range.
 
-    Blocks bound what a task holds: a take of any length is as many groups as it has blocks.
+    Blocks bound what a task holds: a take of any length is as many groups as it has blocks. Each block meets the unit of its take.
     """
     keyed = points.where(available("x", "y", "z") & F.col("seq_id").isNotNull() & F.col("frame").isNotNull() & F.col("marker_idx").isNotNull())
     block = lambda f: F.floor(f / block_frames).cast("int")
     near = F.array_distinct(F.array(*[F.greatest(block(F.col("frame") + d), F.least(F.lit(0), block(F.col("frame")))) for d in (-halo_frames, 0, halo_frames)]))
-    spread = keyed.select("seq_id", F.explode(near).alias("block"), "frame", "marker_idx", "label", "x", "y", "z")
-    return spread.groupBy("seq_id", "block").applyInArrow(
+    spread = keyed.select("seq_id", F.explode(near).alias("block"), "frame", "marker_idx", "x", "y", "z")
+    takes = marker_units(points, sessions).where("recorded").select("seq_id", "factor", "first_frame", "last_frame")
+    blocks = F.sequence(block(F.col("first_frame")) - 1, block(F.col("last_frame")) + 1)
+    units = takes.select("seq_id", F.explode(blocks).alias("block"), "factor")
+    return spread.groupBy("seq_id", "block").cogroup(units.groupBy("seq_id", "block")).applyInArrow(
         _flag_rows(block_frames), "seq_id string, frame int, marker_idx int, state int"
     )
 
@@ -269,4 +267,4 @@ def impossible_rates(sessions: DataFrame, tolerance: float = RATE_TOLERANCE) ->
 def faulty_readings(points: DataFrame, sessions: DataFrame) -> DataFrame:
     """`seq_id, frame, marker_idx` of faulty readings, and -1, -1 for takes with an impossible rate."""
     rates = impossible_rates(sessions).select("seq_id", F.lit(-1).alias("frame"), F.lit(-1).alias("marker_idx"))
-    return flag_readings(points).select(*_KEYS).unionByName(rates)
+    return flag_readings(points, sessions).select(*_KEYS).unionByName(rates)

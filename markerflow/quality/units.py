@@ -2,9 +2,10 @@
 
 Method: unit conversions are edges of a graph, each an affine function (factor, offset). The
 shortest composition from every unit to the canonical one is precomputed and every cycle is
-checked to return where it began; records are then converted by an equi-join on their unit.
+checked to return where it began; records are then converted by an equi-join on their source unit and the canonical target.
 
-Which unit a record truly is in comes from two witnesses: what the unit column or the note says,
+Which unit a record truly is in comes from the same join: a record meets the conversion of every unit that it may be in, and the
+one is taken that brings it closest to what two witnesses say: what the unit column or the note says,
 and how the body's known heights look in the numbers. Units lie at least a factor 2.5 apart and
 people differ by far less, so measurements decide where there are any, and words where there are
 none; a record with neither is taken as canonical.
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markerflow.functions.points import available
+from markerflow.session import checkpointed, first_by
 
 METRE = "m"
 #: Conversion edges: (from, to, factor, offset) with to = factor * from + offset.
@@ -61,6 +63,9 @@ PELVIS_HEIGHT = 0.94
 BODY_SPREAD = math.log(1.25)
 #: Evidence of a declared unit in units of half a squared spread.
 DECLARED_WEIGHT = 1.5
+#: Records whose conversions are broadcast: at about 40 bytes each, some 20 MB.
+MAX_BROADCAST = 500_000
+SALTS = 64
 
 
 def compositions(edges: list[tuple[str, str, float, float]], target: str = METRE) -> dict[str, tuple[float, float]]:
@@ -94,9 +99,9 @@ def compositions(edges: list[tuple[str, str, float, float]], target: str = METRE
 
 
 def conversion_table(spark: SparkSession, edges=None, target: str = METRE) -> DataFrame:
-    """`unit, factor, shift`: one row per unit; as small as the list of units."""
-    rows = [(u, f, o) for u, (f, o) in sorted(compositions(edges or LENGTH_EDGES, target).items())]
-    return spark.createDataFrame(rows, "unit string, factor double, shift double")
+    """`unit, target, factor, shift`: one row per unit; as small as the list of units."""
+    rows = [(u, target, f, o) for u, (f, o) in sorted(compositions(edges or LENGTH_EDGES, target).items())]
+    return spark.createDataFrame(rows, "unit string, target string, factor double, shift double")
 
 
 def spelled_unit(text: Column) -> Column:
@@ -130,70 +135,81 @@ def body_height(label: Column) -> Column:
     return pick
 
 
-def true_unit(log_scale: Column, declared: Column, edges=None) -> Column:
-    """The likeliest unit given the median log(reading / expected metres) and the declared unit."""
-    scored = []
-    for unit, (factor, _) in sorted(compositions(edges or LENGTH_EDGES).items()):
-        off = (log_scale + F.lit(math.log(factor))) / BODY_SPREAD
-        fit = F.coalesce(-off * off / 2, F.lit(0.0)) + F.when(declared == unit, F.lit(DECLARED_WEIGHT)).otherwise(F.lit(0.0))
-        scored.append(F.struct(fit.alias("fit"), F.lit(int(unit == METRE)).alias("usual"), F.lit(unit).alias("unit")))
-    return F.array_max(F.array(*scored)).getField("unit")
+def true_units(records: DataFrame, edges=None, target: str = METRE) -> DataFrame:
+    """`seq_id, unit, factor, shift`: the likeliest unit of each of `seq_id, log_scale, declared`, with its conversion to `target`.
+
+    `log_scale` is the median log(reading / expected length in the target unit), null where nothing can be measured. Each record meets the
+    conversions of the units that it may be in by an equi-join on unit and target; of equal fits the target unit counts, then the last by name.
+    """
+    may_be = F.array(*[F.lit(u) for u in sorted(compositions(edges or LENGTH_EDGES, target))])
+    asked = records.select("seq_id", "log_scale", "declared", F.explode(may_be).alias("unit"), F.lit(target).alias("target"))
+    # One row a unit: as small as the list of edges.
+    met = asked.join(F.broadcast(conversion_table(records.sparkSession, edges, target)), ["unit", "target"])
+    off = (F.col("log_scale") + F.log("factor")) / BODY_SPREAD
+    fit = F.coalesce(-off * off / 2, F.lit(0.0)) + F.when(F.col("declared") == F.col("unit"), F.lit(DECLARED_WEIGHT)).otherwise(F.lit(0.0))
+    rank = F.struct(fit.alias("fit"), (F.col("unit") == F.col("target")).alias("usual"), F.col("unit"))
+    best = met.groupBy("seq_id").agg(F.max_by(F.struct("unit", "factor", "shift"), rank).alias("b"))
+    return best.select("seq_id", "b.unit", "b.factor", "b.shift")
 
 
 def marker_units(points: DataFrame, sessions: DataFrame) -> DataFrame:
-    """`seq_id, unit` of the marker positions of every take.
+    """`seq_id, unit, factor, shift, recorded, first_frame, last_frame` of the marker positions of every take; `recorded` tells
+    whether it has points.
 
     Heights are folded to one median per marker before anything is joined, so a long take costs no more at the
     join than a short one.
     """
-    seen = points.where(available("x", "y", "z") & (F.col("z") > 0))
-    per_marker = seen.groupBy("seq_id", "marker_idx").agg(
-        F.percentile_approx("z", 0.5, 200).alias("z"), F.max("label").alias("label")
-    )
+    height = F.when(available("x", "y", "z") & (F.col("z") > 0), F.col("z"))
+    per_marker = points.where("seq_id is not null").groupBy("seq_id", "marker_idx").agg(
+        F.percentile_approx(height, 0.5, 200).alias("z"), F.max(F.when(height.isNotNull(), F.col("label"))).alias("label"),
+        F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"),
+    )
     scaled = per_marker.withColumn("expected", body_height(F.col("label"))).withColumn("off", F.log(F.col("z") / F.col("expected")))
     per_take = scaled.groupBy("seq_id").agg(
         F.coalesce(
-            F.median(F.when(F.col("expected") >= CLEAR_HEIGHT, F.col("off"))), F.max_by("off", "expected"), F.log(F.max("z") / 1.4)
-        ).alias("log_scale")
+            F.median(F.when(F.col("expected") >= CLEAR_HEIGHT, F.col("off"))), F.max_by("off", F.when(F.col("off").isNotNull(), F.col("expected"))), F.log(F.max("z") / 1.4)
+        ).alias("log_scale"),
+        F.lit(True).alias("recorded"),
+        F.min("first_frame").alias("first_frame"),
+        F.max("last_frame").alias("last_frame"),
     )
     said = sessions.groupBy("seq_id").agg(F.max("unit").alias("unit_text"), F.max("note").alias("note"))
     declared = F.coalesce(spelled_unit(F.col("unit_text")), noted_unit(F.col("note"), r"marker|point|coordinate"))
-    both = per_take.join(said, "seq_id", "full")
-    return both.select("seq_id", true_unit(F.col("log_scale"), declared).alias("unit"))
+    both = per_take.join(said, "seq_id", "full").withColumn("declared", declared)
+    return true_units(both).join(per_take.select("seq_id", "recorded", "first_frame", "last_frame"), "seq_id", "left")
 
 
 def translation_units(poses: DataFrame, samples: DataFrame) -> DataFrame:
-    """`seq_id, unit` of the root translations of every sample."""
+    """`seq_id, unit, factor, shift, recorded` of the root translations of every sample."""
     z = F.get("trans", F.lit(2))
-    per_take = poses.where(z > 0).groupBy("seq_id").agg(F.log(F.percentile_approx(z, 0.5, 200) / PELVIS_HEIGHT).alias("log_scale"))
+    per_take = poses.where("seq_id is not null").groupBy("seq_id").agg(
+        F.log(F.percentile_approx(F.when(z > 0, z), 0.5, 200) / PELVIS_HEIGHT).alias("log_scale"), F.bool_or(F.col("trans").isNotNull()).alias("recorded")
+    )
     said = samples.groupBy("seq_id").agg(F.max("trans_unit").alias("unit_text"), F.max("note").alias("note"))
     declared = F.coalesce(spelled_unit(F.col("unit_text")), noted_unit(F.col("note"), r"trans|root"))
-    return per_take.join(said, "seq_id", "full").select("seq_id", true_unit(F.col("log_scale"), declared).alias("unit"))
+    return true_units(per_take.join(said, "seq_id", "full").withColumn("declared", declared)).join(per_take.select("seq_id", "recorded"), "seq_id", "left")
 
 
 def latent_units(samples: DataFrame) -> DataFrame:
-    """`seq_id, unit` of the latent markers of every sample."""
-    marks = samples.select(
+    """`seq_id, unit, factor, shift, recorded` of the latent markers of every sample."""
+    rows = samples.where("seq_id is not null")
+    marks = rows.select(
         "seq_id", F.explode_outer(F.arrays_zip(F.col("markers_latent").alias("xyz"), F.col("latent_labels").alias("label"))).alias("m")
     ).select("seq_id", F.get("m.xyz", F.lit(2)).alias("z"), F.col("m.label").alias("label"))
-    heights = marks.where("z > 0").groupBy("seq_id").agg(F.median(F.log(F.col("z") / body_height(F.col("label")))).alias("log_scale"))
-    said = samples.groupBy("seq_id").agg(F.max("latent_unit").alias("unit_text"), F.max("note").alias("note"))
+    heights = marks.groupBy("seq_id").agg(F.median(F.when(F.col("z") > 0, F.log(F.col("z") / body_height(F.col("label"))))).alias("log_scale"))
+    said = rows.groupBy("seq_id").agg(
+        F.max("latent_unit").alias("unit_text"), F.max("note").alias("note"), F.bool_or(F.coalesce(F.size("markers_latent") > 0, F.lit(False))).alias("recorded")
+    )
     declared = F.coalesce(spelled_unit(F.col("unit_text")), noted_unit(F.col("note"), r"latent|lay-?out"))
-    return heights.join(said, "seq_id", "full").select("seq_id", true_unit(F.col("log_scale"), declared).alias("unit"))
+    return true_units(heights.join(said, "seq_id").withColumn("declared", declared)).join(said.select("seq_id", "recorded"), "seq_id")
 
 
 def record_units(points: DataFrame, sessions: DataFrame, poses: DataFrame, samples: DataFrame) -> DataFrame:
     """`field_name, seq_id, unit` of every record with a quantity."""
-    has_trans = poses.where("trans is not null").select("seq_id").distinct()
-    has_latent = samples.where(F.size("markers_latent") > 0).select("seq_id").distinct()
-    parts = {
-        "markers": marker_units(points, sessions).join(points.select("seq_id").distinct(), "seq_id", "left_semi"),
-        "trans": translation_units(poses, samples).join(has_trans, "seq_id", "left_semi"),
-        "markers_latent": latent_units(samples).join(has_latent, "seq_id", "left_semi"),
-    }
+    parts = {"markers": marker_units(points, sessions), "trans": translation_units(poses, samples), "markers_latent": latent_units(samples)}
     rows = None
     for name, part in parts.items():
-        part = part.select(F.lit(name).alias("field_name"), "seq_id", "unit")
+        part = part.where("recorded").select(F.lit(name).alias("field_name"), "seq_id", "unit")
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
@@ -204,12 +220,20 @@ def foreign_units(points: DataFrame, sessions: DataFrame, poses: DataFrame, samp
 
 
 def convert(df: DataFrame, units: DataFrame, columns: list[str]) -> DataFrame:
-    """`df` with its `columns` (numbers, arrays or arrays of arrays of them) in metres.
+    """`df` with its `columns` (numbers, arrays or arrays of arrays of them) in metres; `units` has one row `seq_id, unit` per record.
 
-    `units` has one row per seq_id; each meets its conversion in the small conversion table.
+    The conversions of the records are broadcast if they are at most MAX_BROADCAST; else rows meet them by record and salt, so
+    that a record with a large part of the rows is many tasks' work.
     """
-    table = units.join(F.broadcast(conversion_table(df.sparkSession)), "unit", "left").select("seq_id", "factor", "shift")
-    factor, shift = F.coalesce("factor", F.lit(1.0)), F.coalesce("shift", F.lit(0.0))
+    if "factor" not in units.columns:
+        units = units.join(F.broadcast(conversion_table(df.sparkSession)), "unit", "left")
+    table = checkpointed(units.select("seq_id", F.col("factor").alias("_factor"), F.col("shift").alias("_shift")).where("seq_id is not null and _factor is not null"))
+    if table.count() <= MAX_BROADCAST:
+        met = df.join(F.broadcast(table), "seq_id", "left")
+    else:
+        salts = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns if c != "seq_id"]), F.lit(SALTS)).cast("int")).join(salts, ["seq_id", "_salt"], "left").drop("_salt")
+    factor, shift = F.coalesce("_factor", F.lit(1.0)), F.coalesce("_shift", F.lit(0.0))
 
     def one(kind: str, value: Column) -> Column:
         if kind.startswith("array<"):
@@ -218,13 +242,11 @@ def convert(df: DataFrame, units: DataFrame, columns: list[str]) -> DataFrame:
 
     kinds = dict(df.dtypes)
     changed = {c: one(kinds[c], F.col(c)) for c in columns}
-    return df.join(table, "seq_id", "left").withColumns(changed).drop("factor", "shift")
+    return met.withColumns(changed).drop("_factor", "_shift")
 
 
 def points_in_metres(points: DataFrame, sessions: DataFrame) -> DataFrame:
     """Every reading once, in metres; missing readings are null on all axes."""
     ok = available("x", "y", "z")
-    once = points.groupBy("seq_id", "frame", "marker_idx").agg(
-        F.min_by(F.struct("label", *[F.when(ok, F.col(c)).alias(c) for c in "xyz"]), "ingested_at").alias("r")
-    ).select("seq_id", "frame", "marker_idx", "r.label", "r.x", "r.y", "r.z")
+    once = first_by(points, ["seq_id", "frame", "marker_idx"]).select("seq_id", "frame", "marker_idx", "label", *[F.when(ok, F.col(c)).alias(c) for c in "xyz"])
     return convert(once, marker_units(points, sessions), ["x", "y", "z"])

@@ -33,21 +33,23 @@ def ship(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and cut its lineage.
 
-    The folder comes from `spark.checkpoint.dir`; only where that is unset (tests, a local
-    session) a temporary folder is used.
+    The folder comes from `spark.checkpoint.dir`; only a local session without one gets a temporary folder, for on a
+    cluster that would be another folder on every machine.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(
-            tempfile.mkdtemp(prefix="spark-"), "checkpoints"
-        )
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = "file://" + os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
 def first_by(df: DataFrame, keys: list[str], order: str = "ingested_at") -> DataFrame:
     """One row per key: the earliest delivered. Repeated deliveries hold the same content, so no
-    window is needed; the aggregation combines map-side."""
-    rest = [c for c in df.columns if c not in keys]
-    picked = F.min_by(F.struct(*rest), F.coalesce(F.col(order), F.lit("9999-12-31").cast("timestamp_ntz")))
-    return df.groupBy(*keys).agg(picked.alias("_r")).select(*keys, *[F.col(f"_r.`{c}`").alias(c) for c in rest])
+    window is needed; the aggregation combines map-side. Each column is folded by itself, so that Spark reads and folds only the
+    columns that are used later."""
+    first = F.coalesce(F.col(order), F.lit("9999-12-31").cast("timestamp_ntz"))
+    return df.groupBy(*keys).agg(*[F.min_by(F.col(f"`{c}`"), first).alias(c) for c in df.columns if c not in keys])

@@ -28,7 +28,8 @@ def as_rows(out, names, seq="s"):
 
 
 def found(spark, rows, **kw):
-    return {(r.frame, r.marker_idx): r.state for r in spikes.flag_readings(spark.createDataFrame(rows, POINTS), **kw).collect()}
+    sessions = spark.createDataFrame([("s", "R", 120.0, None, None)], SESSIONS)
+    return {(r.frame, r.marker_idx): r.state for r in spikes.flag_readings(spark.createDataFrame(rows, POINTS), sessions, **kw).collect()}
 
 
 def test_clean_take_has_no_flags(spark):
@@ -73,13 +74,19 @@ def test_five_repeats_are_no_case(spark):
 def test_forward_backward_agrees_with_enumeration():
     rng = np.random.default_rng(3)
     e = rng.normal(size=(4, 1, 4))
-    got = spikes.posterior(e)[:, 0]
-    total = np.zeros((4, 4))
+    got, moved = spikes.posterior(e)
+    got = got[:, 0]
+    total, steps = np.zeros((4, 4)), np.zeros((4, 4))
     for path in np.ndindex(4, 4, 4, 4):
         p = np.exp(spikes.START[path[0]] + sum(e[k, 0, s] for k, s in enumerate(path))) * np.prod([spikes.STEP[a, b] for a, b in zip(path, path[1:])])
         for k, s in enumerate(path):
             total[k, s] += p
+            if k:
+                steps[path[k - 1], s] += p
     assert np.allclose(got, total / total.sum(axis=1, keepdims=True))
+    assert np.allclose(moved, steps / total[0].sum())
+    learnt = spikes.learnt_steps(moved)
+    assert np.allclose(learnt.sum(axis=1), 1)
 
 
 def test_impossible_rates(spark):
