@@ -36,16 +36,49 @@ def moment_columns(value: str) -> list[Column]:
     ]
 
 
-def summarize(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+#: Values of one key that a task may hold at once for its percentiles.
+FEW_VALUES = 200_000
+
+
+def _split_by_size(clean: DataFrame, keys: list[str], few: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows of keys with up to `few` values, and those of the others; None where there are none."""
+    many = clean.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > few).select(*keys)
+    if many.isEmpty():
+        return clean, None
+    many = checkpointed(many)
+    return met_on(clean, many, keys, "left_anti"), met_on(clean, many, keys, "left_semi")
+
+
+def _held_percentiles(value: str, cuts: dict[str, float]) -> list[Column]:
+    held = F.percentile(value, [float(q) for q in cuts.values()])
+    return [F.get(held, F.lit(i)).alias(c) for i, c in enumerate(cuts)]
+
+
+def exact_percentiles(clean: DataFrame, keys: list[str], value: str, cuts: dict[str, float], few: int = FEW_VALUES) -> DataFrame:
+    """`keys` and the exact, linearly interpolated percentiles of each key's values, of which none is null or NaN.
+
+    Keys of few values are each one aggregation buffer; the values of others are never gathered. `clean` is read
+    more than once, so it is best written first.
+    """
+    small, large = _split_by_size(clean, keys, few)
+    rows = small.groupBy(*keys).agg(*_held_percentiles(value, cuts))
+    return rows if large is None else rows.unionByName(spread_percentiles(large, keys, value, cuts))
+
+
+def summarize(df: DataFrame, keys: list[str], value: str, few: int = FEW_VALUES) -> DataFrame:
     """One row per key of count, mean, sample std, min, max and the linearly interpolated p50, p90 and p99.
 
     Keys without a value give no row; nulls and NaN do not count. The keys and values are written once, since
-    they are read for the moments and, exactly but never gathered, for the percentiles.
+    they are read for the sizes of keys and for the figures.
     """
     clean = checkpointed(df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias(value)))
-    cuts = spread_percentiles(clean, keys, value, CUTS)
-    moments = clean.groupBy(*keys).agg(*moment_columns(value))
-    return met_on(moments, cuts.select(*keys, *[rounded(F.col(c)).alias(c) for c in CUTS]), keys)
+    small, large = _split_by_size(clean, keys, few)
+    figures = [*keys, "n", "mean", "std", "min", "max", *[rounded(F.col(c)).alias(c) for c in CUTS]]
+    rows = small.groupBy(*keys).agg(*moment_columns(value), *_held_percentiles(value, CUTS)).select(*figures)
+    if large is None:
+        return rows
+    cuts = spread_percentiles(large, keys, value, CUTS)
+    return rows.unionByName(met_on(large.groupBy(*keys).agg(*moment_columns(value)), cuts, keys).select(*figures))
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -73,7 +106,13 @@ def spread_percentiles(df: DataFrame, keys: list[str], value: str, cuts: dict[st
     clean = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     bounds = clean.groupBy(*keys).agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 4 * buckets).alias("_b"), F.count("*").alias("_n"))
     met = met_on(clean, bounds, keys)
-    place = 2 * F.size(F.filter("_b", lambda b: b < F.col("_v"))) + F.array_contains("_b", F.col("_v")).cast("int")
+    # How many bounds lie below a value, by halving steps.
+    halves = [1 << k for k in reversed(range(buckets.bit_length()))]
+    below = F.aggregate(
+        F.array(*[F.lit(h) for h in halves]), F.lit(0), lambda at, h: F.when(F.get("_b", at + h - 1) < F.col("_v"), at + h).otherwise(at)
+    )
+    place = 2 * F.col("_below") + F.coalesce(F.get("_b", F.col("_below")) == F.col("_v"), F.lit(False)).cast("int")
+    met = met.withColumn("_below", below)
     tagged = met.select(*keys, "_v", "_n", place.alias("_k"))
     counts = tagged.groupBy(*keys, "_k").agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max("_n").alias("_n"))
     before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -24,6 +24,13 @@ def test_summary_of_one_sample_and_none(spark):
     assert rows(summarize(df, ["k"], "v"), "k", "std") == [("a", 0.0)]
 
 
+def test_percentiles_are_the_same_for_small_and_large_keys(spark):
+    values = [(k % 3 and "a" or None, float((k * 7919) % 1013) / 7, k) for k in range(3_000)] + [("one", 5.0, 0), ("one", None, 1), ("one", float("nan"), 2)]
+    df = spark.createDataFrame(values, "k string, v double, n int")
+    found = [sorted(map(repr, summarize(df, ["k"], "v", few).collect())) for few in (10, 1_500, 100_000)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3
+
+
 def frames(spark, xs, seq="s"):
     return spark.createDataFrame([(seq, i, i, [float(x), 0.0, 0.0]) for i, x in enumerate(xs)], "seq_id string, frame int, row int, vertices array<double>")
 
@@ -89,18 +96,49 @@ def test_bad_settings_are_reported(spark):
     ],
 )
 def test_stitching_takes_the_least_jump(spark, before, after, keep):
-    parts = [("s", n, r, 0, 2, float(x), float(p)) for n, side in enumerate((before, after)) for r, (x, p) in enumerate(side)]
-    df = spark.createDataFrame(parts, "seq_id string, chunk_no int, row int, row_start int, overlap int, x double, pose double")
-    assert rows(chunks.select_keep_starts(chunks.stitch_candidates(df, "x", "pose")), "keep_start") == [(keep,)]
+    parts = [("s", n, r, 0, 2, [float(x)], [float(p)]) for n, side in enumerate((before, after)) for r, (x, p) in enumerate(side)]
+    df = spark.createDataFrame(parts, "seq_id string, chunk_no int, row int, row_start int, overlap int, x array<double>, pose array<double>")
+    plan = spark.createDataFrame([("s", 0, 2), ("s", 1, 2)], "seq_id string, chunk_no int, overlap int")
+    chosen = chunks.select_keep_starts(plan, chunks.stitch_candidates(df, "x", "pose"))
+    assert rows(chosen, "keep_start") == [(keep,)]
+    told = spark.createDataFrame([("s", 1, 3 - keep)], "seq_id string, chunk_no int, value int")
+    assert rows(chunks.overridden_keep_starts(chosen, told), "keep_start", "selected_keep_start", "source") == [(3 - keep, keep, "override")]
+    assert rows(chunks.overridden_keep_starts(chosen, told.withColumn("value", F.lit(3))), "keep_start", "source") == [(keep, "refused")]
+
+
+def test_guards_exclude_what_jumps_further_than_the_default(spark):
+    shape = "seq_id string, chunk_no int, overlap int, keep int, transl_jump double, pose_jump double, mesh_jump double"
+    found = spark.createDataFrame([("s", 1, 3, 1, 0.0, 9.0, 0.0), ("s", 1, 3, 2, 0.5, 1.0, 5.0), ("s", 1, 3, 3, 2.0, 3.0, 1.0), ("s", 2, 2, 1, 0.0, 0.0, 0.0)], shape)
+    plan = spark.createDataFrame([("s", 0, 3), ("s", 1, 3), ("s", 2, 2), ("s", 3, 0)], "seq_id string, chunk_no int, overlap int")
+    keeps = lambda *guards: rows(chunks.select_keep_starts(plan, found, guards), "chunk_no", "keep_start")
+    assert keeps("pose", "mesh") == [(1, 3), (2, 2), (3, 0)]
+    assert keeps("pose") == [(1, 2), (2, 2), (3, 0)]
+    assert keeps() == [(1, 1), (2, 1), (3, 0)]
 
 
 def test_references_go_on_from_the_chunk_before(spark):
-    prev = [("s", 0, r, 202.0 + r) for r in range(2)]
-    cur = [("s", 1, r, 22.0 + r) for r in range(4)]
-    df = spark.createDataFrame(prev + cur, "seq_id string, chunk_no int, row int, x double")
-    assert rows(chunks.velocity_references(df, "x"), "row", "reference") == [(1, 203.0), (2, 204.0), (3, 205.0)]
+    prev = [("s", 0, r, 0, [202.0 + r]) for r in range(2)]
+    cur = [("s", 1, r, 0, [22.0 + r]) for r in range(4)]
+    df = spark.createDataFrame(prev + cur, "seq_id string, chunk_no int, row int, row_start int, x array<double>")
+    made = lambda kind, w=2: [(k, v[0]) for k, v in rows(chunks.velocity_references(df, "x", "x", kind, w), "k", "reference")]
+    assert made("window") == [(0, 203.0), (1, 204.0), (2, 205.0)]
+    assert made("anchor") == [(0, 203.0)]
+    assert made("full") == [(0, 202.0), (1, 203.0), (2, 204.0), (3, 205.0)]
+    assert made("zero_seam") == [(0, 203.0), (1, 203.0), (2, 204.0)]
+    terms = lambda mode: [t for (t,) in rows(chunks.chunk_velocity_terms(df, "x", "x", mode, 2.0, 2).where("chunk_no = 1").orderBy("row"), "term")]
+    assert terms("plain") == [0.0, 4.0, 4.0, 4.0]
+    assert sorted(terms("anchor")) == sorted([0.0, 4.0, 4 * 179.0**2, 4.0])
+    assert sorted(terms("window")) == sorted([0.0, 4.0, 4 * 180.0**2, 0.0])
+    assert sorted(terms("full")) == sorted([4 * 180.0**2, 0.0, 0.0, 0.0])
+    edge = rows(chunks.boundary_terms(df, "x", "x", 1.0, 1), "row", "term")
+    assert edge == [(2, 179.0**2), (3, 178.0**2)]
+    assert rows(chunks.boundary_terms(df, "x", "x", 1.0, 2), "row", "term") == []
+    swapped = chunks.replaced_window(df.withColumn("y", F.array(F.lit(0.0))), "x", "y", 1, 2).where("chunk_no = 1")
+    assert [v[0] for _, v in rows(swapped, "row", "x")] == [22.0, 0.0, 0.0, 25.0]
+    weights = df.where("chunk_no = 1").withColumn("w", F.lit(2.0))
+    assert [w for _, w in rows(chunks.scaled_weights(weights, "w", F.col("row"), -1, 2, 0.5, F.lit(True)), "row", "w")] == [1.0, 1.0, 2.0, 2.0]
     spliced = chunks.spliced(df, "x").where("chunk_no = 1")
-    assert rows(spliced, "row", "value") == [(0, 202.0), (1, 203.0), (2, 204.0), (3, 205.0)]
+    assert [(r, v[0]) for r, v in rows(spliced, "row", "value")] == [(0, 202.0), (1, 203.0), (2, 204.0), (3, 205.0)]
 
 
 POINTS = "seq_id string, frame int, marker_idx int, label string, x double, y double, z double"
