@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from markerflow.functions.points import available
 
 NO_LABEL = "nan"
+MAX_ORDER = 10_000
 
 
 def clean_label(label: Column) -> Column:
@@ -41,6 +42,21 @@ def kept_labels(df: DataFrame, only: list[str] | None = None, exclude: list[str]
     return kept.where(~F.col("label").isin(exclude)) if exclude else kept
 
 
+def renamed_labels(rows: DataFrame, aliases: DataFrame) -> DataFrame:
+    """`rows` with `label` replaced by the `name` of its `alias`, where it is one; of an alias of several names the first."""
+    named = aliases.where("alias is not null").groupBy("alias").agg(F.min("name").alias("_name"))
+    return rows.join(named, F.col("label") == F.col("alias"), "left").withColumn("label", F.coalesce("_name", "label")).drop("alias", "_name")
+
+
+def of_subjects(rows: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of the subjects asked for (`seq_id, subject`), of takes that have all of them, and the subjects that a take doesn't have; the rows of such
+    a take are left out."""
+    told = rows.withColumn("subject", subject_of(F.col("label")))
+    missing = asked.distinct().join(told.select("seq_id", "subject").distinct(), ["seq_id", "subject"], "left_anti")
+    kept = told.join(asked.distinct(), ["seq_id", "subject"], "left_semi").join(missing.select("seq_id").distinct(), "seq_id", "left_anti")
+    return kept, missing
+
+
 def with_seen(points: DataFrame) -> DataFrame:
     return points.withColumn("seen", available("x", "y", "z"))
 
@@ -95,20 +111,24 @@ def compressed_slots(points: DataFrame) -> DataFrame:
     return with_seen(points).where("seen").select("seq_id", "frame", (F.row_number().over(order) - 1).alias("slot"), "marker_idx")
 
 
-def in_canonical_order(points: DataFrame, order: DataFrame) -> DataFrame:
+def in_canonical_order(points: DataFrame, order: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`seq_id, frame, ord, label, x, y, z`: every label of `order` in every frame that holds at least one of them, 0 where missing; of
-    a label given twice the marker of the lowest index.
+    a label given twice the marker of the lowest index. And `seq_id, frame` of the frames that hold none, which are in no row.
 
-    Frames carry arrays of what they hold, and the canonical list, whose size is checked by its reader, is met inside each
+    Frames carry arrays of what they hold, and the canonical list, whose size is checked, is met inside each
     frame: no pair of frames and labels is ever shuffled.
     """
-    held = with_seen(points).where("seen").join(F.broadcast(order.select("label", "ord")), "label")
-    once = held.groupBy("seq_id", "frame", "label").agg(F.min_by(F.struct("x", "y", "z"), "marker_idx").alias("p"))
-    frames = once.groupBy("seq_id", "frame").agg(F.map_from_entries(F.array_agg(F.struct("label", "p"))).alias("m"))
+    if order.count() > MAX_ORDER:
+        raise ValueError(f"a canonical order holds at most {MAX_ORDER} labels")
     listed = order.agg(F.array_sort(F.collect_list(F.struct("ord", "label"))).alias("all"))
-    rows = frames.join(F.broadcast(listed)).select("seq_id", "frame", "m", F.explode("all").alias("o"))
+    seen = with_seen(points).join(F.broadcast(order.select("label", F.lit(True).alias("_listed"))), "label", "left")
+    held = F.when(F.col("seen") & F.col("_listed"), F.struct("x", "y", "z"))
+    once = seen.groupBy("seq_id", "frame", "label").agg(F.min_by(held, F.when(held.isNotNull(), F.col("marker_idx"))).alias("p"))
+    frames = once.groupBy("seq_id", "frame").agg(F.map_from_entries(F.array_agg(F.when(F.col("p").isNotNull(), F.struct("label", "p")))).alias("m"))
+    rows = frames.where(F.size("m") > 0).join(F.broadcast(listed)).select("seq_id", "frame", "m", F.explode("all").alias("o"))
     at = F.element_at("m", F.col("o.label"))
-    return rows.select("seq_id", "frame", "o.ord", "o.label", *[F.coalesce(at.getField(c), F.lit(0.0)).alias(c) for c in "xyz"])
+    aligned = rows.select("seq_id", "frame", "o.ord", "o.label", *[F.coalesce(at.getField(c), F.lit(0.0)).alias(c) for c in "xyz"])
+    return aligned, frames.where(F.size("m") == 0).select("seq_id", "frame")
 
 
 def exact_matches(left: DataFrame, right: DataFrame, atol: float = 1e-8) -> DataFrame:

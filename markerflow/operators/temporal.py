@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from markerflow.operators.ranges import along, follows
 from markerflow.operators.ranges import top_k as first_k
 
-#: Parts of a pose vector by its size: (first, length), counted from 0.
+#: Parts of a pose vector by its size: (first, length), counted from 0. Fixed by the layout of poses.
 POSE_REGIONS = {
-    165: {"body": (3, 63), "left_hand": (75, 45), "right_hand": (120, 45)},
-    156: {"body": (3, 63), "left_hand": (66, 45), "right_hand": (111, 45)},
+    165: {"body": (3, 63), "left_hand": (75, 45), "right_hand": (120, 45), "both_hands": (75, 90)},
+    156: {"body": (3, 63), "left_hand": (66, 45), "right_hand": (111, 45), "both_hands": (66, 90)},
     66: {"body": (3, 63)},
 }
 
@@ -77,6 +77,29 @@ def part_deltas(df: DataFrame, parts: dict[str, Column]) -> DataFrame:
     return along(named, steps).select("seq_id", "frame", F.explode(stacked).alias("region", "delta"))
 
 
+def part_motion(df: DataFrame, parts: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """`seq_id, row, region, metric, candidate, reference`: steps (`delta`) and bends (`accel`) of parts of two vectors; no row where a part or the frames
+    before are missing, or the two differ in length."""
+    named = df.withColumns({f"_{s}{k}": part for k, sides in parts.items() for s, part in zip("cr", sides)})
+
+    def motion(w: WindowSpec) -> dict[str, Column]:
+        out = {}
+        for k in parts:
+            for s in "cr":
+                now, one, two = F.col(f"_{s}{k}"), F.lag(f"_{s}{k}").over(w), F.lag(f"_{s}{k}", 2).over(w)
+                out[f"_{s}delta{k}"] = F.when(now.isNotNull() & one.isNotNull(), l2_step(now, one))
+                out[f"_{s}accel{k}"] = F.when(now.isNotNull() & one.isNotNull() & two.isNotNull(), l2_bend(now, one, two))
+        return out
+
+    rows = [
+        F.struct(F.lit(k).alias("region"), F.lit(m).alias("metric"), F.col(f"_c{m}{k}").alias("candidate"), F.col(f"_r{m}{k}").alias("reference"))
+        for k in parts
+        for m in ("delta", "accel")
+    ]
+    moved = along(named, motion).select("seq_id", "row", F.explode(F.array(*rows)).alias("m")).select("seq_id", "row", "m.*")
+    return moved.where("candidate is not null and reference is not null")
+
+
 def region(vec: str, name: str) -> Column:
     """The part of a pose vector, null if a vector of its size has none."""
     out = F.lit(None).cast("array<double>")
@@ -98,6 +121,18 @@ def smooth_once(df: DataFrame, value: str, name: str, alpha: float = 0.5) -> Dat
     return along(df, smoothed)
 
 
+def smoothed_vectors(df: DataFrame, vec: str, name: str, alpha: float = 0.5) -> DataFrame:
+    """`smooth_once` of a vector column, number by number."""
+
+    def smoothed(w: WindowSpec) -> dict[str, Column]:
+        before = F.coalesce(F.lag(vec).over(w), F.col(vec))
+        after = F.coalesce(F.lead(vec).over(w), F.lag(vec).over(w), F.col(vec))
+        middle = F.zip_with(before, after, lambda a, b: (a + b) / 2)
+        return {name: F.zip_with(F.col(vec), middle, lambda x, m: x + alpha * (m - x))}
+
+    return along(df, smoothed, halo=1)
+
+
 def extrapolated(df: DataFrame, value: str, name: str, alpha: float) -> DataFrame:
     """What the two frames before predict: x_(t-1) + alpha (x_(t-1) - x_(t-2)); null where there aren't two."""
 
@@ -113,16 +148,21 @@ def tumbling(frame: Column, size: int) -> Column:
     return F.floor(frame / size)
 
 
-def window_hotspots(df: DataFrame, size: int, top_k: int) -> DataFrame:
-    """`seq_id, side, rank, window, candidate_mean, reference_mean, delta` from per-frame `candidate` and `reference`:
-    the windows whose mean grew most (side `up`) and fell most (side `down`); ties go to the earlier window."""
-    windows = df.groupBy("seq_id", tumbling(F.col("frame"), size).alias("window")).agg(
-        F.avg("candidate").alias("candidate_mean"), F.avg("reference").alias("reference_mean")
+def window_hotspots(
+    df: DataFrame, size: int, top_k: int, keys: list[str] | None = None, positive: float = 0.0, negative: float = 0.0
+) -> DataFrame:
+    """`keys, side, rank, window, n, candidate_mean, reference_mean, delta` from per-frame `candidate` and `reference`:
+    the windows whose mean grew by `positive` or more (side `up`) and fell by `negative` or more (side `down`) most; ties go to the earlier
+    window. Frames where a side is missing do not count. `keys` are those of a sequence."""
+    keys = keys or ["seq_id"]
+    both = df.where(F.col("candidate").isNotNull() & F.col("reference").isNotNull())
+    windows = both.groupBy(*keys, tumbling(F.col("frame"), size).alias("window")).agg(
+        F.count("*").alias("n"), F.avg("candidate").alias("candidate_mean"), F.avg("reference").alias("reference_mean")
     )
-    windows = windows.withColumn("delta", F.round(F.col("candidate_mean") - F.col("reference_mean"), 9)).where("delta is not null")
+    windows = windows.withColumn("delta", F.round(F.col("candidate_mean") - F.col("reference_mean"), 9))
     sides = []
-    for side, order, keep in (("up", F.desc("delta"), F.col("delta") > 0), ("down", F.asc("delta"), F.col("delta") < 0)):
-        sides.append(first_k(windows.where(keep), ["seq_id"], [order, "window"], top_k, ["window"], "rank").withColumn("side", F.lit(side)))
+    for side, order, keep in (("up", F.desc("delta"), F.col("delta") >= positive), ("down", F.asc("delta"), F.col("delta") <= -negative)):
+        sides.append(first_k(windows.where(keep), keys, [order, "window"], top_k, ["window"], "rank").withColumn("side", F.lit(side)))
     return sides[0].unionByName(sides[1])
 
 

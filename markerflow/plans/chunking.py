@@ -47,18 +47,6 @@ def seam_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq_id", "chunk_no", "seam_row", "n", *[rounded(F.col(c)).alias(c) for c in ("mean", "max", "first", "last")], "peak_row")
 
 
-def seam_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seam steps of the first vertex (candidate) beside those of the last (reference), at the same seams."""
-    frames, plan = _plan(spark, sf_dir)
-    sides = {"candidate": F.slice("vertices", 1, 3), "reference": F.slice("vertices", -3, 3)}
-    found = {
-        side: chunks.seam_diagnostics(frames.withColumn("part", part), plan, "part").select("seq_id", "chunk_no", "seam_row", F.col("seam_delta").alias(side))
-        for side, part in sides.items()
-    }
-    both = found["candidate"].join(found["reference"], ["seq_id", "chunk_no", "seam_row"], "full")
-    return both.select("seq_id", "chunk_no", "seam_row", *[rounded(F.col(c)).alias(c) for c in sides], rounded(F.col("candidate") - F.col("reference")).alias("delta"))
-
-
 def stitched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames, plan = _plan(spark, sf_dir)
     owned = chunks.owned_rows(plan)
@@ -182,7 +170,6 @@ QUERIES = {
     "seam_diagnostics": seam_diagnostics,
     "seam_jump_summary": seam_jump_summary,
     "seam_windows": seam_windows,
-    "seam_compare": seam_compare,
     "stitched_rows": stitched_rows,
     "stitch_select": stitch_select,
     "chunk_summary": chunk_summary,
@@ -260,9 +247,6 @@ ORACLE_SQL = {
     "seam_windows": f"""{PLAN}, {ALL} SELECT seq_id, chunk_no, seam_row, count(*) AS n, round(avg(seam_delta), 6) AS mean, round(max(seam_delta), 6) AS max,
         round(arg_min(seam_delta, row), 6) AS first, round(arg_max(seam_delta, row), 6) AS last, arg_min(row, (-round(seam_delta, 9), row)) AS peak_row
         FROM seams JOIN m USING (seq_id) WHERE row BETWEEN seam_row AND seam_row + 9 AND seam_delta IS NOT NULL GROUP BY ALL""",
-    "seam_compare": f"""{PLAN}, l AS (SELECT seq_id, row, vertices AS v, lag(vertices) OVER (PARTITION BY seq_id ORDER BY frame) AS w FROM mesh)
-        SELECT seq_id, chunk_no, seam_row, round({L2.format(a="v[1:3]", b="w[1:3]")}, 6) AS candidate, round({L2.format(a="v[34:36]", b="w[34:36]")}, 6) AS reference,
-        round({L2.format(a="v[1:3]", b="w[1:3]")} - {L2.format(a="v[34:36]", b="w[34:36]")}, 6) AS delta FROM seams JOIN l USING (seq_id) WHERE row = seam_row""",
     "stitched_rows": f"""{PLAN}, o AS (SELECT seq_id, chunk_no, row_start + keep_start AS a, coalesce(lead(row_start + keep_start) OVER (PARTITION BY seq_id ORDER BY chunk_no), row_end) AS b FROM plan)
         SELECT seq_id, chunk_no, count(*) AS n_rows, min(frame) AS first_frame, max(frame) AS last_frame FROM o JOIN mesh USING (seq_id) WHERE row >= a AND row < b GROUP BY ALL""",
     "stitch_select": f"""{PLAN}, {DRIFTED}, {STITCH} SELECT seq_id, chunk_no, keep_start, round(t, 6) AS transl_jump, round(p, 6) AS pose_jump, round(m, 6) AS mesh_jump FROM chosen""",

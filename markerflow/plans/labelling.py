@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markerflow.functions.stats import rounded
-from markerflow.operators import labels, views
+from markerflow.functions.stats import exact_percentiles, met_on, rounded
+from markerflow.operators import align, labels, views
 from markerflow.operators.views import with_views
-from markerflow.session import table
+from markerflow.session import checkpointed, table
 
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,12 +61,18 @@ def percent_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def superset_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = table(spark, sf_dir, "marker_layout").where("layout_id = 'superset'").select("label", "ord")
-    rows = labels.in_canonical_order(views.points(spark, sf_dir), order)
+    rows, _ = labels.in_canonical_order(views.points(spark, sf_dir), order)
     return rows.groupBy("seq_id", "ord", "label").agg(
         F.count("*").alias("n_frames"), F.count_if((F.col("x") != 0) | (F.col("y") != 0) | (F.col("z") != 0)).alias("n_held"), rounded(F.max("z")).alias("z_max")
     )
 
 
+def unmatched_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames in which no canonical label is seen."""
+    order = table(spark, sf_dir, "marker_layout").where("layout_id = 'superset' and label like 'L%'").select("label", "ord")
+    return labels.in_canonical_order(views.points(spark, sf_dir), order)[1]
+
+
 def _cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.with_seen(views.points(spark, sf_dir)).where("seen").withColumnRenamed("marker_idx", "idx")
 
@@ -110,24 +116,19 @@ def _take_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.join(scores, "seq_id")
 
 
-def _roll() -> list:
-    return [
-        F.count("*").alias("n_takes"),
-        F.sum("n").alias("n_readings"),
-        rounded(F.avg("score")).alias("mean"),
-        rounded(F.stddev_pop("score")).alias("std"),
-        rounded(F.median("score")).alias("median"),
-    ]
+def _rolled(rows: DataFrame) -> DataFrame:
+    """Figures of groups of takes; a group may be most of them."""
+    rows = checkpointed(rows.select("group_name", "n", "score"))
+    sums = rows.groupBy("group_name").agg(
+        F.count("*").alias("n_takes"), F.sum("n").alias("n_readings"), rounded(F.avg("score")).alias("mean"), rounded(F.stddev_pop("score")).alias("std")
+    )
+    middle = exact_percentiles(rows, ["group_name"], "score", {"median": 0.5})
+    return met_on(sums, middle.withColumn("median", rounded(F.col("median"))), ["group_name"])
 
 
 def rollup_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of takes whose dataset/subject begins with a subject's name: s001 also takes s0011."""
-    takes = _take_scores(spark, sf_dir)
-    names = takes.select(F.col("subject").alias("group_name")).distinct()
-    # The name's first four letters are an equality that every prefix match fulfils.
-    keyed = takes.withColumn("k", F.substring("subject", 1, 4))
-    met = keyed.join(names.withColumn("k", F.substring("group_name", 1, 4)), "k").where(F.startswith(F.col("subject"), F.col("group_name")))
-    return met.groupBy("group_name").agg(*_roll())
+    """Groups of takes whose subject begins with a subject's name: s001 also takes s0011."""
+    return _rolled(align.prefix_groups(_take_scores(spark, sf_dir), "subject"))
 
 
 #: Motions whose takes are gathered by a part of their name; the groups may overlap.
@@ -137,13 +138,31 @@ MOTIONS = ["walk", "hop", "turn", "take0", "take01", "carry"]
 def rollup_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.createDataFrame([(m,) for m in MOTIONS], "group_name string")
     met = _take_scores(spark, sf_dir).join(F.broadcast(names), F.contains(F.col("motion_id"), F.col("group_name")))
-    return met.groupBy("group_name").agg(*_roll())
+    return _rolled(met)
 
 
 def rollup_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     takes = _take_scores(spark, sf_dir)
-    by_set = takes.groupBy(F.col("dataset").alias("group_name")).agg(*_roll())
-    return by_set.unionByName(takes.groupBy(F.lit("all").alias("group_name")).agg(*_roll()))
+    return _rolled(takes.withColumn("group_name", F.explode(F.array("dataset", F.lit("all")))))
+
+
+def named_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned labels with their other names replaced, after a table of them: the descriptions of the canonical list."""
+    cleaned = _typed(spark, sf_dir).withColumn("label", labels.clean_label(F.col("label")))
+    superset = table(spark, sf_dir, "marker_layout").where("layout_id = 'superset' and description is not null")
+    aliases = superset.select(F.regexp_replace("description", " ", "").alias("alias"), F.col("label").alias("name"))
+    return labels.renamed_labels(cleaned, aliases).select("seq_id", "marker_idx", "label")
+
+
+def subject_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the first subject of each take, and whether each take has what was asked for."""
+    typed = _typed(spark, sf_dir)
+    asked = labels.subject_ids(typed).where("subject_no = 0").select("seq_id", "subject").unionByName(
+        views.sessions(spark, sf_dir).where("seq_id like '%5'").select("seq_id", F.lit("nobody").alias("subject"))
+    )
+    kept, missing = labels.of_subjects(typed, asked)
+    n = kept.groupBy("seq_id").agg(F.count("*").alias("n"))
+    return n.join(missing.groupBy("seq_id").agg(F.array_join(F.array_sort(F.collect_set("subject")), ",").alias("missing")), "seq_id", "full")
 
 
 QUERIES = {
@@ -151,6 +170,7 @@ QUERIES = {
     for f in (
         label_clean, subject_ids, crowded_takes, availability, occlusion_rate, zero_heavy_tracks, tracklet_mode, label_overflow, compress_points,
         percent_labelled, superset_align, exact_match_join, confusion_matrix, label_metrics, sequence_scores, rollup_subject, rollup_motion, rollup_total,
+        named_labels, subject_points, unmatched_frames,
     )
 }
 
@@ -193,7 +213,13 @@ ORACLE_SQL = {
     "label_metrics": f"WITH {PAIRS}, {SCORES.format(k='', k2='', j='')} SELECT label, support, round(pcs, 6) AS precision, round(rcl, 6) AS recall, round(f1, 6) AS f1 FROM fs",
     "sequence_scores": f"""WITH {PAIRS}, {SCORES.format(k='user_id,', k2='lab.user_id,', j='p.user_id = lab.user_id AND')}, t AS (SELECT user_id, avg((gt = rec)::INT) AS accuracy FROM pairs GROUP BY user_id)
         SELECT user_id, count(*) AS n_labels, round(any_value(accuracy), 6) AS accuracy, round(avg(pcs), 6) AS precision, round(avg(rcl), 6) AS recall, round(avg(f1), 6) AS f1 FROM fs JOIN t USING (user_id) GROUP BY user_id""",
-    "rollup_subject": f"{TAKES}, g AS (SELECT DISTINCT subject AS group_name FROM takes) SELECT group_name, {ROLL} FROM takes JOIN g ON starts_with(subject, group_name) GROUP BY group_name",
+    "unmatched_frames": f"""{with_views('pts', 'ok')}, o AS (SELECT label FROM marker_layout WHERE layout_id = 'superset' AND label LIKE 'L%')
+        SELECT seq_id, frame FROM ok GROUP BY ALL HAVING coalesce(count_if(seen AND label IN (SELECT label FROM o)), 0) = 0""",
+    "named_labels": f"""{TYPED}, c AS (SELECT seq_id, marker_idx, {CLEAN} AS label FROM typed), a AS (SELECT replace(description, ' ', '') AS alias, min(label) AS name FROM marker_layout WHERE layout_id = 'superset' AND description IS NOT NULL GROUP BY ALL)
+        SELECT seq_id, marker_idx, coalesce(name, label) AS label FROM c LEFT JOIN a ON label = alias""",
+    "subject_points": f"""{TYPED}, t AS (SELECT seq_id, marker_idx, {SUBJECT} AS subject FROM typed), f AS (SELECT seq_id, arg_min(subject, marker_idx) AS subject FROM t GROUP BY seq_id), n AS (SELECT seq_id, count(*) AS n FROM t JOIN f USING (seq_id, subject) WHERE NOT seq_id LIKE '%5' GROUP BY seq_id)
+        SELECT seq_id, n, m.missing FROM n FULL JOIN (SELECT DISTINCT seq_id, 'nobody' AS missing FROM ses WHERE seq_id LIKE '%5') m USING (seq_id)""",
+    "rollup_subject": f"{TAKES}, g AS (SELECT DISTINCT subject AS group_name FROM takes WHERE subject <> '') SELECT group_name, {ROLL} FROM takes JOIN g ON starts_with(subject, group_name) GROUP BY group_name",
     "rollup_motion": f"{TAKES}, g(group_name) AS (VALUES {', '.join(f'({chr(39)}{m}{chr(39)})' for m in MOTIONS)}) SELECT group_name, {ROLL} FROM takes JOIN g ON contains(motion_id, group_name) GROUP BY group_name",
     "rollup_total": f"{TAKES} SELECT dataset AS group_name, {ROLL} FROM takes GROUP BY dataset UNION ALL SELECT 'all', {ROLL} FROM takes",
 }

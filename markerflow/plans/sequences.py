@@ -151,9 +151,9 @@ ORACLE_SQL = {
     "smoothed_values": f"""{with_views("ts")}, {SMOOTH} SELECT seq_id, frame, round(smoothed, 6) AS smoothed FROM sm""",
     "window_hotspots": f"""{with_views("ts")}, {SMOOTH}, d AS (SELECT seq_id, frame, CASE WHEN frame > 0 THEN abs(coalesce(smoothed - lag(smoothed) {SEQ}, 0)) END AS c,
             CASE WHEN frame > 0 THEN abs(coalesce(value - lag(value) {SEQ}, 0)) END AS r FROM sm),
-        w AS (SELECT seq_id, frame // 15 AS "window", avg(c) AS candidate_mean, avg(r) AS reference_mean, round(avg(c) - avg(r), 9) AS delta FROM d GROUP BY ALL),
-        u AS (SELECT *, 'up' AS side, row_number() OVER (PARTITION BY seq_id ORDER BY delta DESC, "window") AS rank FROM w WHERE delta > 0
-              UNION ALL SELECT *, 'down', row_number() OVER (PARTITION BY seq_id ORDER BY delta, "window") FROM w WHERE delta < 0)
+        w AS (SELECT seq_id, frame // 15 AS "window", avg(c) AS candidate_mean, avg(r) AS reference_mean, round(avg(c) - avg(r), 9) AS delta FROM d WHERE c IS NOT NULL GROUP BY ALL),
+        u AS (SELECT *, 'up' AS side, row_number() OVER (PARTITION BY seq_id ORDER BY delta DESC, "window") AS rank FROM w WHERE delta >= 0
+              UNION ALL SELECT *, 'down', row_number() OVER (PARTITION BY seq_id ORDER BY delta, "window") FROM w WHERE delta <= 0)
         SELECT seq_id, side, rank, "window", round(candidate_mean, 6) AS candidate_mean, round(reference_mean, 6) AS reference_mean, round(delta, 6) AS delta FROM u WHERE rank <= 5""",
     "predicted_values": f"""{with_views("ts")}, d AS (SELECT seq_id, value - (lag(value) {SEQ} + 0.5 * (lag(value) {SEQ} - lag(value, 2) {SEQ})) AS o FROM ts), e AS (SELECT seq_id, abs(o) AS off FROM d WHERE o IS NOT NULL)
         SELECT seq_id, {G1.format(v="off")} FROM e GROUP BY seq_id""",

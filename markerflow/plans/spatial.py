@@ -93,40 +93,6 @@ def joint_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return below.join(turns, "child").groupBy("root").agg(F.count("*").alias("n_below"), F.round(F.sum("turn"), 3).alias("turn"))
 
 
-def v2v_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances between the vertices of a frame and of the frame before."""
-    rows = along(views.mesh(spark, sf_dir), lambda w: {"before": F.lag("vertices").over(w)}).where("before is not null")
-
-    def step(i: Column) -> Column:
-        squares = [F.pow(F.get("vertices", i * 3 + k).cast("double") - F.get("before", i * 3 + k).cast("double"), F.lit(2.0)) for k in range(3)]
-        return F.sqrt(squares[0] + squares[1] + squares[2])
-
-    off = checkpointed(rows.select("seq_id", F.explode(F.transform(F.sequence(F.lit(0), (F.size("vertices") / 3).cast("int") - 1), step)).alias("d")))
-    moments = off.groupBy("seq_id").agg(rounded(F.avg("d")).alias("mean"), rounded(F.stddev_pop("d")).alias("std"))
-    middle = spread_percentiles(off, ["seq_id"], "d", {"median": 0.5})
-    return moments.join(middle, "seq_id").select("seq_id", "mean", "std", rounded(F.col("median")).alias("median"))
-
-
-def _residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances of seen markers from their latent place, relative to the pelvis height: an equi-join on take and label."""
-    latent = views.samples(spark, sf_dir).select("seq_id", F.explode(F.arrays_zip(F.col("latent_labels").alias("label"), F.col("markers_latent").alias("m"))).alias("l"))
-    latent = latent.select("seq_id", F.col("l.label").alias("label"), F.get("l.m", F.lit(2)).alias("lz"))
-    return _seen(spark, sf_dir).join(latent, ["seq_id", "label"]).withColumn("off", F.abs(F.col("z") - F.col("lz")))
-
-
-def marker_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summarize(_residuals(spark, sf_dir), ["seq_id"], "off")
-
-
-def residual_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames by the mean residual: up to the threshold the fast way is accepted, else the exact one is due."""
-    frames = checkpointed(_residuals(spark, sf_dir).groupBy("seq_id", "frame").agg(F.avg("off").alias("off")))
-    usual = spread_percentiles(frames, ["seq_id"], "off", {"usual": 0.5, "p90": 0.9})
-    route = F.when(F.round(F.col("off") - 1.2 * F.col("usual"), 9) <= 0, "fast").otherwise("exact")
-    rows = frames.join(usual, "seq_id").withColumn("route", route)
-    return rows.groupBy("seq_id").agg(F.count_if(F.col("route") == "fast").alias("n_fast"), F.count_if(F.col("route") == "exact").alias("n_exact"), rounded(F.max("p90")).alias("p90"))
-
-
 #: How many markers the pose weights were set for.
 TRAINING_MARKERS = 46
 
@@ -194,8 +160,8 @@ def metric_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        median_center, centred_spread, rotated_points, facing, camera_targets, knn_vertices, nring_neighbours, vertex_normals, joint_subtrees, v2v_errors,
-        marker_residuals, residual_gate, data_weights, unavailable_latent, common_labels, pose_parts, render_poses, robust_losses, metric_deltas,
+        median_center, centred_spread, rotated_points, facing, camera_targets, knn_vertices, nring_neighbours, vertex_normals, joint_subtrees,
+        data_weights, unavailable_latent, common_labels, pose_parts, render_poses, robust_losses, metric_deltas,
     )
 }
 
@@ -203,7 +169,6 @@ OFFSETS = """off AS (SELECT seq_id, frame, coalesce(quantile_disc(x, 0.5) FILTER
     coalesce(quantile_disc(z, 0.5) FILTER (k AND NOT isnan(z)), 0) AS oz FROM (SELECT *, coalesce(x <> 0, false) OR coalesce(y <> 0, false) OR coalesce(z <> 0, false) AS k FROM {t}) GROUP BY ALL)"""
 CORNERS = "cor AS (SELECT seq_id, frame, i AS vid, list_transform(vertices[3 * i + 1 : 3 * i + 3], lambda v: v::DOUBLE) AS xyz FROM mesh, range(12) r(i))"
 NORM = "sqrt(coalesce(list_sum(list_transform({v}, lambda q: q * q)), 0))"
-RES = """lat AS (SELECT seq_id, unnest(latent_labels) AS label, unnest(markers_latent) AS m FROM smp), res AS (SELECT ok.seq_id, frame, abs(z - m[3]) AS off FROM ok JOIN lat ON ok.seq_id = lat.seq_id AND ok.label = lat.label WHERE seen)"""
 
 ORACLE_SQL = {
     "median_center": f"{with_views('pts')}, {OFFSETS.format(t='pts')} SELECT seq_id, frame, round(ox, 6) AS ox, round(oy, 6) AS oy, round(oz, 6) AS oz FROM off",
@@ -229,11 +194,6 @@ ORACLE_SQL = {
         b AS (SELECT parent AS root, child FROM t WHERE parent >= 0 UNION ALL SELECT b.root, t.child FROM b JOIN t ON t.parent = b.child),
         v AS (SELECT unnest(fullpose[1:66]) AS v, unnest(range(66)) AS i FROM pose WHERE fullpose IS NOT NULL), s AS (SELECT i // 3 AS child, sum(abs(v)) AS turn FROM v GROUP BY ALL)
         SELECT root, count(*) AS n_below, round(sum(turn), 3) AS turn FROM b JOIN s USING (child) GROUP BY root""",
-    "v2v_errors": f"""{with_views('mesh')}, {CORNERS}, l AS (SELECT seq_id, xyz, lag(xyz) OVER (PARTITION BY seq_id, vid ORDER BY frame) AS w FROM cor), d AS (SELECT seq_id, {L2.format(a='xyz', b='w')} AS d FROM l WHERE w IS NOT NULL)
-        SELECT seq_id, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std, round(median(d), 6) AS median FROM d GROUP BY seq_id""",
-    "marker_residuals": f"{with_views('pts', 'ok', 'smp')}, {RES} SELECT seq_id, {G1.format(v='off')} FROM res WHERE off IS NOT NULL GROUP BY seq_id",
-    "residual_gate": f"""{with_views('pts', 'ok', 'smp')}, {RES}, f AS (SELECT seq_id, frame, avg(off) AS off FROM res GROUP BY ALL), u AS (SELECT seq_id, median(off) AS usual FROM f GROUP BY seq_id)
-        SELECT seq_id, count_if(round(off - 1.2 * usual, 9) <= 0) AS n_fast, count_if(NOT round(off - 1.2 * usual, 9) <= 0) AS n_exact, round(quantile_cont(off, 0.9), 6) AS p90 FROM f JOIN u USING (seq_id) GROUP BY seq_id""",
     "data_weights": f"""{with_views('pts', 'ok')}, c AS (SELECT seq_id, frame, count(*) AS n, count_if(seen) AS visible FROM ok GROUP BY ALL)
         SELECT seq_id, frame, visible, round(1 + (n - visible) / n * 2.0, 6) AS anneal, round(CASE WHEN visible > 0 THEN 46.0 / visible END, 6) AS weight FROM c""",
     "unavailable_latent": f"""{with_views('pts', 'ok', 'smp')}, l AS (SELECT seq_id, unnest(latent_labels) AS label FROM smp) SELECT seq_id, label FROM l WHERE NOT EXISTS (SELECT 1 FROM ok WHERE seen AND ok.seq_id = l.seq_id AND ok.label = l.label)""",
