@@ -14,3 +14,9 @@ def available(*axes: str) -> Column:
         there = there & F.col(c).isNotNull() & ~F.isnan(c)
         zero = zero & (F.col(c) == 0)
     return F.coalesce(there & ~zero, F.lit(False))
+
+
+def finite(value: str | Column) -> Column:
+    """Whether a number is there and neither NaN nor infinite."""
+    c = F.col(value) if isinstance(value, str) else value
+    return F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))

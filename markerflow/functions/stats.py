@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from markerflow.functions.points import finite
 from markerflow.session import checkpointed
 
 ROUND_TO = 6
@@ -68,10 +69,10 @@ def exact_percentiles(clean: DataFrame, keys: list[str], value: str, cuts: dict[
 def summarize(df: DataFrame, keys: list[str], value: str, few: int = FEW_VALUES) -> DataFrame:
     """One row per key of count, mean, sample std, min, max and the linearly interpolated p50, p90 and p99.
 
-    Keys without a value give no row; nulls and NaN do not count. The keys and values are written once, since
+    Keys without a value give no row; nulls, NaN and infinite values do not count. The keys and values are written once, since
     they are read for the sizes of keys and for the figures.
     """
-    clean = checkpointed(df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias(value)))
+    clean = checkpointed(df.where(finite(value)).select(*keys, F.col(value).cast("double").alias(value)))
     small, large = _split_by_size(clean, keys, few)
     figures = [*keys, "n", "mean", "std", "min", "max", *[rounded(F.col(c)).alias(c) for c in CUTS]]
     rows = small.groupBy(*keys).agg(*moment_columns(value), *_held_percentiles(value, CUTS)).select(*figures)

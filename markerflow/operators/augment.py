@@ -6,9 +6,12 @@ repartitioning. The key names the seed.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from markerflow.operators.geometry import area_shares
 from markerflow.operators.ranges import numbered, top_k
 
 
@@ -114,3 +117,76 @@ def with_noise(points: DataFrame, model: DataFrame, seed: int) -> DataFrame:
     sized = points.join(noise_sizes(model), "label", "left").withColumn("slot", (number % F.col("size") % F.col("n")).cast("int"))
     met = sized.join(model, ["label", "slot"], "left")
     return met.withColumns({c: F.col(c) + F.coalesce(f"d{c}", F.lit(0.0)) for c in "xyz"}).drop("dx", "dy", "dz", "n", "size")
+
+
+def uniform(seed: int, *keys: str | Column) -> Column:
+    """A number in [0, 1), the same for the same seed and keys."""
+    return F.conv(F.substring(draw(seed, *keys), 1, 6), 16, 10).cast("double") / 16_777_216
+
+
+GHOST_LABEL = "nan"
+
+
+def corrupted(points: DataFrame, hidden: int, n_ghosts: int, seed: int) -> DataFrame:
+    """`seq_id, frame, marker_idx, label, x, y, z, slot, track`: recorded readings as a poor recording would give them, with the label of each.
+
+    Up to `hidden` markers of a frame are hidden, ghosts are added about its middle (markers -1, -2, ... with the label GHOST_LABEL), the readings of a frame are
+    permuted (`slot`), and half of the tracks break at a frame into two (`track`). Every step draws by its own seed."""
+    left = occluded(points, hidden, seed).where(~F.col("occluded")).select("seq_id", "frame", "marker_idx", "label", "x", "y", "z")
+    extra = ghosts(left, n_ghosts, seed + 1).select("seq_id", "frame", (-1 - F.col("ghost")).alias("marker_idx"), F.lit(GHOST_LABEL).alias("label"), "x", "y", "z")
+    return broken_tracks(shuffled_slots(left.unionByName(extra), seed + 2), seed + 3)
+
+
+def assigned(rows: DataFrame, order: DataFrame) -> DataFrame:
+    """`rows` with `ord`, the place of their label in the canonical order, or its length for a label that it doesn't have, and `weight`, the share of
+    rows of a take that have another place: rare places weigh more. `order` is a list of labels of bounded size."""
+    size = order.agg((F.max("ord") + 1).alias("_size"))
+    met = rows.join(F.broadcast(order.select("label", "ord")), "label", "left").join(F.broadcast(size)).withColumn("ord", F.coalesce("ord", "_size")).drop("_size")
+    counts = met.groupBy("seq_id", "ord").agg(F.count("*").alias("_n"))
+    shares = counts.withColumn("weight", 1 - F.col("_n") / F.sum("_n").over(Window.partitionBy("seq_id"))).drop("_n")
+    return met.join(shares, ["seq_id", "ord"])
+
+
+def frames_by_name(frames: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows of `frames` whose take and frame are named as `take_frame` in the column `name` of `names`; the frame is what follows the last underscore."""
+    at = names.select(F.regexp_extract("name", r"^(.*)_(\d+)$", 1).alias("seq_id"), F.regexp_extract("name", r"^(.*)_(\d+)$", 2).try_cast("int").alias("frame"))
+    return frames.join(at.distinct(), ["seq_id", "frame"], "left_semi")
+
+
+def frames_in_all(frames: DataFrame, n: int, seed: int, strict: bool = False) -> DataFrame:
+    """`n` frames drawn from all sequences together without replacement; with `strict` fewer are an error."""
+    drawn = top_k(frames.withColumn("_all", F.lit(0)), ["_all"], [draw(seed, "seq_id", "frame"), "seq_id", "frame"], n, ["seq_id", "frame"], "_n").drop("_all", "_n")
+    if strict and drawn.count() < n:
+        raise ValueError(f"fewer than {n} frames to draw from")
+    return drawn
+
+
+def sampled_windows(frames: DataFrame, vec: str, size: int, one_in: int, seed: int) -> DataFrame:
+    """`seq_id, frame, window, angle` and `vec` of the windows of `size` rows that a draw picks, one in `one_in` on average, turned about the vertical axis
+    by an angle drawn for each window; windows that a sequence doesn't fill are left out. `vec` is flat, of points."""
+    rows = frames.withColumn("window", F.floor(F.col("row") / size))
+    picked = rows.where(F.floor(uniform(seed, "seq_id", "window") * one_in) == 0).withColumn("angle", uniform(seed + 1, "seq_id", "window") * 2 * math.pi)
+    full = picked.groupBy("seq_id", "window").agg(F.count("*").alias("_n")).where(F.col("_n") == size).select("seq_id", "window")
+    cos, sin = F.cos("angle"), F.sin("angle")
+
+    def turned(v: Column, i: Column) -> Column:
+        other = F.get(F.col(vec), F.when(i % 3 == 0, i + 1).otherwise(i - 1)).cast("double")
+        return F.when(i % 3 == 0, v * cos - other * sin).when(i % 3 == 1, other * sin + v * cos).otherwise(v.cast("double"))
+
+    return picked.join(full, ["seq_id", "window"], "left_semi").withColumn(vec, F.transform(vec, turned))
+
+
+def surface_draws(faces: DataFrame, n: int, seed: int) -> DataFrame:
+    """`seq_id, k, face`: `n` faces of each mesh, drawn with replacement by their areas; `faces` has `seq_id, face, area`. A mesh's faces are one row's work."""
+    listed = area_shares(faces).groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("upto", "face"))).alias("_f"))
+    drawn = listed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_u", uniform(seed, "seq_id", "k"))
+    first = F.filter("_f", lambda f: f.getField("upto") > F.col("_u"))
+    return drawn.select("seq_id", "k", F.coalesce(F.get(first, F.lit(0)).getField("face"), F.element_at("_f", -1).getField("face")).alias("face"))
+
+
+def moved_vertices(layout: DataFrame, near: DataFrame, seed: int) -> DataFrame:
+    """`layout` with `vid` replaced by a vertex drawn from its neighbourhood `near` (`seq_id, seed, vid`); a vertex without neighbours stays."""
+    rows = near.withColumnRenamed("vid", "_new").withColumn("_d", draw(seed, "seq_id", "seed", "_new"))
+    first = rows.groupBy("seq_id", "seed").agg(F.min_by("_new", "_d").alias("_new"))
+    met = layout.join(first, (layout["seq_id"] == first["seq_id"]) & (layout["vid"] == first["seed"]), "left").drop(first["seq_id"])
+    return met.withColumn("vid", F.coalesce("_new", "vid")).drop("seed", "_new")

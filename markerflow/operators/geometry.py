@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MAX_FACES = 1_000_000
+
+
 def lower_median(value: str | Column) -> Column:
     """The lower of the two middle values of an even number."""
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})") if isinstance(value, str) else F.percentile_approx(value, 0.5, 1_000_000)
@@ -69,27 +72,62 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, by: list[str]) -> Dat
     return best.select(*by, "query_id", F.posexplode("_best").alias("rank", "b")).select(*by, "query_id", F.col("b.point_id"), "rank", F.col("b.distance"))
 
 
-def mesh_edges(faces: DataFrame) -> DataFrame:
-    """`a, b` of faces `v0, v1, v2`: every edge once in both directions."""
-    pairs = F.array(*[F.struct(F.col(f"v{i}").alias("a"), F.col(f"v{j}").alias("b")) for i in range(3) for j in range(3) if i != j])
-    return faces.select(F.explode(pairs).alias("e")).select("e.a", "e.b").distinct()
+def strip_faces(meshes: DataFrame) -> DataFrame:
+    """`seq_id, face, v0, v1, v2`: a closed strip of triangles over the vertices of each of `seq_id, n_vertices`; meshes of fewer than three have none."""
+    rows = meshes.where("n_vertices >= 3").select("seq_id", "n_vertices", F.explode(F.sequence(F.lit(0), F.col("n_vertices") - 1)).alias("face"))
+    return rows.select("seq_id", "face", *[((F.col("face") + k) % F.col("n_vertices")).cast("int").alias(f"v{k}") for k in range(3)])
 
 
-def ring(edges: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
-    """`seed, vid`: vertices within n edges of each seed, itself included; one join a ring."""
-    found = seeds.select(F.col("vid").alias("seed"), "vid").distinct()
-    front = found
+def mesh_rings(faces: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
+    """`seq_id, seed, vid`: vertices within n edges of each of `seq_id, vid`, itself included, on each mesh by itself; one join a ring."""
+    pairs = F.array(*[F.struct(F.col(f"v{i}").alias("a"), F.col(f"v{j}").alias("b")) for i in range(3) for j in range(3) if i != j])
+    edges = faces.select("seq_id", F.explode(pairs).alias("e")).select("seq_id", F.col("e.a").alias("vid"), F.col("e.b").alias("_to")).distinct()
+    found = seeds.select("seq_id", F.col("vid").alias("seed"), "vid").distinct()
     for _ in range(n):
-        front = front.join(edges, F.col("vid") == F.col("a")).select("seed", F.col("b").alias("vid")).distinct().join(found, ["seed", "vid"], "left_anti")
-        found = found.unionByName(front)
+        found = found.unionByName(found.join(edges, ["seq_id", "vid"]).select("seq_id", "seed", F.col("_to").alias("vid"))).distinct()
     return found
 
 
+def composed_rotation(r: list[Column], fixed: tuple[float, float, float]) -> list[Column]:
+    """The rotation vector of turning by `r` and then by the fixed rotation vector, through unit quaternions; at most half a turn."""
+    import math
+
+    size = math.sqrt(sum(v * v for v in fixed))
+    a = math.cos(size / 2)
+    b = [v / size * math.sin(size / 2) if size else 0.0 for v in fixed]
+    angle = F.sqrt(r[0] * r[0] + r[1] * r[1] + r[2] * r[2])
+    half = F.when(angle < 1e-12, F.lit(0.5)).otherwise(F.sin(angle / 2) / F.greatest(angle, F.lit(1e-12)))
+    c, d = F.cos(angle / 2), [x * half for x in r]
+    w = a * c - b[0] * d[0] - b[1] * d[1] - b[2] * d[2]
+    v = [a * d[i] + b[i] * c + b[(i + 1) % 3] * d[(i + 2) % 3] - b[(i + 2) % 3] * d[(i + 1) % 3] for i in range(3)]
+    sign = F.when(w < 0, -1.0).otherwise(1.0)
+    length = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    scale = F.when(length < 1e-12, F.lit(2.0)).otherwise(2 * F.atan2(length, w * sign) / F.greatest(length, F.lit(1e-12)))
+    return [x * sign * scale for x in v]
+
+
+def encoded(vec: Column, components: list[list[float]]) -> Column:
+    """The weights of a vector on orthonormal components: one product each."""
+    products = [F.aggregate(F.zip_with(vec, F.array(*[F.lit(float(x)) for x in c]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for c in components]
+    return F.array(*products)
+
+
+def decoded(weights: Column, components: list[list[float]]) -> Column:
+    """The vector that weights on components stand for."""
+    out = None
+    for k, c in enumerate(components):
+        part = F.transform(F.array(*[F.lit(float(x)) for x in c]), lambda x, k=k: x * F.get(weights, F.lit(k)))
+        out = part if out is None else F.zip_with(out, part, lambda a, b: a + b)
+    return out
+
+
 def vertex_normals(corners: DataFrame, faces: DataFrame) -> DataFrame:
     """`seq_id, frame, vid, nx, ny, nz`: the unit sum of the normals of all faces of a vertex.
 
-    `corners` has `seq_id, frame, vertices`, flat; `faces` is a dimension of bounded size.
+    `corners` has `seq_id, frame, vertices`, flat; `faces` is a dimension of a checked size.
     """
+    if faces.count() > MAX_FACES:
+        raise ValueError(f"more than {MAX_FACES} faces")
     at = lambda v, k: F.get("vertices", F.col(v) * 3 + k).cast("double")
     met = corners.join(F.broadcast(faces))
     u = [at("v1", k) - at("v0", k) for k in range(3)]

@@ -7,10 +7,12 @@ give null.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from markerflow.operators.ranges import along, follows
+from markerflow.operators.ranges import BLOCK_ROWS, along, follows
 from markerflow.operators.ranges import top_k as first_k
 
 #: Parts of a pose vector by its size: (first, length), counted from 0. Fixed by the layout of poses.
@@ -133,6 +135,29 @@ def smoothed_vectors(df: DataFrame, vec: str, name: str, alpha: float = 0.5) ->
     return along(df, smoothed, halo=1)
 
 
+def smoothed_rounds(df: DataFrame, value: str, name: str, rounds: int = 15, alpha: float = 0.5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """`smooth_once` as many times over as there are rounds, of a number column of `seq_id, row`.
+
+    A round reaches one row further, so a block with a halo of as many rows as there are rounds, and one more, needs nothing else."""
+    size, halo = max(block_rows, rounds + 1), rounds + 1
+    block = lambda shift: F.floor(F.greatest(F.col("row") + shift, F.lit(0)) / size)
+    spread = df.select("seq_id", "row", F.col(value).cast("double").alias(value), F.explode(F.array_distinct(F.array(block(-halo), block(0), block(halo)))).alias("_block"))
+    schema = pa.schema([("seq_id", pa.from_numpy_dtype("int64") if dict(df.dtypes)["seq_id"] in ("bigint", "int") else pa.string()), ("row", pa.int64()), (name, pa.float64())])
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("row")
+        at, x = rows.column("row").to_numpy(), rows.column(value).to_numpy().copy()
+        for _ in range(rounds):
+            before, after = np.concatenate([x[:1], x[:-1]]), np.concatenate([x[1:], x[-2:-1] if len(x) > 1 else x])
+            x = x + alpha * ((before + after) / 2 - x)
+        mine = np.flatnonzero(at // size == key[1].as_py())
+        return pa.table([pa.array([key[0].as_py()] * len(mine), schema.types[0]), pa.array(at[mine], pa.int64()), pa.array(x[mine])], schema=schema)
+
+    kind = "bigint" if schema.types[0] == pa.int64() else "string"
+    done = spread.groupBy("seq_id", "_block").applyInArrow(run, f"seq_id {kind}, row bigint, {name} double")
+    return done.withColumn("row", F.col("row").cast("int"))
+
+
 def extrapolated(df: DataFrame, value: str, name: str, alpha: float) -> DataFrame:
     """What the two frames before predict: x_(t-1) + alpha (x_(t-1) - x_(t-2)); null where there aren't two."""
 

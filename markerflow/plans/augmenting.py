@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markerflow.functions.stats import rounded
-from markerflow.operators import augment, labels, views
+from markerflow.operators import augment, geometry, labels, views
 from markerflow.operators.ranges import along, tracks
 from markerflow.operators.views import with_views
 from markerflow.session import table
@@ -83,10 +83,61 @@ def concatenated_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("origin").agg(F.count("*").alias("n"), F.count("label").alias("n_labelled"), F.count("ghost").alias("n_ghosts"))
 
 
+def corrupted_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Takes as poor recordings would give them, with the place of each reading's label in the canonical order."""
+    order = table(spark, sf_dir, "marker_layout").where("layout_id = 'superset'").select("label", "ord")
+    rows = augment.assigned(augment.corrupted(_seen(spark, sf_dir), 3, 2, 41), order)
+    return rows.groupBy("seq_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("marker_idx") < 0).alias("n_ghosts"), F.countDistinct("track").alias("n_tracks"), F.sum(F.col("slot") * F.col("ord")).alias("check"),
+        F.sum(F.col("slot") * F.col("track")).alias("tracks"), F.round(F.sum("weight"), 4).alias("weight"), F.round(F.max("x"), 3).alias("x"),
+    )
+
+
+def manual_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings of the middle frame of each take, asked for by name."""
+    names = views.sessions(spark, sf_dir).select(F.concat_ws("_", "seq_id", F.floor(F.col("n_frames") / 2).cast("string")).alias("name"))
+    return augment.frames_by_name(views.points(spark, sf_dir), names).groupBy("seq_id", "frame").agg(F.count("*").alias("n"))
+
+
+def frames_in_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve frames of all takes together."""
+    return augment.frames_in_all(views.points(spark, sf_dir).select("seq_id", "frame").distinct(), 12, 51, strict=True)
+
+
+def sampled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = augment.sampled_windows(views.mesh(spark, sf_dir), "vertices", 8, 3, 53)
+    return rows.select("seq_id", "row", "window", F.round(F.get("vertices", F.lit(0)), 4).alias("x"), F.round(F.get("vertices", F.lit(1)), 4).alias("y"), F.round(F.get("vertices", F.lit(2)), 4).alias("z"))
+
+
+def _first_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.mesh(spark, sf_dir).where("row = 0 and size(vertices) >= 9")
+    return rows.select("seq_id", F.transform("vertices", lambda v: v.cast("double")).alias("vertices"), (F.size("vertices") / 3).cast("int").alias("n_vertices"))
+
+
+def surface_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 200 points drawn on the first frame of each mesh fall."""
+    meshes = _first_mesh(spark, sf_dir)
+    at = lambda v, k: F.get("vertices", F.col(v) * 3 + k)
+    u, w = ([at(v, k) - at("v0", k) for k in range(3)] for v in ("v1", "v2"))
+    cross = [u[1] * w[2] - u[2] * w[1], u[2] * w[0] - u[0] * w[2], u[0] * w[1] - u[1] * w[0]]
+    area = F.round(F.sqrt(cross[0] * cross[0] + cross[1] * cross[1] + cross[2] * cross[2]) / 2, 9)
+    faces = geometry.strip_faces(meshes).join(meshes, "seq_id").select("seq_id", "face", area.alias("area"))
+    return augment.surface_draws(faces, 200, 57).groupBy("seq_id", "face").agg(F.count("*").alias("n"))
+
+
+def moved_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices of each mesh exchanged for neighbours within two edges."""
+    meshes = _first_mesh(spark, sf_dir)
+    layout = meshes.select("seq_id", F.explode(F.sequence(F.lit(0), F.col("n_vertices") - 1)).alias("vid")).withColumn("ord", F.col("vid"))
+    near = geometry.mesh_rings(geometry.strip_faces(meshes), layout, 2)
+    return augment.moved_vertices(layout, near, 59).select("seq_id", "ord", "vid")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         picked_frames, relaxed_thresholds, occluded_points, ghost_points, broken_tracks, shuffled_frames, training_fraction, noise_model, noisy_points, concatenated_sets,
+        corrupted_points, manual_frames, frames_in_all, sampled_windows, surface_draws, moved_vertices,
     )
 }
 
@@ -94,7 +145,33 @@ RATES = "rates AS (SELECT seq_id, frame, avg(seen::INT) AS rate FROM ok GROUP BY
 HEX = "('0x' || substr({m}, 1, 6))::BIGINT"
 STEPS = """st AS (SELECT label, round(x - lag(x) OVER w, 6) AS dx, round(y - lag(y) OVER w, 6) AS dy, round(z - lag(z) OVER w, 6) AS dz FROM ok WHERE seen AND label IS NOT NULL WINDOW w AS (PARTITION BY seq_id, marker_idx ORDER BY frame))"""
 
+UNIFORM = "('0x' || substr(md5({k}), 1, 6))::BIGINT / 16777216"
+
 ORACLE_SQL = {
+    "corrupted_points": f"""{with_views('pts', 'ok')}, h AS (SELECT seq_id, frame, marker_idx, label, x, y, z FROM ok WHERE seen QUALIFY row_number() OVER (PARTITION BY seq_id, frame ORDER BY md5('41|' || seq_id || '|' || frame || '|' || marker_idx), marker_idx) > 3),
+        m AS (SELECT seq_id, frame, {', '.join(f"quantile_disc({c}, 0.5) AS m{c}, coalesce(stddev_samp({c}), 0) AS s{c}" for c in 'xyz')} FROM h GROUP BY ALL),
+        g AS (SELECT seq_id, frame, -1 - g AS marker_idx, 'nan' AS label, {', '.join(f"m{c} + s{c} * (4 * {HEX.format(m=f"md5('42|' || seq_id || '|' || frame || '|' || g || '|{c}')")} / 16777215 - 2) AS {c}" for c in 'xyz')} FROM m, range(2) r(g)),
+        u AS (SELECT *, row_number() OVER (PARTITION BY seq_id, frame ORDER BY md5('43|' || seq_id || '|' || frame || '|' || marker_idx), marker_idx) - 1 AS slot FROM (FROM h UNION ALL FROM g)),
+        t AS (SELECT seq_id, marker_idx, min(frame) AS lo, max(frame) AS hi, {HEX.format(m="md5('44|' || seq_id || '|' || marker_idx)")} AS k FROM u GROUP BY ALL),
+        c AS (SELECT seq_id, marker_idx, CASE WHEN k % 2 = 0 THEN lo + 1 + (k // 2) % greatest(hi - lo, 1) END AS cut, max(marker_idx) OVER (PARTITION BY seq_id) + 1 AS above FROM t),
+        o AS (SELECT label, ord FROM marker_layout WHERE layout_id = 'superset'), e AS (SELECT u.seq_id, u.marker_idx, slot, x, CASE WHEN frame >= cut THEN u.marker_idx + above ELSE u.marker_idx END AS track, coalesce(ord, (SELECT max(ord) + 1 FROM o)) AS ord
+            FROM u JOIN c ON u.seq_id = c.seq_id AND u.marker_idx = c.marker_idx LEFT JOIN o ON u.label = o.label),
+        w AS (SELECT *, 1 - count(*) OVER (PARTITION BY seq_id, ord) / count(*) OVER (PARTITION BY seq_id) AS weight FROM e)
+        SELECT seq_id, count(*) AS n, count_if(marker_idx < 0) AS n_ghosts, count(DISTINCT track) AS n_tracks, sum(slot * ord)::BIGINT AS "check", sum(slot * track)::BIGINT AS tracks, round(sum(weight), 4) AS weight, round(max(x), 3) AS x FROM w GROUP BY seq_id""",
+    "manual_frames": f"""{with_views('pts', 'ses')} SELECT pts.seq_id, frame, count(*) AS n FROM pts JOIN ses ON pts.seq_id = ses.seq_id AND frame = n_frames // 2 GROUP BY ALL""",
+    "frames_in_all": """SELECT seq_id, frame FROM (SELECT DISTINCT seq_id, frame FROM mocap_points) ORDER BY md5('51|' || seq_id || '|' || frame), seq_id, frame LIMIT 12""",
+    "sampled_windows": f"""{with_views('mesh')}, w AS (SELECT seq_id, row, row // 8 AS "window", vertices AS v, {UNIFORM.format(k="'54|' || seq_id || '|' || (row // 8)")} * 2 * pi() AS a FROM mesh WHERE floor({UNIFORM.format(k="'53|' || seq_id || '|' || (row // 8)")} * 3) = 0),
+        f AS (SELECT *, count(*) OVER (PARTITION BY seq_id, "window") AS n FROM w) SELECT seq_id, row, "window", round(v[1]::DOUBLE * cos(a) - v[2]::DOUBLE * sin(a), 4) AS x, round(v[1]::DOUBLE * sin(a) + v[2]::DOUBLE * cos(a), 4) AS y, round(v[3]::DOUBLE, 4) AS z FROM f WHERE n = 8""",
+    "surface_draws": f"""{with_views('mesh')}, q AS (SELECT seq_id, i AS face, i AS a, (i + 1) % n AS b, (i + 2) % n AS c, [x::DOUBLE for x in vertices] AS v FROM (SELECT *, len(vertices) // 3 AS n FROM mesh WHERE row = 0 AND len(vertices) >= 9), range(100) r(i) WHERE i < n),
+        s AS (SELECT seq_id, face, [v[3 * b + k] - v[3 * a + k] for k in [1, 2, 3]] AS u, [v[3 * c + k] - v[3 * a + k] for k in [1, 2, 3]] AS w FROM q),
+        t AS (SELECT seq_id, face, round(sqrt((u[2] * w[3] - u[3] * w[2]) ** 2 + (u[3] * w[1] - u[1] * w[3]) ** 2 + (u[1] * w[2] - u[2] * w[1]) ** 2) / 2, 9) AS area FROM s),
+        c AS (SELECT seq_id, face, sum(area) OVER (PARTITION BY seq_id ORDER BY face) / sum(area) OVER (PARTITION BY seq_id) AS upto FROM t),
+        d AS (SELECT c.seq_id, k, min(face) AS face FROM c, range(200) x(k) WHERE upto > {UNIFORM.format(k="'57|' || seq_id || '|' || k")} GROUP BY ALL) SELECT seq_id, face, count(*) AS n FROM d GROUP BY ALL""",
+    "moved_vertices": f"""{with_views('mesh')}, q AS (SELECT seq_id, i AS vid, len(vertices) // 3 AS n FROM mesh, range(100) r(i) WHERE row = 0 AND len(vertices) >= 9 AND i < len(vertices) // 3),
+        p AS (SELECT a.seq_id, a.vid AS ord, b.vid FROM q a JOIN q b ON a.seq_id = b.seq_id AND least((a.vid - b.vid + a.n) % a.n, (b.vid - a.vid + a.n) % a.n) <= 4)
+        SELECT seq_id, ord, arg_min(vid, md5('59|' || seq_id || '|' || ord || '|' || vid)) AS vid FROM p GROUP BY ALL""",
+    "noise_model": f"""{with_views('pts', 'ok')}, {STEPS}, n AS (SELECT label, count(*) AS n, count(DISTINCT (dx, dy, dz)) AS n_distinct, round(max(dx), 6) AS dx, round(max(dy), 6) AS dy, round(max(dz), 6) AS dz FROM st WHERE dx IS NOT NULL AND dy IS NOT NULL AND dz IS NOT NULL GROUP BY label)
+        SELECT label, max(n) OVER () AS n, n_distinct, dx, dy, dz FROM n""",
     "picked_frames": f"""{with_views('pts', 'ok')}, {RATES}, r AS (SELECT seq_id, frame, row_number() OVER (PARTITION BY seq_id ORDER BY md5('7|' || seq_id || '|' || frame), frame) AS n FROM rates WHERE rate >= 0.9)
         SELECT seq_id, frame FROM r WHERE n <= 12""",
     "relaxed_thresholds": f"""{with_views('pts', 'ok')}, {RATES}, t AS (SELECT i FROM range(101) r(i)), c AS (SELECT seq_id, i, count_if(rate >= 1.0 - i * 0.01 - 1e-9) AS n FROM rates, t GROUP BY ALL)
@@ -112,7 +189,6 @@ ORACLE_SQL = {
         SELECT seq_id, count(*) AS n, sum(slot * marker_idx)::BIGINT AS "check", count_if(slot = marker_idx) AS fixed FROM r GROUP BY seq_id""",
     "training_fraction": f"""WITH d AS (SELECT event_id, md5('23|' || event_id) AS d FROM events), b AS (SELECT *, {HEX.format(m='d')} % 4096 AS b FROM d), r AS (SELECT event_id, row_number() OVER (ORDER BY b, d, event_id) AS n, count(*) OVER () AS c FROM b)
         SELECT event_id FROM r WHERE n <= floor(c * 0.3)""",
-    "noise_model": None,
     "noisy_points": None,
     "concatenated_sets": f"""{with_views('pts', 'ok')} SELECT 'real' AS origin, count(*) AS n, count(label) AS n_labelled, 0 AS n_ghosts FROM ok WHERE seen UNION ALL
         SELECT 'ghost', count(*), 0, count(*) FROM (SELECT DISTINCT seq_id, frame FROM ok WHERE seen)""",

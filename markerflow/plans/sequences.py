@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markerflow.functions.stats import rounded, summarize
+from markerflow.functions.points import available, finite
+from markerflow.functions.stats import NUDGE, rounded, summarize
 from markerflow.operators import temporal, views
 from markerflow.operators.views import with_views
 
@@ -47,6 +48,18 @@ def smoothed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq_id", "frame", rounded(F.col("smoothed")).alias("smoothed"))
 
 
+def smoothed_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = temporal.smoothed_rounds(views.ts_frames(spark, sf_dir).select("seq_id", "row", "value"), "value", "smoothed")
+    return rows.select("seq_id", "row", rounded(F.col("smoothed")).alias("smoothed"))
+
+
+def masked_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of heights over the readings that are there: the sum of values times masks over the sum of masks, null without any."""
+    mask = F.when(available("x", "y", "z"), 1.0).otherwise(0.0)
+    rows = views.points(spark, sf_dir).select("seq_id", "marker_idx", mask.alias("m"), F.when(finite("z"), F.col("z")).otherwise(0.0).alias("z"))
+    return rows.groupBy("seq_id", "marker_idx").agg(F.round(F.try_divide(F.sum(F.col("z") * F.col("m")), F.sum("m")) + NUDGE, 4).alias("mean"))
+
+
 def window_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = temporal.smooth_once(views.ts_frames(spark, sf_dir), "value", "smoothed")
     rows = temporal.scalar_deltas(temporal.scalar_deltas(rows, "smoothed", "candidate"), "value", "reference")
@@ -117,6 +130,8 @@ QUERIES = {
     "pose_region_motion": pose_region_motion,
     "smoothed_values": smoothed_values,
     "window_hotspots": window_hotspots,
+    "smoothed_rounds": smoothed_rounds,
+    "masked_means": masked_means,
     "predicted_values": predicted_values,
     "downsampled_points": downsampled_points,
     "frame_slices": frame_slices,
@@ -130,7 +145,14 @@ QUERIES = {
 SMOOTH = f"""sm AS (SELECT seq_id, frame, value, value + 0.5 * ((coalesce(lag(value) {SEQ}, value)
     + coalesce(lead(value) {SEQ}, lag(value) {SEQ}, value)) / 2 - value) AS smoothed FROM ts)"""
 
+ROUNDS = ", ".join(
+    f"s{k} AS (SELECT seq_id, frame, v + 0.5 * ((coalesce(lag(v) {SEQ}, v) + coalesce(lead(v) {SEQ}, lag(v) {SEQ}, v)) / 2 - v) AS v FROM {f's{k - 1}' if k > 1 else '(SELECT seq_id, frame, value AS v FROM ts)'})"
+    for k in range(1, 16)
+)
+
 ORACLE_SQL = {
+    "smoothed_rounds": f"""{with_views("ts")}, {ROUNDS} SELECT seq_id, frame AS row, round(v, 6) AS smoothed FROM s15""",
+    "masked_means": f"""{with_views("pts", "ok")} SELECT seq_id, marker_idx, round(avg(z) FILTER (seen) + 1e-9, 4) AS mean FROM ok GROUP BY ALL""",
     "frame_delta_summary": f"""{with_views("ts")}, d AS (SELECT seq_id, frame, abs(coalesce(value - lag(value) {SEQ}, 0)) AS delta FROM ts)
         SELECT seq_id, {G1.format(v="delta")} FROM d WHERE frame > 0 GROUP BY seq_id""",
     "jitter_summary": f"""{with_views("ts")}, d AS (SELECT seq_id, frame, abs(coalesce(value - 2 * lag(value) {SEQ} + lag(value, 2) {SEQ}, 0)) AS a FROM ts)

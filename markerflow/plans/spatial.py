@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markerflow.functions.stats import rounded, spread_percentiles, summarize
+from markerflow.functions.points import finite
+from markerflow.functions.stats import exact_percentiles, ratio, rounded, summarize
 from markerflow.operators import geometry, labels, temporal, views
-from markerflow.operators.ranges import along
 from markerflow.operators.views import with_views
-from markerflow.plans.sequences import G1, L2
+from markerflow.plans.sequences import L2
 from markerflow.session import checkpointed, table
 
 
@@ -46,7 +48,10 @@ def facing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def camera_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = [F.get("trans", F.lit(i)) for i in range(3)]
     rows = views.poses(spark, sf_dir).where("trans is not null").select("seq_id", *[a.alias(c) for a, c in zip(at, "xyz")])
-    return rows.groupBy("seq_id").agg(rounded(F.median("x")).alias("x"), rounded(F.median("y")).alias("y"), rounded(F.greatest(F.lit(1.0), F.median("z") + 0.15)).alias("z"))
+    axes = rows.select("seq_id", F.explode(F.create_map(*[c for a in "xyz" for c in (F.lit(a), F.col(a))])).alias("axis", "v"))
+    middle = exact_percentiles(checkpointed(axes.where(finite("v"))), ["seq_id", "axis"], "v", {"m": 0.5})
+    of = lambda a: F.max(F.when(F.col("axis") == a, F.col("m")))
+    return middle.groupBy("seq_id").agg(rounded(of("x")).alias("x"), rounded(of("y")).alias("y"), rounded(F.greatest(F.lit(1.0), of("z") + 0.15)).alias("z"))
 
 
 def _corners(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,10 +74,10 @@ FACES = [(i, (i + 1) % 12, (i + 2) % 12) for i in range(12)]
 
 
 def nring_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vertices within two edges of the layout vertices that the mesh has, over the triangle strip of a frame."""
-    faces = spark.createDataFrame(FACES, "v0 int, v1 int, v2 int")
-    seeds = table(spark, sf_dir, "mesh_frames").select(F.explode(F.sequence(F.lit(0), (F.size("vertices") / 3).cast("int") - 1)).alias("vid")).distinct().where("vid < 12")
-    return geometry.ring(geometry.mesh_edges(faces), seeds, 2)
+    """Vertices within two edges of every third vertex of each mesh, over a strip of triangles."""
+    meshes = views.mesh(spark, sf_dir).groupBy("seq_id").agg(F.max(F.size("vertices") / 3).cast("int").alias("n_vertices")).where("n_vertices >= 3")
+    seeds = meshes.select("seq_id", F.explode(F.sequence(F.lit(0), F.col("n_vertices") - 1, F.lit(3))).alias("vid"))
+    return geometry.mesh_rings(geometry.strip_faces(meshes), seeds, 2)
 
 
 def vertex_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +98,7 @@ def joint_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return below.join(turns, "child").groupBy("root").agg(F.count("*").alias("n_below"), F.round(F.sum("turn"), 3).alias("turn"))
 
 
-#: How many markers the pose weights were set for.
+#: How many markers the pose weights were set for. A fixed value.
 TRAINING_MARKERS = 46
 
 
@@ -149,19 +154,41 @@ def metric_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = views.with_rows(views.poses(spark, sf_dir).where("trans is not null").select("seq_id", "frame", F.get("trans", F.lit(2)).alias("value")))
     rows = temporal.scalar_deltas(temporal.smooth_once(parts, "value", "smoothed"), "value", "reference")
     rows = temporal.scalar_deltas(rows, "smoothed", "candidate")
-    measures = {"mean": F.avg, "max": F.max}
-    stacked = None
-    for name, f in measures.items():
-        one = rows.groupBy("seq_id").agg(f("candidate").alias("c"), f("reference").alias("r")).select("seq_id", F.lit(name).alias("metric"), "c", "r")
-        stacked = one if stacked is None else stacked.unionByName(one)
-    return stacked.select("seq_id", "metric", rounded(F.col("c") - F.col("r")).alias("delta"), rounded(F.when(F.col("r") > 0, F.col("c") / F.col("r"))).alias("ratio"))
+    steps = rows.select("seq_id", F.explode(F.create_map(F.lit("c"), "candidate", F.lit("r"), "reference")).alias("side", "v")).where("v is not null")
+    figures = summarize(steps, ["seq_id", "side"], "v").select("seq_id", "side", F.explode(F.create_map(*[x for m in ("mean", "p90", "max") for x in (F.lit(m), F.col(m))])).alias("metric", "v"))
+    of = lambda s: F.max(F.when(F.col("side") == s, F.col("v")))
+    both = figures.groupBy("seq_id", "metric").agg(of("c").alias("c"), of("r").alias("r"))
+    return both.select("seq_id", "metric", rounded(F.col("c") - F.col("r")).alias("delta"), F.round(ratio(F.col("c"), F.col("r")), 4).alias("ratio"))
+
+
+#: A turn that brings y up to z up.
+UPRIGHT = (math.pi / 2, 0.0, 0.0)
+
+
+def turned_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root orientation of every pose after the turn of its world."""
+    rows = views.poses(spark, sf_dir).where(F.size("fullpose") >= 3)
+    turned = geometry.composed_rotation([F.get("fullpose", F.lit(i)) for i in range(3)], UPRIGHT)
+    return rows.select("seq_id", "frame", *[F.round(c, 5).alias(a) for c, a in zip(turned, "xyz")])
+
+
+#: The smoothest waves over the 45 numbers of a hand, which are orthonormal.
+HAND_WAVES = [[math.sqrt((1 if k == 0 else 2) / 45) * math.cos(math.pi * k * (2 * i + 1) / 90) for i in range(45)] for k in range(6)]
+
+
+def hand_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Left hands as six weights, and how far they are from what the weights stand for."""
+    rows = views.poses(spark, sf_dir).withColumn("hand", temporal.region("fullpose", "left_hand")).where("hand is not null")
+    rows = rows.withColumn("w", geometry.encoded(F.col("hand"), HAND_WAVES))
+    off = temporal.l2_step(F.col("hand"), geometry.decoded(F.col("w"), HAND_WAVES))
+    return rows.select("seq_id", "frame", *[F.round(F.get("w", F.lit(k)), 5).alias(f"w{k}") for k in range(6)], F.round(off, 5).alias("off"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         median_center, centred_spread, rotated_points, facing, camera_targets, knn_vertices, nring_neighbours, vertex_normals, joint_subtrees,
-        data_weights, unavailable_latent, common_labels, pose_parts, render_poses, robust_losses, metric_deltas,
+        data_weights, unavailable_latent, common_labels, pose_parts, render_poses, robust_losses, metric_deltas, turned_poses, hand_weights,
     )
 }
 
@@ -170,7 +197,16 @@ OFFSETS = """off AS (SELECT seq_id, frame, coalesce(quantile_disc(x, 0.5) FILTER
 CORNERS = "cor AS (SELECT seq_id, frame, i AS vid, list_transform(vertices[3 * i + 1 : 3 * i + 3], lambda v: v::DOUBLE) AS xyz FROM mesh, range(12) r(i))"
 NORM = "sqrt(coalesce(list_sum(list_transform({v}, lambda q: q * q)), 0))"
 
+Q = "sqrt(fullpose[1] ** 2 + fullpose[2] ** 2 + fullpose[3] ** 2)"
+
 ORACLE_SQL = {
+    "turned_poses": f"""{with_views('pose')}, q AS (SELECT seq_id, frame, cos({Q} / 2) AS c, CASE WHEN {Q} < 1e-12 THEN 0.5 ELSE sin({Q} / 2) / {Q} END AS h, fullpose AS p FROM pose WHERE len(fullpose) >= 3),
+        d AS (SELECT seq_id, frame, c, p[1] * h AS x, p[2] * h AS y, p[3] * h AS z, cos(pi() / 4) AS a, sin(pi() / 4) AS b FROM q), e AS (SELECT seq_id, frame, a * c - b * x AS w, a * x + b * c AS x, a * y - b * z AS y, a * z + b * y AS z FROM d),
+        f AS (SELECT *, sqrt(x * x + y * y + z * z) AS l, CASE WHEN w < 0 THEN -1.0 ELSE 1.0 END AS s FROM e) SELECT seq_id, frame, {', '.join(f'round({c} * s * CASE WHEN l < 1e-12 THEN 2.0 ELSE 2 * atan2(l, w * s) / l END, 5) AS {c}' for c in 'xyz')} FROM f""",
+    "hand_weights": f"""{with_views('pose')}, h AS (SELECT seq_id, frame, CASE WHEN len(fullpose) >= 165 THEN fullpose[76:120] WHEN len(fullpose) >= 156 THEN fullpose[67:111] END AS v FROM pose), b AS (SELECT k, i, sqrt((CASE WHEN k = 0 THEN 1 ELSE 2 END) / 45) * cos(pi() * k * (2 * i + 1) / 90) AS b FROM range(6) x(k), range(45) y(i)),
+        w AS (SELECT seq_id, frame, k, sum(v[i + 1] * b) AS w FROM h, b WHERE v IS NOT NULL GROUP BY ALL), d AS (SELECT seq_id, frame, i, sum(w * b) AS r FROM w JOIN b USING (k) GROUP BY ALL),
+        o AS (SELECT d.seq_id, d.frame, sqrt(sum((v[i + 1] - r) ** 2)) AS off FROM d JOIN h ON d.seq_id = h.seq_id AND d.frame = h.frame GROUP BY ALL)
+        SELECT seq_id, frame, {', '.join(f'round(any_value(w) FILTER (k = {k}), 5) AS w{k}' for k in range(6))}, round(any_value(off), 5) AS off FROM w JOIN o USING (seq_id, frame) GROUP BY seq_id, frame""",
     "median_center": f"{with_views('pts')}, {OFFSETS.format(t='pts')} SELECT seq_id, frame, round(ox, 6) AS ox, round(oy, 6) AS oy, round(oz, 6) AS oz FROM off",
     "centred_spread": f"""{with_views('pts', 'ok')}, s AS (SELECT * FROM ok WHERE seen), {OFFSETS.format(t='s')} SELECT seq_id, round(max(abs(x - ox)), 6) AS reach_x, round(max(abs(y - oy)), 6) AS reach_y, round(max(abs(z - oz)), 6) AS reach_z
         FROM s JOIN off USING (seq_id, frame) GROUP BY seq_id""",
@@ -184,7 +220,8 @@ ORACLE_SQL = {
     "camera_targets": f"{with_views('pose')} SELECT seq_id, round(median(trans[1]), 6) AS x, round(median(trans[2]), 6) AS y, round(greatest(1.0, median(trans[3]) + 0.15), 6) AS z FROM pose WHERE trans IS NOT NULL GROUP BY seq_id",
     "knn_vertices": f"""{with_views('mesh')}, {CORNERS}, d AS (SELECT q.seq_id, q.frame, p.vid, {L2.format(a='q.xyz', b='p.xyz')} AS d FROM cor q JOIN cor p ON q.seq_id = p.seq_id AND q.frame = p.frame AND q.vid = 0 AND p.vid > 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY seq_id, frame ORDER BY d, vid) - 1 AS rank FROM d) SELECT seq_id, rank, count(*) AS n, round(avg(d), 5) AS distance FROM r WHERE rank < 3 GROUP BY ALL""",
-    "nring_neighbours": """WITH n AS (SELECT max(len(vertices)) // 3 AS n FROM mesh_frames) SELECT a AS seed, b AS vid FROM range(12) x(a), range(12) y(b), n WHERE a < n AND least((a - b + 12) % 12, (b - a + 12) % 12) <= 4""",
+    "nring_neighbours": f"""{with_views('mesh')}, n AS (SELECT seq_id, max(len(vertices)) // 3 AS n FROM mesh GROUP BY seq_id HAVING n >= 3)
+        SELECT seq_id, a AS seed, b AS vid FROM n, range(100) x(a), range(100) y(b) WHERE a < n AND b < n AND a % 3 = 0 AND least((a - b + n) % n, (b - a + n) % n) <= 4""",
     "vertex_normals": f"""{with_views('mesh')}, f AS (SELECT i AS v0, (i + 1) % 12 AS v1, (i + 2) % 12 AS v2 FROM range(12) r(i)),
         p AS (SELECT seq_id, frame, v0, v1, v2, list_transform(range(3), lambda k: vertices[3 * v1 + k + 1]::DOUBLE - vertices[3 * v0 + k + 1]) AS u, list_transform(range(3), lambda k: vertices[3 * v2 + k + 1]::DOUBLE - vertices[3 * v0 + k + 1]) AS w FROM mesh, f),
         n AS (SELECT seq_id, frame, unnest([v0, v1, v2]) AS vid, u[2] * w[3] - u[3] * w[2] AS nx, u[3] * w[1] - u[1] * w[3] AS ny, u[1] * w[2] - u[2] * w[1] AS nz FROM p),
@@ -208,6 +245,6 @@ ORACLE_SQL = {
     "metric_deltas": f"""{with_views('pose')}, ts AS (SELECT seq_id, frame, trans[3] AS value FROM pose WHERE trans IS NOT NULL),
         sm AS (SELECT seq_id, frame, value, value + 0.5 * ((coalesce(lag(value) OVER w, value) + coalesce(lead(value) OVER w, lag(value) OVER w, value)) / 2 - value) AS s FROM ts WINDOW w AS (PARTITION BY seq_id ORDER BY frame)),
         d AS (SELECT seq_id, CASE WHEN row_number() OVER w > 1 THEN abs(coalesce(s - lag(s) OVER w, 0)) END AS c, CASE WHEN row_number() OVER w > 1 THEN abs(coalesce(value - lag(value) OVER w, 0)) END AS r FROM sm WINDOW w AS (PARTITION BY seq_id ORDER BY frame)),
-        g AS (SELECT seq_id, 'mean' AS metric, avg(c) AS c, avg(r) AS r FROM d GROUP BY seq_id UNION ALL SELECT seq_id, 'max', max(c), max(r) FROM d GROUP BY seq_id)
-        SELECT seq_id, metric, round(c - r, 6) AS delta, round(CASE WHEN r > 0 THEN c / r END, 6) AS ratio FROM g""",
+        g AS (SELECT seq_id, unnest(['mean', 'p90', 'max']) AS metric, unnest([round(avg(c) + 1e-9, 6), round(quantile_cont(c, 0.9), 6), round(max(c), 6)]) AS c, unnest([round(avg(r) + 1e-9, 6), round(quantile_cont(r, 0.9), 6), round(max(r), 6)]) AS r FROM d WHERE c IS NOT NULL GROUP BY seq_id)
+        SELECT seq_id, metric, round(c - r, 6) AS delta, round(CASE WHEN r > 0 THEN c / r END, 4) AS ratio FROM g""",
 }
