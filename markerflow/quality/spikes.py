@@ -43,6 +43,8 @@ START = np.log([0.985, 0.005, 0.005, 0.005])
 STEP = np.array([[0.990, 0.004, 0.003, 0.003], [0.45, 0.54, 0.005, 0.005], [0.095, 0.003, 0.90, 0.002], [0.20, 0.005, 0.005, 0.79]])
 #: How many steps the transitions above count for beside those of a block.
 PRIOR_STEPS = 2_000.0
+#: Below this log likelihood beside the normal state a reading is not in doubt, and how many steps around those in doubt the model runs.
+DOUBT, AROUND = -5.0, 12
 _KEYS = ["seq_id", "frame", "marker_idx"]
 
 
@@ -204,11 +206,29 @@ def flag_block(marker: np.ndarray, frame: np.ndarray, xyz: np.ndarray, unit: flo
         e[:, SPIKE] = odds[a:b]
         e[:, STUCK] = np.where(same[a:b], 5.0, -8.0)
         e[:, OUT] = np.where(out[a:b], 30.0, -30.0)
-    # Series that end before the longest have no readings to learn from there; their steps stay those of the prior.
-    _, moved = posterior(emission)
-    likely = posterior(emission, learnt_steps(moved))[0].argmax(axis=2)
+    # Where no state but the normal one is likely, or the stuck one for fewer repeats than a flag must hold, there is nothing to decide; the model
+    # runs over the rest and some steps around it.
+    doubt = (odds > DOUBT) | out | held
+    doubtful = np.zeros((longest, len(spans)), bool)
     for j, (a, b) in enumerate(spans):
-        state[a:b] = likely[: b - a, j]
+        doubtful[: b - a, j] = doubt[a:b]
+    steps = np.flatnonzero(doubtful.any(axis=1))
+    parts = []
+    for some in np.split(steps, np.flatnonzero(np.diff(steps) > 2 * AROUND) + 1) if len(steps) else []:
+        low, high = max(int(some[0]) - AROUND, 0), min(int(some[-1]) + AROUND + 1, longest)
+        series = np.flatnonzero(doubtful[low:high].any(axis=0))
+        parts.append((low, series, np.ascontiguousarray(emission[low:high, series])))
+    if parts:
+        moved = sum(posterior(part)[1] for _, _, part in parts)
+        moved[NORMAL, NORMAL] += max(len(frame) - sum(part.shape[0] * part.shape[1] for _, _, part in parts), 0)
+        learnt = learnt_steps(moved)
+        for low, series, part in parts:
+            likely = posterior(part, learnt)[0].argmax(axis=2)
+            for k, j in enumerate(series.tolist()):
+                a, b = spans[j]
+                n = min(low + len(part), b - a) - low
+                if n > 0:
+                    state[a + low : a + low + n] = likely[:n, k]
     state[(state == STUCK) & ~held] = NORMAL
     state[out] = OUT
     return state

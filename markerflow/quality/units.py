@@ -136,20 +136,21 @@ def body_height(label: Column) -> Column:
 
 
 def true_units(records: DataFrame, edges=None, target: str = METRE) -> DataFrame:
-    """`seq_id, unit, factor, shift`: the likeliest unit of each of `seq_id, log_scale, declared`, with its conversion to `target`.
+    """`seq_id, unit, factor, shift` and further columns: the likeliest unit of each of `seq_id, log_scale, declared`, with its conversion to `target`.
 
     `log_scale` is the median log(reading / expected length in the target unit), null where nothing can be measured. Each record meets the
     conversions of the units that it may be in by an equi-join on unit and target; of equal fits the target unit counts, then the last by name.
     """
     may_be = F.array(*[F.lit(u) for u in sorted(compositions(edges or LENGTH_EDGES, target))])
-    asked = records.select("seq_id", "log_scale", "declared", F.explode(may_be).alias("unit"), F.lit(target).alias("target"))
+    kept = [c for c in records.columns if c not in ("seq_id", "log_scale", "declared")]
+    asked = records.select("seq_id", "log_scale", "declared", *kept, F.explode(may_be).alias("unit"), F.lit(target).alias("target"))
     # One row a unit: as small as the list of edges.
     met = asked.join(F.broadcast(conversion_table(records.sparkSession, edges, target)), ["unit", "target"])
     off = (F.col("log_scale") + F.log("factor")) / BODY_SPREAD
     fit = F.coalesce(-off * off / 2, F.lit(0.0)) + F.when(F.col("declared") == F.col("unit"), F.lit(DECLARED_WEIGHT)).otherwise(F.lit(0.0))
     rank = F.struct(fit.alias("fit"), (F.col("unit") == F.col("target")).alias("usual"), F.col("unit"))
-    best = met.groupBy("seq_id").agg(F.max_by(F.struct("unit", "factor", "shift"), rank).alias("b"))
-    return best.select("seq_id", "b.unit", "b.factor", "b.shift")
+    best = met.groupBy("seq_id").agg(F.max_by(F.struct("unit", "factor", "shift"), rank).alias("b"), *[F.max(c).alias(c) for c in kept])
+    return best.select("seq_id", "b.unit", "b.factor", "b.shift", *kept)
 
 
 def marker_units(points: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -175,8 +176,7 @@ def marker_units(points: DataFrame, sessions: DataFrame) -> DataFrame:
     )
     said = sessions.groupBy("seq_id").agg(F.max("unit").alias("unit_text"), F.max("note").alias("note"))
     declared = F.coalesce(spelled_unit(F.col("unit_text")), noted_unit(F.col("note"), r"marker|point|coordinate"))
-    both = per_take.join(said, "seq_id", "full").withColumn("declared", declared)
-    return true_units(both).join(per_take.select("seq_id", "recorded", "first_frame", "last_frame"), "seq_id", "left")
+    return true_units(per_take.join(said, "seq_id", "full").withColumn("declared", declared).drop("unit_text", "note"))
 
 
 def translation_units(poses: DataFrame, samples: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def translation_units(poses: DataFrame, samples: DataFrame) -> DataFrame:
     )
     said = samples.groupBy("seq_id").agg(F.max("trans_unit").alias("unit_text"), F.max("note").alias("note"))
     declared = F.coalesce(spelled_unit(F.col("unit_text")), noted_unit(F.col("note"), r"trans|root"))
-    return true_units(per_take.join(said, "seq_id", "full").withColumn("declared", declared)).join(per_take.select("seq_id", "recorded"), "seq_id", "left")
+    return true_units(per_take.join(said, "seq_id", "full").withColumn("declared", declared).drop("unit_text", "note"))
 
 
 def latent_units(samples: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def latent_units(samples: DataFrame) -> DataFrame:
         F.max("latent_unit").alias("unit_text"), F.max("note").alias("note"), F.bool_or(F.coalesce(F.size("markers_latent") > 0, F.lit(False))).alias("recorded")
     )
     declared = F.coalesce(spelled_unit(F.col("unit_text")), noted_unit(F.col("note"), r"latent|lay-?out"))
-    return true_units(heights.join(said, "seq_id").withColumn("declared", declared)).join(said.select("seq_id", "recorded"), "seq_id")
+    return true_units(heights.join(said, "seq_id").withColumn("declared", declared).drop("unit_text", "note"))
 
 
 def record_units(points: DataFrame, sessions: DataFrame, poses: DataFrame, samples: DataFrame) -> DataFrame:
