@@ -26,6 +26,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -44,6 +45,7 @@ OTHER_TYPE = 0.4
 SETTLED = 1e-6
 MAX_FIELDS = 10_000
 MAX_DROPPED = 1_000_000
+COUNTED_VALUES = 1_000_000
 VALUE_BUCKETS = 64
 _NUMBER = re.compile(r"\s*([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)\s*[a-zA-Z%\"']{0,3}\s*")
 _DIGITS = re.compile(r"\d+")
@@ -105,13 +107,18 @@ def features(value: object) -> list[str]:
     return [f"kind:{_kind(value)}", *_parts(value, 0)]
 
 
+@lru_cache(100_000)
+def _number_parts(size: int, sign: int, frac: bool) -> list[str]:
+    return [f"mag:{size}", f"sign:{sign}", f"frac:{frac}"]
+
+
 def _parts(value: object, depth: int) -> list[str]:
     if isinstance(value, bool):
         return [f"val:{value}"]
     if isinstance(value, (int, float)):
         known = value and (isinstance(value, int) or math.isfinite(value))
         size = math.floor(2 * math.log10(abs(value))) if known else -99
-        return [f"mag:{size}", f"sign:{(value > 0) - (value < 0)}", f"frac:{bool(known and value != math.floor(value))}"]
+        return _number_parts(size, (value > 0) - (value < 0), bool(known and value != math.floor(value)))
     if isinstance(value, str):
         value = value.encode("utf-8", "replace").decode()
         text = "^" + _DIGITS.sub("9", value.lower()) + "$"
@@ -142,20 +149,17 @@ _COUNT_SCHEMA = "stream string, batch_no int, path string, type string, feature
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of files, of fields by type per batch, and of features per path and type of a stream, over some files each."""
-    known: dict[tuple, list[str]] = {}
+    read_text = lru_cache(100_000)(features)  # most texts of a field are repeated
+    files, fields, values, held = Counter(), Counter(), {}, 0
 
-    def seen(value: object) -> list[str]:
-        # Types tell true from 1; most values of a field are repeated.
-        key = (type(value), value)
-        if (found := known.get(key)) is None:
-            if len(known) >= 100_000:
-                known.clear()
-            found = known[key] = features(value)
-        return found
+    def told() -> pa.RecordBatch:
+        rows = [(s, b, None, None, None, n) for (s, b), n in files.items()] + [(*key, None, n) for key, n in fields.items()]
+        rows += [(s, None, p, k, f, n) for (s, p, k), counter in values.items() for f, n in counter.items()]
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64()]
+        columns = list(zip(*rows)) or [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in _COUNT_SCHEMA.split(", ")])
 
     for batch in batches:
-        files, fields = Counter(), Counter()
-        values: dict[tuple, Counter] = {}
         for stream, number, payload in zip(*(batch.column(c).to_pylist() for c in ("stream", "batch_no", "payload"))):
             record = read_record(payload)
             if record is None:
@@ -168,12 +172,13 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     counter = values.get((stream, path, kind))
                     if counter is None:
                         counter = values[stream, path, kind] = Counter()
-                    counter.update(features(value) if isinstance(value, list) else seen(value))
-        rows = [(s, b, None, None, None, n) for (s, b), n in files.items()] + [(*key, None, n) for key, n in fields.items()]
-        rows += [(s, None, p, k, f, n) for (s, p, k), counter in values.items() for f, n in counter.items()]
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64()]
-        columns = list(zip(*rows)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in _COUNT_SCHEMA.split(", ")])
+                    held += 1
+                    for feature in read_text(value) if kind == "string" else features(value):
+                        counter[feature] += 1
+        if held > COUNTED_VALUES:
+            yield told()
+            files, fields, values, held = Counter(), Counter(), {}, 0
+    yield told()
 
 
 def field_counts(raw: DataFrame) -> DataFrame:
@@ -337,7 +342,7 @@ def matched_fields(counts: DataFrame, sides: DataFrame) -> DataFrame:
     fields = sides.groupBy(*batch).agg(F.collect_list(F.struct("path", "old_type", "new_type")).alias("fields"))
     # Few bytes but much work a batch: a set number of partitions, which are not gathered into fewer.
     tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pairs.join(fields, batch).repartition(tasks, *batch)
+    rows = pairs.join(fields, batch).repartition(tasks, F.xxhash64(*batch))
     return rows.mapInArrow(_match_batches, "stream string, batch_no int, old string, new string, score double")
 
 
