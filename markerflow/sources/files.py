@@ -9,11 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from markerflow.sources import c3d
 
+#: Fixed by the format: the marks at the start of a vertex cache.
 PC2_HEAD = struct.Struct("<12siiffi")
 
 
@@ -80,20 +81,30 @@ def read_markers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """`vid, x, y, z` and `face, v0, v1, v2` of a text mesh, numbered from 0 by their lines; only triangles are read."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("at"))
-    lines = lines.where(F.startswith("line", F.lit("v ")) | F.startswith("line", F.lit("f ")))
-    parts = lines.select("at", F.split("line", r"\s+").alias("p"))
-    # A mesh file is small and its lines have one order: ranked by kind.
-    from pyspark.sql import Window
+    """`path, vid, x, y, z` and `path, face, v0, v1, v2` of all text meshes of `path`, numbered from 0 by the lines of each file; only triangles are read.
 
-    ranked = parts.withColumn("n", F.row_number().over(Window.partitionBy(F.get("p", F.lit(0))).orderBy("at")) - 1)
+    A file's lines of a kind are ordered in one task: a mesh is of bounded size."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.where(F.startswith("line", F.lit("v ")) | F.startswith("line", F.lit("f ")))
+    parts = lines.select("path", "at", F.split("line", r"\s+").alias("p")).withColumn("kind", F.get("p", F.lit(0)))
+    ranked = parts.withColumn("n", F.row_number().over(Window.partitionBy("path", "kind").orderBy("at")) - 1)
     corner = lambda i: F.get(F.split(F.get("p", F.lit(i)), "/"), F.lit(0)).cast("int") - 1
-    vertices = ranked.where(F.get("p", F.lit(0)) == "v").select(F.col("n").alias("vid"), *[F.get("p", F.lit(i + 1)).cast("double").alias(c) for i, c in enumerate("xyz")])
-    faces = ranked.where((F.get("p", F.lit(0)) == "f") & (F.size("p") == 4)).select(F.col("n").alias("face"), *[corner(i + 1).alias(f"v{i}") for i in range(3)])
+    vertices = ranked.where("kind = 'v'").select("path", F.col("n").alias("vid"), *[F.get("p", F.lit(i + 1)).cast("double").alias(c) for i, c in enumerate("xyz")])
+    faces = ranked.where((F.col("kind") == "f") & (F.size("p") == 4)).select("path", F.col("n").alias("face"), *[corner(i + 1).alias(f"v{i}") for i in range(3)])
     return vertices, faces
 
 
+def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """`path, size, sha256` of every file below `path`."""
+    return _binary(spark, path, glob).select("path", F.length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def discovered(spark: SparkSession, path: str, glob: str, any_of: list[str] | None = None) -> DataFrame:
+    """`path` of every file below `path` that matches `glob` and, if any are given, whose path holds one of the texts `any_of`; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path")
+    return files.where(F.exists(F.array(*[F.lit(t) for t in any_of]), lambda t: F.contains("path", t))) if any_of else files
+
+
 def obj_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """`value`: the lines of a text mesh in order, for `write.text`."""
     v = vertices.select(F.lit(0).alias("kind"), F.col("vid").alias("n"), F.format_string("v %.4f %.4f %.4f", "x", "y", "z").alias("value"))

@@ -309,3 +309,43 @@ def test_spread_percentiles_are_exact(spark):
         got = {r.k: (r.p50, r.p90, r.p99) for r in spread_percentiles(df, ["k"], "v", {"p50": 0.5, "p90": 0.9, "p99": 0.99}, n).collect()}
         for k, vs in groups.items():
             assert np.allclose(got[k], np.percentile(vs, [50, 90, 99]))
+
+
+def test_transport_finds_a_permutation_and_leaves_ghosts_and_gone_points_alone(spark):
+    rng = np.random.default_rng(5)
+    left, right = [], []
+    for f in range(3):
+        places = rng.normal(size=(8, 3)) * 3
+        order = rng.permutation(8)
+        left += [("s", f, k, *map(float, p)) for k, p in enumerate(places)]
+        right += [("s", f, int(k), *map(float, places[k] + 0.001)) for k in order if k != f] + [("s", f, 50, 90.0, 90.0, 90.0)]
+    left.append(("s", 9, 4, 0.0, 0.0, 0.0))
+    shape = "seq_id string, frame int, idx int, x double, y double, z double"
+    got = rows(kernels.transported(spark.createDataFrame(left, shape), spark.createDataFrame(right, shape)), "frame", "left_idx", "right_idx")
+    assert got == sorted([(f, k, -1 if k == f else k) for f in range(3) for k in range(8)] + [(9, 4, -1)], key=repr)
+
+
+def test_attached_markers_move_with_their_mesh(spark):
+    rng = np.random.default_rng(6)
+    mesh = rng.normal(size=(7, 3))
+    mesh[3] = 2 * mesh[1] - mesh[0]
+    turn = np.array([[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]])
+    marks = rng.normal(size=(4, 3))
+    frames = spark.createDataFrame([("s", 0, [float(v) for v in mesh.ravel()]), ("s", 1, [float(v) for v in (mesh @ turn.T + 5).ravel()])], "seq_id string, frame int, vertices array<double>")
+    here = spark.createDataFrame([("s", str(k), [float(v) for v in m]) for k, m in enumerate(marks)], "seq_id string, label string, xyz array<double>")
+    fixed = kernels.attachments(here.join(frames.where("frame = 0").select("seq_id", "vertices"), "seq_id"))
+    got = {(r.frame, int(r.label)): (r.x, r.y, r.z) for r in kernels.decoded_markers(fixed, frames).collect()}
+    for k, m in enumerate(marks):
+        assert np.allclose(got[0, k], m) and np.allclose(got[1, k], turn @ m + 5)
+
+
+def test_smoothing_rounds_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=90)
+    df = spark.createDataFrame([("s", k, float(v)) for k, v in enumerate(x)] + [("t", 0, 4.0)], "seq_id string, row int, v double")
+    for _ in range(5):
+        before, after = np.concatenate([x[:1], x[:-1]]), np.concatenate([x[1:], x[-2:-1]])
+        x = x + 0.5 * ((before + after) / 2 - x)
+    for block in (1, 20, 1_000):
+        got = {(r.seq_id, r.row): r.y for r in temporal.smoothed_rounds(df, "v", "y", 5, block_rows=block).collect()}
+        assert got.pop(("t", 0)) == 4.0 and np.allclose([got["s", k] for k in range(90)], x)

@@ -71,7 +71,13 @@ def test_obj(spark, tmp_path):
     faces = spark.createDataFrame([(0, 0, 1, 2)], "face int, v0 int, v1 int, v2 int")
     files.obj_lines(vertices, faces).coalesce(1).write.text(str(tmp_path / "o"))
     v, f = files.read_obj(spark, str(tmp_path / "o"))
-    assert sorted(map(tuple, v.collect())) == sorted(map(tuple, vertices.collect())) and list(map(tuple, f.collect())) == [(0, 0, 1, 2)]
+    assert sorted(map(tuple, v.drop("path").collect())) == sorted(map(tuple, vertices.collect())) and list(map(tuple, f.drop("path").collect())) == [(0, 0, 1, 2)]
+    files.obj_lines(vertices, faces).coalesce(1).write.mode("append").text(str(tmp_path / "o"))
+    v, f = files.read_obj(spark, str(tmp_path / "o"))
+    assert v.groupBy("path").count().count() == 2 and v.groupBy("vid").count().where("count != 2").count() == 0
+    digests = files.file_digests(spark, str(tmp_path / "o"), "*.txt").collect()
+    assert len(digests) == 2 and len({r.sha256 for r in digests}) == 1 and all(len(r.sha256) == 64 for r in digests)
+    assert files.discovered(spark, str(tmp_path), "*.txt", ["/o/"]).count() == 2 and files.discovered(spark, str(tmp_path), "*.txt", ["/none/"]).count() == 0
 
 
 def test_gate_rule():
