@@ -103,8 +103,8 @@ def _residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marker_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances of seen markers from their simulated places, in millimetres."""
-    return summarize(_residuals(spark, sf_dir).withColumn("off", F.round(1000 * F.col("residual"), 6)), ["seq_id"], "off")
+    """Distances of seen markers from their simulated places, in millimetres, to the micrometre."""
+    return summarize(_residuals(spark, sf_dir).withColumn("off", F.round(1000 * F.col("residual"), 3)), ["seq_id"], "off")
 
 
 def frame_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +121,7 @@ def residual_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     usual = exact_percentiles(frames, ["seq_id"], "off", {"usual": 0.5, "p90": 0.9})
     route = F.when(F.round(F.col("off") - 1.2 * F.col("usual"), 6) <= 0, "fast").otherwise("exact")
     rows = frames.join(usual, "seq_id").withColumn("route", route)
-    return rows.groupBy("seq_id").agg(F.count_if(F.col("route") == "fast").alias("n_fast"), F.count_if(F.col("route") == "exact").alias("n_exact"), F.round(F.max("p90"), 4).alias("p90"))
+    return rows.groupBy("seq_id").agg(F.count_if(F.col("route") == "fast").alias("n_fast"), F.count_if(F.col("route") == "exact").alias("n_exact"), rounded(F.max("p90")).alias("p90"))
 
 
 def visible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,10 +183,10 @@ ORACLE_SQL = {
         u AS (SELECT *, 'up' AS side, row_number() OVER (PARTITION BY seq_id, region, metric ORDER BY delta DESC, "window") AS rank FROM w WHERE delta >= 0
               UNION ALL SELECT *, 'down', row_number() OVER (PARTITION BY seq_id, region, metric ORDER BY delta, "window") FROM w WHERE delta <= 0)
         SELECT seq_id, region, metric, side, rank, "window", n, round(candidate_mean, 5) AS candidate_mean, round(reference_mean, 5) AS reference_mean, round(delta, 5) AS delta FROM u WHERE rank <= 5""",
-    "marker_residuals": f"{RES}, v AS (SELECT seq_id, round(1000 * residual, 6) AS off FROM res) SELECT seq_id, {G1.format(v='off')} FROM v GROUP BY seq_id",
+    "marker_residuals": f"{RES}, v AS (SELECT seq_id, round(1000 * residual, 3) AS off FROM res) SELECT seq_id, {G1.format(v='off')} FROM v GROUP BY seq_id",
     "frame_residuals": f"{RES} SELECT seq_id, frame, count(*) AS n, round(1000 * avg(residual) + 1e-9, 4) AS residual_mm, round(any_value(tx) + 1e-9, 5) AS tx, round(any_value(ty) + 1e-9, 5) AS ty, round(any_value(tz) + 1e-9, 5) AS tz FROM res GROUP BY ALL",
     "residual_gate": f"""{RES}, f AS (SELECT seq_id, frame, round(1000 * avg(residual), 4) AS off FROM res GROUP BY ALL), u AS (SELECT seq_id, median(off) AS usual FROM f GROUP BY seq_id)
-        SELECT seq_id, count_if(round(off - 1.2 * usual, 6) <= 0) AS n_fast, count_if(NOT round(off - 1.2 * usual, 6) <= 0) AS n_exact, round(quantile_cont(off, 0.9), 4) AS p90 FROM f JOIN u USING (seq_id) GROUP BY seq_id""",
+        SELECT seq_id, count_if(round(off - 1.2 * usual, 6) <= 0) AS n_fast, count_if(NOT round(off - 1.2 * usual, 6) <= 0) AS n_exact, round(quantile_cont(off, 0.9), 6) AS p90 FROM f JOIN u USING (seq_id) GROUP BY seq_id""",
     "visible_rows": f"""{RES}, v AS (SELECT DISTINCT seq_id, frame, label FROM obs WHERE label IS NOT NULL), g AS (SELECT v.seq_id, frame, m[3] * f AS z FROM v JOIN lat ON v.seq_id = lat.seq_id AND v.label = lat.label)
         SELECT seq_id, frame, count(*) AS n, round(avg(z) + 1e-9, 5) AS height FROM g GROUP BY ALL""",
 }
