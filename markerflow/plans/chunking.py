@@ -73,11 +73,15 @@ def _drifted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 JUMPS = ["transl_jump", "pose_jump", "mesh_jump"]
 
 
+#: The rows of a chunk at which another may take over from it, or it from another; nothing is measured elsewhere.
+NEAR_SEAMS = "row - row_start <= overlap or row >= row_end - overlap - 1"
+
+
 def stitch_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where to enter each chunk, by the jump of the root, guarded by those of pose and mesh."""
     plan, rows = _drifted(spark, sf_dir)
     # Jumps that differ in their last bits only are equal.
-    found = chunks.stitch_candidates(rows, "root", "pose", "mesh").withColumns({j: F.round(j, 9) for j in JUMPS})
+    found = chunks.stitch_candidates(rows.where(NEAR_SEAMS), "root", "pose", "mesh").withColumns({j: F.round(j, 9) for j in JUMPS})
     chosen = chunks.select_keep_starts(plan, found)
     return chosen.select("seq_id", "chunk_no", "keep_start", *[rounded(F.col(j)).alias(j) for j in JUMPS])
 
@@ -85,7 +89,7 @@ def stitch_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stitch_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the recorded keep-starts as overrides, and where each keep-start comes from."""
     plan, rows = _drifted(spark, sf_dir)
-    found = chunks.stitch_candidates(rows, "root", "pose", "mesh").withColumns({j: F.round(j, 9) for j in JUMPS})
+    found = chunks.stitch_candidates(rows.where(NEAR_SEAMS), "root", "pose", "mesh").withColumns({j: F.round(j, 9) for j in JUMPS})
     told = views.mesh_settings(spark, sf_dir).select("seq_id", F.posexplode("chunk_keep_starts").alias("chunk_no", "value"))
     return chunks.overridden_keep_starts(chunks.select_keep_starts(plan, found), told).select("seq_id", "chunk_no", "keep_start", "selected_keep_start", "source")
 
