@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import struct
 from collections.abc import Iterator
 
@@ -12,43 +11,72 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from markerflow.sources import c3d
+from markerflow.sources import c3d, ranged
 
-#: Fixed by the format: the marks at the start of a vertex cache.
-PC2_HEAD = struct.Struct("<12siiffi")
+#: Fixed by the format: the head of a vertex cache.
+PC2_HEAD = "<12siiffi"
+PC2_BYTES = struct.calcsize(PC2_HEAD)
 
 
-def read_pc2(data: bytes, half: bool = False) -> tuple[np.ndarray, float, float]:
-    """Samples x points x 3, the first frame and the rate of a vertex cache; `half` for 16-bit floats."""
-    sign, _, n_points, start, rate, n_samples = PC2_HEAD.unpack_from(data)
+def pc2_head(data: bytes) -> tuple[int, float, float, int]:
+    """Points, first frame, rate and samples that the start of a vertex cache tells."""
+    sign, _, n_points, start, rate, n_samples = struct.unpack_from(PC2_HEAD, data)
     if not sign.startswith(b"POINTCACHE2"):
         raise ValueError("not a vertex cache")
-    values = np.frombuffer(data, "<f2" if half else "<f4", offset=PC2_HEAD.size)
-    n_samples = min(n_samples, len(values) // (3 * n_points) if n_points else 0)
-    return values[: n_samples * n_points * 3].reshape(n_samples, n_points, 3).astype(np.float32), start, rate
+    return n_points, start, rate, n_samples
+
+
+def pc2_samples(data: bytes, n_points: int, half: bool) -> np.ndarray:
+    """Samples x points x 3 of whole samples; `half` for 16-bit floats."""
+    return np.frombuffer(data, "<f2" if half else "<f4").reshape(-1, n_points, 3).astype(np.float32)
 
 
 def write_pc2(vertices: np.ndarray, start: float = 0.0, rate: float = 1.0, half: bool = False) -> bytes:
-    head = PC2_HEAD.pack(b"POINTCACHE2\0", 1, vertices.shape[1], start, rate, vertices.shape[0])
+    head = struct.pack(PC2_HEAD, b"POINTCACHE2\0", 1, vertices.shape[1], start, rate, vertices.shape[0])
     return head + np.ascontiguousarray(vertices, "<f2" if half else "<f4").tobytes()
 
 
+def appended_pc2(data: bytes, vertices: np.ndarray, half: bool = False) -> bytes:
+    """A vertex cache with further samples after its own, and their number in its head."""
+    n_points, start, rate, n_samples = pc2_head(data)
+    if vertices.shape[1] != n_points:
+        raise ValueError(f"samples of {vertices.shape[1]} points for a cache of {n_points}")
+    head = struct.pack(PC2_HEAD, b"POINTCACHE2\0", 1, n_points, start, rate, n_samples + len(vertices))
+    held = data[PC2_BYTES : PC2_BYTES + n_samples * n_points * (6 if half else 12)]
+    return head + held + np.ascontiguousarray(vertices, "<f2" if half else "<f4").tobytes()
+
+
 def _binary(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
 
 
-def read_vertex_caches(spark: SparkSession, path: str) -> DataFrame:
-    """`path, frame, vertices` of every .pc2 and .pc16 file below `path`; vertices flat."""
+def read_vertex_caches(spark: SparkSession, path: str, frames: tuple[int, int] | None = None, range_samples: int = 1_024) -> DataFrame:
+    """`path, frame, vertices` of every .pc2 and .pc16 file below `path`; vertices flat, frames numbered from the cache's first.
+
+    Tasks read ranges of samples by their byte offsets; `frames` (from, to, the latter not included) reads only the bytes of those frames."""
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                n_points, start, _, n_samples = pc2_head(ranged.read_at(r.path, 0, PC2_BYTES))
+                width = n_points * (6 if r.path.endswith(".pc16") else 12)
+                held = min(n_samples, (r.length - PC2_BYTES) // width) if width else 0
+                lo, hi = (0, held) if frames is None else (max(frames[0] - int(start), 0), min(frames[1] - int(start), held))
+                at = np.arange(lo, hi, range_samples)
+                yield pd.DataFrame({"path": r.path, "n_points": n_points, "start": int(start), "lo": at, "hi": np.minimum(at + range_samples, hi)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                samples, start, _ = read_pc2(bytes(r.content), r.path.endswith(".pc16"))
-                for lo in range(0, len(samples), 256):
-                    some = samples[lo : lo + 256]
-                    yield pd.DataFrame({"path": r.path, "frame": np.arange(lo, lo + len(some)) + int(start), "vertices": list(some.reshape(len(some), -1))})
+                half = r.path.endswith(".pc16")
+                width = r.n_points * (6 if half else 12)
+                for lo in range(r.lo, r.hi, 256):
+                    hi = min(lo + 256, r.hi)
+                    some = pc2_samples(ranged.read_at(r.path, PC2_BYTES + lo * width, (hi - lo) * width), r.n_points, half)
+                    yield pd.DataFrame({"path": r.path, "frame": np.arange(lo, hi) + r.start, "vertices": list(some.reshape(hi - lo, -1))})
 
-    return _binary(spark, path, "*.pc{2,16}").mapInPandas(run, "path string, frame int, vertices array<float>")
+    parts = ranged.listed(spark, path, "*.pc{2,16}").mapInPandas(ranges, "path string, n_points int, start int, lo bigint, hi bigint")
+    return ranged.spread(spark, parts, "path", "lo").mapInPandas(run, "path string, frame int, vertices array<float>")
 
 
 def read_arrays(spark: SparkSession, path: str) -> DataFrame:
@@ -114,20 +142,20 @@ def obj_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 def save_files(files: DataFrame, folder: str, suffix: str) -> DataFrame:
     """Write `seq_id, content` rows as files of a folder that all executors share; files that are there are kept.
-    Returns `path, size, written`; the work is done where the rows are."""
+    Returns `path, size, written`; the work is done where the rows are, through Arrow's file systems."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                path = os.path.join(folder, f"{r.seq_id}{suffix}")
-                new = not os.path.exists(path)
-                if new:
-                    part = f"{path}.{os.getpid()}.part"
-                    with open(part, "wb") as file:
-                        file.write(bytes(r.content))
-                    os.replace(part, path)
-                out.append((path, len(r.content), new))
-            yield pd.DataFrame(out, columns=["path", "size", "written"])
+            paths = [f"{folder.rstrip('/')}/{seq_id}{suffix}" for seq_id in batch["seq_id"]]
+            written = [ranged.write_absent(path, bytes(content)) for path, content in zip(paths, batch["content"])]
+            yield pd.DataFrame({"path": paths, "size": batch["content"].map(len), "written": written})
 
     return files.select("seq_id", "content").mapInPandas(run, "path string, size bigint, written boolean")
+
+
+def arrays_to_c3d(spark: SparkSession, path: str, folder: str, leave_out: str = "_racket") -> DataFrame:
+    """Write a C3D file into `folder` for every array file below `path` whose name doesn't hold `leave_out`, unless it is there; rows as of `save_files`.
+    Labels are the numbers of the columns, the rate is that of the array file."""
+    name = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
+    rows = read_arrays(spark, path).withColumn("seq_id", name).where(~F.contains("seq_id", F.lit(leave_out)))
+    return save_files(c3d.c3d_files(rows), folder, ".c3d")

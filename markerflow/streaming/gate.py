@@ -32,29 +32,44 @@ def availability_stream(points: DataFrame, window: str = "1 day", delay: str = "
     return counts.select(F.col("window.start").alias("window_start"), "n", "n_seen")
 
 
-def route_frames(rows: pd.DataFrame, last: tuple[float, float] | None, limit: float, alpha: float) -> tuple[list, tuple[float, float] | None]:
-    """Routes of frames in order. The first two frames are exact; a predicted frame within the limit is fast."""
+#: The last accepted value, the one before and the number of the last frame.
+State = tuple[float, float, int]
+
+
+def route_frames(rows: pd.DataFrame, last: State | None, limit: float, alpha: float) -> tuple[list, State | None]:
+    """Routes of frames in order. The first two frames are exact; a predicted frame within the limit is fast.
+
+    A frame whose successor has been judged already, or a repeat of one, is `late`: it changes no later judgement."""
     out = []
     for r in rows.sort_values("frame").itertuples(index=False):
+        frame = int(r.frame)
+        if last is not None and frame <= last[2]:
+            out.append((r.seq_id, frame, None, "late"))
+            continue
         if last is None or last[1] != last[1]:
             residual, route = None, "exact"
-            last = (r.value, float("nan")) if last is None else (r.value, last[0])
         else:
             residual = abs(r.value - (last[0] + alpha * (last[0] - last[1])))
             route = "fast" if residual <= limit else "exact"
-            last = (r.value, last[0])
-        out.append((r.seq_id, int(r.frame), residual, route))
+        last = (r.value, float("nan") if last is None else last[0], frame)
+        out.append((r.seq_id, frame, residual, route))
     return out, last
 
 
-def gate_stream(frames: DataFrame, limit: float, alpha: float = 0.25) -> DataFrame:
-    """`GATE` rows for a stream of `seq_id, frame, value`; the state is the two last values of a take."""
+def gate_stream(frames: DataFrame, limit: float, alpha: float = 0.25, idle_minutes: int = 24 * 60) -> DataFrame:
+    """`GATE` rows for a stream of `seq_id, frame, value`; the state is the two last values of a take and its last frame.
+
+    A take that gives nothing for `idle_minutes` is forgotten, so the state holds running takes only; should it go on later, its first two frames are exact again."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = tuple(state.get) if state.exists else None
         rows, last = route_frames(pd.concat(list(batches)), last, limit, alpha)
         if last is not None:
             state.update(last)
+            state.setTimeoutDuration(idle_minutes * 60_000)
         yield pd.DataFrame(rows, columns=["seq_id", "frame", "residual", "route"])
 
-    return frames.groupBy("seq_id").applyInPandasWithState(step, GATE, "last double, before double", "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("seq_id").applyInPandasWithState(step, GATE, "last double, before double, frame int", "append", GroupStateTimeout.ProcessingTimeTimeout)
