@@ -44,6 +44,32 @@ def subset_layout(layout: DataFrame, labels: DataFrame) -> DataFrame:
     return layout.join(labels.select("label").distinct(), "label", "left_semi")
 
 
+def filtered_layout(
+    layout: DataFrame, exclude_types: list[str] | None = None, exclude_labels: DataFrame | None = None, only_labels: DataFrame | None = None,
+    aliases: DataFrame | None = None, include_nan: bool = False,
+) -> DataFrame:
+    """`layout` with labels replaced by `new_label` of `aliases` where it has one, then without the types and labels named and with the only ones named; each table
+    of labels has a column `label`. `include_nan` adds a row without a vertex for what belongs to no marker to each layout that has rows left."""
+    rows = layout
+    if aliases is not None:
+        rows = rows.join(aliases.groupBy("label").agg(F.min("new_label").alias("_new")), "label", "left").withColumn("label", F.coalesce("_new", "label")).select(*layout.columns)
+    if exclude_types:
+        rows = rows.where(~F.coalesce(F.col("marker_type").isin(exclude_types), F.lit(False)))
+    if exclude_labels is not None:
+        rows = rows.join(exclude_labels.select("label").distinct(), "label", "left_anti").select(*layout.columns)
+    if only_labels is not None:
+        rows = subset_layout(rows, only_labels).select(*layout.columns)
+    if include_nan:
+        rows = rows.unionByName(rows.select("layout_id").distinct().withColumn("label", F.lit("nan")), allowMissingColumns=True)
+    return rows
+
+
+def solved_layout(layout: DataFrame, solved: DataFrame) -> DataFrame:
+    """`layout` with the vertices of `label, vid` rows in `solved` where they have one."""
+    found = solved.groupBy("label").agg(F.min("vid").alias("_vid"))
+    return layout.join(found, "label", "left").withColumn("vid", F.coalesce("_vid", "vid")).select(*layout.columns)
+
+
 def known_and_unknown(labels: DataFrame, dictionary: DataFrame) -> DataFrame:
     """`label, known`: whether each distinct label is in the dictionary."""
     listed = dictionary.select("label").distinct().withColumn("known", F.lit(True))

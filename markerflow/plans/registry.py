@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from markerflow.plans import augmenting, catalogue, chunking, comparing, labelling, quality, sequences, solving, spatial
+from markerflow.plans import augmenting, catalogue, chunking, comparing, labelling, quality, records, sequences, solving, spatial
 
-MODULES = [sequences, chunking, labelling, catalogue, spatial, augmenting, comparing, solving, quality]
+MODULES = [sequences, chunking, labelling, catalogue, records, spatial, augmenting, comparing, solving, quality]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
