@@ -43,20 +43,45 @@ def occluded(points: DataFrame, per_frame: int, seed: int) -> DataFrame:
     return points.withColumn("occluded", hit).withColumns({c: F.when(~F.col("occluded"), F.col(c)) for c in "xyz"})
 
 
-def ghosts(points: DataFrame, per_frame: int, seed: int) -> DataFrame:
-    """`seq_id, frame, ghost, x, y, z`: points about the middle of each frame, as far off as its own markers spread.
+def closed(seed: int, *keys: str | Column, width: float = 1.0) -> Column:
+    """A number from 0 to `width`, both included, the same for the same seed and keys."""
+    return width * F.conv(F.substring(draw(seed, *keys), 1, 6), 16, 10).cast("double") / 16_777_215
 
-    A ghost lies at the lower median plus a hash-drawn part, -2 to 2, of the sample deviation of each axis."""
+
+def normal(seed: int, *keys: str | Column) -> Column:
+    """A number drawn from the standard normal distribution, from two uniform ones."""
+    far = F.sqrt(-2 * F.log(F.greatest(closed(seed, *keys, F.lit("r")), F.lit(1 / 16_777_216))))
+    return far * F.cos(2 * math.pi * closed(seed, *keys, F.lit("a")))
+
+
+def ghosts(points: DataFrame, per_frame: int, seed: int, kind: str = "spread") -> DataFrame:
+    """`seq_id, frame, ghost, x, y, z`: points that belong to no marker.
+
+    `spread`: the lower median of the frame's markers plus -2 to 2 times the sample deviation of each axis, all parts equally likely. `gaussian`: the median plus a
+    normal part of that deviation. `uniform`: -2 to 2 on each axis, whatever the markers. `skewed`: normal about a middle drawn for the frame, -2 to 2 on each axis,
+    with axes that depend on each other to a degree drawn for the frame, each of deviation 1."""
     middle = points.groupBy("seq_id", "frame").agg(
         *[F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c})").alias(f"m{c}") for c in "xyz"], *[F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"s{c}") for c in "xyz"]
     )
     rows = middle.withColumn("ghost", F.explode(F.sequence(F.lit(0), F.lit(per_frame - 1))))
-
-    def part(c: str) -> Column:
-        digits = F.conv(F.substring(draw(seed, "seq_id", "frame", "ghost", F.lit(c)), 1, 6), 16, 10).cast("double")
-        return 4 * digits / 16_777_215 - 2
-
-    return rows.select("seq_id", "frame", "ghost", *[(F.col(f"m{c}") + F.nanvl(F.col(f"s{c}"), F.lit(0.0)) * part(c)).alias(c) for c in "xyz"])
+    wide = lambda *keys: closed(seed, "seq_id", "frame", *keys, width=4.0) - 2
+    of = {c: normal(seed, "seq_id", "frame", "ghost", F.lit(c)) for c in "xyz"}
+
+    def skewed(c: str) -> Column:
+        weights = [wide(F.lit(f"{c}{d}")) if d != c else F.lit(1.0) for d in "xyz"[: "xyz".index(c) + 1]]
+        length = F.sqrt(sum((w * w for w in weights[1:]), weights[0] * weights[0]))
+        return wide(F.lit(f"m{c}")) + sum((w * of[d] for w, d in zip(weights[1:], "yz")), weights[0] * of["x"]) / length
+
+    def place(c: str) -> Column:
+        if kind == "uniform":
+            return wide("ghost", F.lit(c))
+        if kind == "skewed":
+            return skewed(c)
+        if kind not in ("spread", "gaussian"):
+            raise ValueError(f"no such kind of ghosts: {kind}")
+        return F.col(f"m{c}") + F.nanvl(F.col(f"s{c}"), F.lit(0.0)) * (wide("ghost", F.lit(c)) if kind == "spread" else of[c])
+
+    return rows.select("seq_id", "frame", "ghost", *[place(c).alias(c) for c in "xyz"])
 
 
 def broken_tracks(points: DataFrame, seed: int) -> DataFrame:

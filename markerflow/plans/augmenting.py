@@ -37,6 +37,14 @@ def ghost_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("seq_id").agg(F.count("*").alias("n"), *[F.round(F.max(c), 3).alias(c) for c in "xyz"])
 
 
+def ghost_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where ghosts of three kinds lie, two in each frame."""
+    seen = _seen(spark, sf_dir)
+    kinds = [augment.ghosts(seen, 2, 14, k).withColumn("kind", F.lit(k)) for k in ("gaussian", "uniform", "skewed")]
+    rows = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+    return rows.groupBy("seq_id", "kind").agg(F.count("*").alias("n"), *[F.round(F.max(c) + 1e-7, 3).alias(c) for c in "xyz"])
+
+
 def broken_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = augment.broken_tracks(_seen(spark, sf_dir), 17)
     return rows.groupBy("seq_id", "track").agg(F.count("*").alias("n"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
@@ -136,7 +144,7 @@ def moved_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        picked_frames, relaxed_thresholds, occluded_points, ghost_points, broken_tracks, shuffled_frames, training_fraction, noise_model, noisy_points, concatenated_sets,
+        picked_frames, relaxed_thresholds, occluded_points, ghost_points, ghost_kinds, broken_tracks, shuffled_frames, training_fraction, noise_model, noisy_points, concatenated_sets,
         corrupted_points, manual_frames, frames_in_all, sampled_windows, surface_draws, moved_vertices,
     )
 }
@@ -145,6 +153,16 @@ RATES = "rates AS (SELECT seq_id, frame, avg(seen::INT) AS rate FROM ok GROUP BY
 HEX = "('0x' || substr({m}, 1, 6))::BIGINT"
 STEPS = """st AS (SELECT label, round(x - lag(x) OVER w, 6) AS dx, round(y - lag(y) OVER w, 6) AS dy, round(z - lag(z) OVER w, 6) AS dz FROM ok WHERE seen AND label IS NOT NULL WINDOW w AS (PARTITION BY seq_id, marker_idx ORDER BY frame))"""
 
+KEY = "'14|' || seq_id || '|' || frame || '|' || "
+PART = lambda k: f"{HEX.format(m=f'md5({KEY}{k})')} / 16777215"
+WIDE = lambda k: f"(4 * {HEX.format(m=f'md5({KEY}{k})')} / 16777215 - 2)"
+NORMAL = lambda c: f"""sqrt(-2 * ln(greatest({PART(f"g || '|{c}|r'")}, 1.0::DOUBLE / 16777216))) * cos(2 * pi() * {PART(f"g || '|{c}|a'")})"""
+SKEWED = {
+    "x": f"""{WIDE("'mx'")} + nx""",
+    "y": f"""{WIDE("'my'")} + (wyx * nx + ny) / sqrt(wyx * wyx + 1)""",
+    "z": f"""{WIDE("'mz'")} + (wzx * nx + wzy * ny + nz) / sqrt(wzx * wzx + wzy * wzy + 1)""",
+}
+
 UNIFORM = "('0x' || substr(md5({k}), 1, 6))::BIGINT / 16777216"
 
 ORACLE_SQL = {
@@ -181,6 +199,11 @@ ORACLE_SQL = {
     "ghost_points": f"""{with_views('pts', 'ok')}, m AS (SELECT seq_id, frame, quantile_disc(x, 0.5) AS mx, quantile_disc(y, 0.5) AS my, quantile_disc(z, 0.5) AS mz, coalesce(stddev_samp(x), 0) AS sx, coalesce(stddev_samp(y), 0) AS sy, coalesce(stddev_samp(z), 0) AS sz FROM ok WHERE seen GROUP BY ALL),
         g AS (SELECT seq_id, {', '.join(f"m{c} + s{c} * (4 * {HEX.format(m=f"md5('13|' || seq_id || '|' || frame || '|' || g || '|{c}')")} / 16777215 - 2) AS {c}" for c in 'xyz')} FROM m, range(2) r(g))
         SELECT seq_id, count(*) AS n, round(max(x), 3) AS x, round(max(y), 3) AS y, round(max(z), 3) AS z FROM g GROUP BY seq_id""",
+    "ghost_kinds": f"""{with_views('pts', 'ok')}, m AS (SELECT seq_id, frame, {', '.join(f'quantile_disc({c}, 0.5) AS m{c}, coalesce(stddev_samp({c}), 0) AS s{c}' for c in 'xyz')} FROM ok WHERE seen GROUP BY ALL),
+        g AS (SELECT *, {', '.join(f'{NORMAL(c)} AS n{c}' for c in 'xyz')}, {', '.join(WIDE(f"'{k}'") + f' AS w{k}' for k in ('yx', 'zx', 'zy'))} FROM m, range(2) r(g)),
+        k AS (SELECT seq_id, 'gaussian' AS kind, {', '.join(f'm{c} + s{c} * n{c} AS {c}' for c in 'xyz')} FROM g UNION ALL SELECT seq_id, 'uniform', {', '.join(WIDE(f"g || '|{c}'") for c in 'xyz')} FROM g
+            UNION ALL SELECT seq_id, 'skewed', {', '.join(SKEWED[c] for c in 'xyz')} FROM g)
+        SELECT seq_id, kind, count(*) AS n, round(max(x) + 1e-7, 3) AS x, round(max(y) + 1e-7, 3) AS y, round(max(z) + 1e-7, 3) AS z FROM k GROUP BY ALL""",
     "broken_tracks": f"""{with_views('pts', 'ok')}, t AS (SELECT seq_id, marker_idx, min(frame) AS lo, max(frame) AS hi, {HEX.format(m="md5('17|' || seq_id || '|' || marker_idx)")} AS k FROM ok WHERE seen GROUP BY ALL),
         c AS (SELECT seq_id, marker_idx, CASE WHEN k % 2 = 0 THEN lo + 1 + (k // 2) % greatest(hi - lo, 1) END AS cut, max(marker_idx) OVER (PARTITION BY seq_id) + 1 AS above FROM t),
         r AS (SELECT ok.seq_id, frame, CASE WHEN frame >= cut THEN ok.marker_idx + above ELSE ok.marker_idx END AS track FROM ok JOIN c ON ok.seq_id = c.seq_id AND ok.marker_idx = c.marker_idx WHERE seen)

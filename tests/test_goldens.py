@@ -349,3 +349,17 @@ def test_smoothing_rounds_do_not_depend_on_blocks(spark):
     for block in (1, 20, 1_000):
         got = {(r.seq_id, r.row): r.y for r in temporal.smoothed_rounds(df, "v", "y", 5, block_rows=block).collect()}
         assert got.pop(("t", 0)) == 4.0 and np.allclose([got["s", k] for k in range(90)], x)
+
+
+def test_kinds_of_ghosts(spark):
+    points = spark.range(4_000).selectExpr("'s' AS seq_id", "CAST(id DIV 2 AS int) AS frame", "CAST(id % 2 AS double) * 2 AS x", "3.0D AS y", "CAST(id % 2 AS double) AS z")
+    moments = lambda kind, c: augment.ghosts(points, 5, 3, kind).agg(F.avg(c), F.stddev(c), F.min(c), F.max(c)).first()
+    mean, deviation, _, _ = moments("gaussian", "x")
+    assert abs(mean) < 0.05 and abs(deviation - 2**0.5) < 0.05 and moments("gaussian", "y")[1] == 0
+    mean, deviation, low, high = moments("uniform", "y")
+    assert abs(mean) < 0.05 and abs(deviation - (4 / 3) ** 0.5) < 0.05 and -2 <= low < high <= 2
+    skewed = augment.ghosts(points, 5, 3, "skewed")
+    inner = skewed.groupBy("frame").agg(F.var_samp("z").alias("v"))
+    assert abs(inner.agg(F.avg("v")).first()[0] - 1) < 0.06
+    with pytest.raises(ValueError):
+        augment.ghosts(points, 5, 3, "other")
